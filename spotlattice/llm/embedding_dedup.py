@@ -50,7 +50,7 @@ class CoverTree:
         for radius in RADII:
             below = []
             for start, end in spans[-1]:
-                left, at = order[start:end], start
+                left, at = order[start:end].copy(), start
                 while len(left):
                     near = np.linalg.norm(vectors[left] - vectors[left[0]], axis=1) <= radius
                     own = left[near]
