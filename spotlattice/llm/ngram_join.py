@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_texts, partitions, shared_table
@@ -200,8 +200,8 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     of = named.select("_id", "_set").join(classes, "_set").select("_id", "_rep")
 
     signed = map_texts(texts.where("_id is not null"), _sign(words, hundredths / 100), "_sig long, _id long").repartition(partitions(docs), "_sig")
-    full = signed.groupBy("_sig").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").select("_sig", "_least")
-    ties = shared_table(signed.join(full.hint("shuffle_hash"), "_sig").where("_id <> _least").select("_least", "_id").distinct())
+    ties = signed.select("_id", F.min("_id").over(Window.partitionBy("_sig")).alias("_least"))  # one shuffle; a full bucket spills
+    ties = shared_table(ties.where("_id <> _least").select("_least", "_id").distinct())
     ties = ties.join(of, "_id").select("_least", F.col("_rep").alias("b")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("a"), "b")
     near = shared_table(connected_components(ties))
 
