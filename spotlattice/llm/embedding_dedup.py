@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, partitions, shared_table
 
 #: Vectors in a block; rows of the sample for pivots; pivots; net radii of the levels; slack of the bounds.
-BLOCK, SAMPLE, PIVOTS, RADII, SLACK = 4096, 2048, 16, (1.0, 0.5, 0.25, 0.125), 1e-7
+BLOCK, SAMPLE, PIVOTS, RADII, SLACK = 4096, 2048, 16, (0.5, 0.25, 0.125), 1e-7
 SMALL = 1 << 16
 
 
@@ -41,29 +41,46 @@ def _unit(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_id", "_v"])
 
 
+def _net(left: np.ndarray, small: np.ndarray, cosine: float):
+    """A net's cells, greedily: the first member left takes all within the radius.  Single precision only moves members
+    between cells; the nodes' radii are measured afterwards."""
+    if len(left) == 1:
+        yield left
+        return
+    while len(left):
+        heads = left[:256]
+        near = small[heads] @ small[left].T >= cosine
+        free = np.ones(len(left), bool)
+        for k in range(len(heads)):
+            if free[k]:
+                near[k, k] = True
+                own = np.flatnonzero(near[k] & free)
+                free[own] = False
+                yield left[own]
+        left = left[free]
+
+
 class CoverTree:
     """levels[l]: arrays start, end, radius, child_start, child_end and centres of the nodes; vectors lie in node order."""
 
     def __init__(self, ids: np.ndarray, mass: np.ndarray, vectors: np.ndarray):
-        order = np.arange(len(ids))
+        order, small = np.arange(len(ids)), vectors.astype(np.float32)
         spans = [[(0, len(ids))]]
         for radius in RADII:
             below = []
             for start, end in spans[-1]:
-                left, at = order[start:end].copy(), start
-                while len(left):
-                    near = np.linalg.norm(vectors[left] - vectors[left[0]], axis=1) <= radius
-                    own = left[near]
+                at = start
+                for own in _net(order[start:end].copy(), small, 1 - radius * radius / 2):
                     order[at : at + len(own)] = own
                     below.append((at, at + len(own)))
-                    at, left = at + len(own), left[~near]
+                    at += len(own)
             spans.append(below)
         self.ids, self.mass, self.vectors = ids[order], mass[order], vectors[order]
         self.total = np.concatenate([[0], np.cumsum(self.mass)])
         self.levels = []
         for depth, nodes in enumerate(spans):
             start, end = np.array([a for a, _ in nodes]), np.array([b for _, b in nodes])
-            radius = np.array([np.linalg.norm(self.vectors[a:b] - self.vectors[a], axis=1).max() for a, b in nodes])
+            radius = np.array([np.linalg.norm(self.vectors[a:b] - self.vectors[a], axis=1).max() if b > a + 1 else 0.0 for a, b in nodes])
             below = np.array([a for a, _ in spans[depth + 1]]) if depth + 1 < len(spans) else np.zeros(0, int)
             self.levels.append({"start": start, "end": end, "radius": radius, "first": np.searchsorted(below, start), "last": np.searchsorted(below, end)})
 
@@ -80,6 +97,33 @@ class _Groups:
             self.label[np.isin(self.label, found[1:])] = found[0]
 
 
+def _near_nodes(a: CoverTree, b: CoverTree, la: dict, lb: dict, ia: np.ndarray, ib: np.ndarray, r: float):
+    """Node pairs that the bound dist <= r + both radii cannot prune.
+
+    The bound is a lower bound on the cosine of the centres.  Single precision with a margin makes the first cut, for nodes
+    of like radius together, so that each matrix of cosines meets one number; one buffer serves all.
+    """
+    buffer = np.empty(512 * 1024, np.float32)
+    kinds = lambda level, at: [at[c] for c in (np.digitize(level["radius"][at], (1e-12, 0.15, 0.3, 0.6))[None, :] == np.arange(5)[:, None])]
+    for xs in kinds(la, ia):
+        for ys in kinds(lb, ib):
+            if not len(xs) or not len(ys):
+                continue
+            reach = r + la["radius"][xs].max() + lb["radius"][ys].max()
+            least = np.float32(1 - min(reach, 2.0) ** 2 / 2 - 1e-5)
+            left, right = (t.vectors[level["start"][at]].astype(np.float32) for t, level, at in ((a, la, xs), (b, lb, ys)))
+            for i in range(0, len(xs), 512):
+                for j in range(0, len(ys), 1024):
+                    x, y = left[i : i + 512], right[j : j + 1024]
+                    cos = np.matmul(x, y.T, out=buffer[: len(x) * len(y)].reshape(len(x), len(y)))
+                    if cos.max() < least:
+                        continue
+                    for k, m in zip(*np.nonzero(cos >= least), strict=True):
+                        p, q = xs[i + k], ys[j + m]
+                        if np.sqrt(max(0.0, 2 - 2 * float(cos[k, m]))) - la["radius"][p] - lb["radius"][q] <= r + 1e-4:
+                            yield p, q
+
+
 def dual_links(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Masses linked to each vector of a and of b, and labels of linked groups over a's then b's vectors."""
     r, same, n = np.sqrt(2 - 2 * cosine), a is b, len(a.ids)
@@ -113,19 +157,15 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, n
         depth, i, j = open_.pop()
         la, lb = a.levels[depth + 1], b.levels[depth + 1]
         ia, ib = np.arange(a.levels[depth]["first"][i], a.levels[depth]["last"][i]), np.arange(b.levels[depth]["first"][j], b.levels[depth]["last"][j])
-        for chunk in np.array_split(ia, max(1, -(-len(ia) // 512))):
-            cos = a.vectors[la["start"][chunk]] @ b.vectors[lb["start"][ib]].T
-            dist = np.sqrt(np.maximum(2 - 2 * cos, 0))
-            reach = la["radius"][chunk][:, None] + lb["radius"][ib][None, :]
-            for x, y in zip(*np.nonzero(dist - reach <= r + SLACK), strict=True):
-                p, q = chunk[x], ib[y]
-                sa, ea, sb, eb = la["start"][p], la["end"][p], lb["start"][q], lb["end"][q]
-                if dist[x, y] + reach[x, y] <= r - SLACK:
-                    whole(sa, ea, sb, eb)
-                elif (ea - sa) * (eb - sb) <= SMALL or depth + 2 == len(a.levels):
-                    compare(sa, ea, sb, eb)
-                else:
-                    open_.append((depth + 1, p, q))
+        for p, q in _near_nodes(a, b, la, lb, ia, ib, r):
+            sa, ea, sb, eb = la["start"][p], la["end"][p], lb["start"][q], lb["end"][q]
+            gap, reach = np.linalg.norm(a.vectors[sa] - b.vectors[sb]), la["radius"][p] + lb["radius"][q]
+            if gap + reach <= r - SLACK:
+                whole(sa, ea, sb, eb)
+            elif (ea - sa) * (eb - sb) <= SMALL or depth + 2 == len(a.levels):
+                compare(sa, ea, sb, eb)
+            else:
+                open_.append((depth + 1, p, q))
     return np.cumsum(rise_a)[:-1], np.cumsum(rise_b)[:-1], groups.label
 
 
