@@ -3,9 +3,9 @@
 Sets of word shingles are binned by size; a window of two neighbouring bins holds every pair that can reach the threshold,
 and within it two such sets differ in at most k features.  The feature domain is dealt into partitions by hash and subsets
 of them are enumerated: n1 first-level partitions of n2 parts each, one signature for each choice of all but k2 parts.  Two
-sets that differ in at most k features have at least ``spare`` signatures in common, so a set may leave out its poorest
-``spare`` - 1 signatures (fewest features, ties kept): the richest common one is never among them, for either set.  That
-keeps near-empty signatures, which unrelated sets share, out of the buckets.
+sets that differ in at most k features have at least ``spare`` signatures in common, so a set may leave out its first
+``spare`` - 1 signatures in the order (features covered, signature): the last common one is never among them, for either
+set.  That keeps near-empty signatures, which unrelated sets share, out of the buckets.
 
 A bucket only ever ties its members to its smallest one, so the rows made are the signatures, never the pairs.  Components
 of these ties hold every link.  Inside them an exact check counts common shingles through an inverted index and keeps the
@@ -68,13 +68,13 @@ def signatures(u: np.ndarray, threshold: float) -> list[np.ndarray]:
     bin_ = math.floor(math.log(len(u)) / math.log(ratio))
     k2, n2 = (1, 3) if threshold >= 0.85 else (0, 1)
     out = []
-    for window in (bin_ - 1, bin_):
-        most = math.floor(ratio ** (window + 2)) + 1
-        k = math.floor(2 * most * (1 - threshold) / (1 + threshold) + 1e-9)
+    for window in (bin_ - 1, bin_):  # pairs within its lower bin, and pairs of its two bins
+        most = math.floor(ratio ** (window + 1)) + math.floor(ratio ** (window + 2)) + 2
+        k = math.floor(most * (1 - threshold) / (1 + threshold) + 1e-9)
         if k == 0:
             continue  # sets of these sizes must be equal
         broken = k // (k2 + 1)  # first-level partitions that can differ in more than k2 features
-        spare = max(1, round(0.3 * (broken + 1)))
+        spare = max(2, round(0.3 * (broken + 1))) if k2 else broken + 1
         n1 = broken + spare
         seed, salt = (np.uint64((window + 1_000) * m & 0xFFFFFFFFFFFFFFFF) for m in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
         part = (_mix(u ^ seed) % np.uint64(n1 * n2)).astype(np.int64)
@@ -84,10 +84,9 @@ def signatures(u: np.ndarray, threshold: float) -> list[np.ndarray]:
         total = total.reshape(n1, n2)
         if k2:  # leave each part out in turn
             n, total = n.sum(1, keepdims=True) - n, total.sum(1, keepdims=True, dtype=np.uint64) - total
-        n, total = n.ravel(), total.ravel()
-        least = np.partition(n, spare - 1)[spare - 1]
-        keep = np.flatnonzero(n >= least)
-        out.append(_mix(total[keep] + _mix(keep.astype(np.uint64) + salt)))
+        n = n.ravel()
+        found = _mix(total.ravel() + _mix(np.arange(len(n), dtype=np.uint64) + salt))
+        out.append(found[np.lexsort((found, n))[spare - 1 :]])
     return out
 
 
