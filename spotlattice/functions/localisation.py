@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the localisation-variance formula, kept at the published number of decimals.
 SIXTEEN_NINTHS, EIGHT_PI = 1.7777777778, 25.13274123
@@ -78,7 +79,7 @@ def _mle_variance(a: pd.Series, s: pd.Series, n: pd.Series, b2: pd.Series, facto
         return np.where(n <= 0, math.inf, np.where(i1 > 0, factor * (sa2 / n) / i1, lse))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mle_variance(a: pd.Series, s: pd.Series, n: pd.Series, b2: pd.Series) -> pd.Series:
     """Variance of a maximum-likelihood position, its information integral by Gauss-Legendre nodes; else least squares."""
     return pd.Series(_mle_variance(a, s, n, b2, 1.0))

@@ -93,7 +93,7 @@ def msd_by_lag(df: DataFrame, max_lag: int, from_origin: bool = False) -> DataFr
     for k in range(1, max_lag + 1):
         x, y = (F.lead(c, k).over(BY_TRACK) for c in ("x", "y"))
         lags.append(F.struct(F.lit(k).alias("lag"), distance2(x, y, "x", "y").alias("d2")))
-    rows = df.select("id", F.row_number().over(BY_TRACK).alias("_k"), F.explode(F.array(*lags)).alias("_l"))
+    rows = df.select("id", F.row_number().over(BY_TRACK).alias("_k"), F.array(*lags).alias("_all")).select("id", "_k", F.explode("_all").alias("_l"))
     if from_origin:
         rows = rows.where("_k = 1")
     return rows.where("_l.d2 is not null").groupBy("id", "_l.lag").agg(F.avg("_l.d2").alias("msd"), F.count("*").alias("n"))

@@ -1,10 +1,434 @@
-"""The library's queries by name, with the SQL that gives the same rows where there is one."""
+"""The library's queries by name, with the SQL that gives the same rows where there is one.
+
+Floating-point results are rounded in both, since sums may run in another order; the digits leave no halves to round.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import localisation as fn
+from ..operators import aggregates as agg
+from ..operators import filters as flt
+from ..operators import spatial, tracing, tracks
+from .tables import EV, LOC, PT, localisations, points, read, stream_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, table: Callable[[SparkSession, str], DataFrame] = localisations):
+    """Registers a function of one table under its own name."""
+
+    def put(f: Callable[[DataFrame], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(table(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------------
+
+
+@query(LOC + "SELECT row_id, frame, round(x * 107, 9) AS x, round(y * 107, 9) AS y, round(intensity / 2.5, 9) AS intensity, round(noise / 2.5, 9) AS noise FROM loc")
+def project_units(df):
+    d, i = fn.distance_factor("PIXEL", "NM", 107.0), fn.intensity_factor("COUNT", "PHOTON", 2.5)
+    return rounded(df.select("row_id", "frame", (F.col("x") * d).alias("x"), (F.col("y") * d).alias("y"), (F.col("intensity") * i).alias("intensity"), (F.col("noise") * i).alias("noise")))
+
+
+@query(LOC + "SELECT row_id, round(intensity / (2 * pi() * sx * sy), 9) AS height, round(sqrt(abs(sx * sy)), 9) AS width, round(CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END, 9) AS snr, round(sqrt((1 - exp(-sx * sx / 2))), 9) AS root_cdf FROM loc")
+def project_shape(df):
+    return rounded(df.select("row_id", fn.height().alias("height"), fn.width().alias("width"), fn.snr().alias("snr"), F.sqrt(fn.cdf2d("sx")).alias("root_cdf")))
+
+
+@query(LOC + "SELECT row_id, round((130 * 130 + 10000 / 12.0) / intensity * (1.7777777778 + 25.13274123 * (130 * 130 + 10000 / 12.0) * noise * noise / (intensity * 10000)), 6) AS variance FROM loc")
+def lse_precision(df):
+    return rounded(df.select("row_id", fn.lse_variance(F.lit(100.0), F.lit(130.0), "intensity", F.col("noise") * F.col("noise")).alias("variance")), 6)
+
+
+@query()
+def mle_precision(df):
+    return rounded(df.select("row_id", fn.mle_variance(F.lit(100.0), F.lit(130.0), F.col("intensity"), F.col("noise") * F.col("noise")).alias("variance")), 6)
+
+
+@query(LOC + "SELECT row_id, CASE WHEN background = 0 THEN 5.0 ELSE background END AS background, greatest(abs(floor(x) + 0.5 - x), abs(floor(y) + 0.5 - y)) AS drift FROM loc")
+def fill_background(df):
+    drift = F.greatest(F.abs(F.floor("x") + 0.5 - F.col("x")), F.abs(F.floor("y") + 0.5 - F.col("y")))
+    return df.select("row_id", F.when(F.col("background") == 0, 5.0).otherwise(F.col("background")).alias("background"), drift.alias("drift"))
+
+
+@query(LOC + "SELECT row_id, CASE WHEN category = 0 THEN -row_number() OVER (PARTITION BY category ORDER BY row_id) ELSE category END AS id FROM loc")
+def assign_zero_ids(df):
+    """Unique negative ids for rows without one; ranks in parts by range, so that no task holds all of them."""
+    zero = df.where("category = 0").select("row_id").repartitionByRange("row_id").withColumn("_p", F.spark_partition_id())
+    zero = tracing_shared(zero)
+    before = zero.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
+    ranked = zero.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("row_id"))).join(F.broadcast(before), "_p")
+    return ranked.select("row_id", (-(F.col("_k") + F.col("_before"))).alias("id")).union(df.where("category <> 0").select("row_id", F.col("category").cast("long")))
+
+
+def tracing_shared(df: DataFrame) -> DataFrame:
+    from ..operators.graph import shared_table
+
+    return shared_table(df)
+
+
+@query(LOC + "SELECT row_id, unnest(generate_series(frame, end_frame)) AS frame FROM loc")
+def expand_frames(df):
+    return tracks.expand_frames(df).select("row_id", "frame")
+
+
+@query(LOC + "SELECT row_id, CAST(3 + (frame - 1) + 2 * floor((frame - 1) / 5.0) AS INT) AS frame FROM loc")
+def resequence_frames(df):
+    return df.select("row_id", fn.resequence("frame", 3, 5, 2).alias("frame"))
+
+
+@query(LOC + ", t AS (SELECT frame, avg(x) AS dx, avg(y) AS dy FROM loc WHERE frame % 3 = 0 GROUP BY frame) SELECT row_id, round(x + coalesce(dx, 0), 9) AS x, round(y + coalesce(dy, 0), 9) AS y FROM loc LEFT JOIN t USING (frame)")
+def drift_apply(df):
+    drift = df.where("frame % 3 = 0").groupBy("frame").agg(F.avg("x").alias("dx"), F.avg("y").alias("dy"))
+    return rounded(flt.apply_drift(df.select("row_id", "frame", "x", "y"), drift).select("row_id", "x", "y"))
+
+
+@query(LOC + "SELECT row_id, round((x - 0.2 * y) / (1 - 0.02), 9) AS d1, round(y - 0.1 * ((x - 0.2 * y) / (1 - 0.02)), 9) AS d2 FROM loc")
+def crosstalk_unmix(df):
+    d1, d2 = fn.unmix2("x", "y", 0.1, 0.2)
+    return rounded(df.select("row_id", d1.alias("d1"), d2.alias("d2")))
+
+
+@query(LOC + "SELECT row_id, sha256(concat_ws('|', CAST(row_id AS VARCHAR), CAST(frame AS VARCHAR), CAST(id AS VARCHAR), coalesce(CAST(category AS VARCHAR), '~'))) AS digest FROM loc")
+def row_digest(df):
+    return df.select("row_id", fn.row_digest("row_id", "frame", "id", "category").alias("digest"))
+
+
+# --- predicates ---------------------------------------------------------------------------------------------------------
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE (CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END) >= 100 AND sqrt(abs(sx * sy)) BETWEEN 1.02 AND 1.3 AND intensity >= 20000 AND abs(x) <= 40 AND abs(y) <= 40 AND (130 * 130 + 10000 / 12.0) / intensity * (1.7777777778 + 25.13274123 * (130 * 130 + 10000 / 12.0) * noise * noise / (intensity * 10000)) <= 4")
+def filter_multi(df):
+    variance = fn.lse_variance(F.lit(100.0), F.lit(130.0), "intensity", F.col("noise") * F.col("noise"))
+    return df.where(flt.multi(100, 1.0, 1.3, 1.02, variance, 2.0, 40.0, 20000)).select("row_id")
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE noise <= 0 OR intensity / (2 * pi() * sx * sy) / noise >= 1000")
+def filter_anr(df):
+    return df.where(flt.anr(1000)).select("row_id")
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE CASE WHEN background > 0 THEN mean_intensity / sqrt(background) ELSE CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END END >= 200")
+def filter_sbr(df):
+    return df.where(flt.sbr(200)).select("row_id")
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE (intensity >= 30000 OR NOT (z BETWEEN 0.02 AND 0.08)) AND x BETWEEN 5 AND 45 AND y BETWEEN 0 AND 60")
+def filter_spec(df):
+    return df.where(flt.from_spec({"and": [{"or": [{"signal": [30000]}, {"not": {"depth": [0.02, 0.08]}}]}, {"box": [5, 45, 0, 60]}]})).select("row_id")
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE x * x + y * y <= 900 AND sx * sy BETWEEN 1.0201 AND 1.21")
+def filter_euclid_width(df):
+    return df.where(flt.every(flt.euclid_shift(1, 1, 30), flt.xy_width_range(1, 1, 1.01, 1.1))).select("row_id")
+
+
+@query(LOC + "SELECT row_id, x - 10 AS x, y - 5 AS y FROM loc WHERE x >= 10 AND x < 30 AND y >= 5 AND y < 45")
+def crop_rectangle(df):
+    return flt.crop(df, 10, 5, 20, 40, reset=True).select("row_id", "x", "y")
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE x >= 0 AND x <= 40 AND y > 0 AND y <= 40 AND x + y < 40 AND x >= 0")
+def crop_polygon(df):
+    return df.where(flt.in_polygon(F.col("x"), F.col("y"), [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)])).select("row_id")
+
+
+@query(LOC + "SELECT category, CASE WHEN intensity > 30000 THEN 'kept' ELSE 'rejected' END AS side, count(*) AS n FROM loc GROUP BY ALL")
+def filter_split(df):
+    kept, rejected = flt.split_modes(df, F.col("intensity") > 30000)
+    both = kept.withColumn("side", F.lit("kept")).unionByName(rejected.withColumn("side", F.lit("rejected")))
+    return both.groupBy("category", "side").agg(F.count("*").alias("n"))
+
+
+@query(LOC + ", m AS (SELECT DISTINCT CAST(trunc(x) AS INT) AS ix, CAST(trunc(y) AS INT) AS iy, CAST((trunc(x) + trunc(y)) % 5 AS INT) AS label FROM loc WHERE CAST(trunc(x) AS INT) % 2 = 0) SELECT row_id, coalesce(label, 0) AS label FROM loc LEFT JOIN m ON ix = CAST(trunc(x) AS INT) AND iy = CAST(trunc(y) AS INT)")
+def split_by_mask(df):
+    pixel = df.select(F.col("x").cast("int").alias("ix"), F.col("y").cast("int").alias("iy")).where("ix % 2 = 0").distinct()
+    return flt.by_mask(df, pixel.withColumn("label", ((F.col("ix") + F.col("iy")) % 5).cast("int"))).select("row_id", "label")
+
+
+@query(LOC + ", r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY intensity DESC, row_id) AS k FROM loc), a AS (SELECT *, k - coalesce(max(CASE WHEN noise <= 5 THEN k END) OVER (PARTITION BY frame ORDER BY k), 0) AS run FROM r), b AS (SELECT *, max(run) OVER (PARTITION BY frame ORDER BY k) AS longest FROM a) SELECT row_id FROM b WHERE noise <= 5 AND longest <= 2")
+def fail_count_consecutive(df):
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("intensity"), "row_id")))
+    return flt.fail_count(ranked, F.col("noise") <= 5, allowed=2).select("row_id")
+
+
+@query()
+def fail_count_pass_rate(df):
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("intensity"), "row_id")))
+    return flt.fail_count(ranked.select("row_id", "frame", "rank", "noise"), F.col("noise") <= 5, kind="pass_rate", allowed=3, rate=0.5).select("row_id")
+
+
+@query(LOC + ", j AS (SELECT id, frame, x, y, frame - lag(frame) OVER w AS gap, (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS d2 FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)), t AS (SELECT id, max(frame) - min(frame) AS length, CASE WHEN sum(gap) > 0 THEN sum(greatest(0, d2 - 4 * 0.25) * (2 / (2 - 1 / 3.0))) / sum(gap) / 4 END AS d FROM j GROUP BY id) SELECT row_id FROM loc WHERE id IN (SELECT id FROM t WHERE d BETWEEN 0.5 AND 5 AND length >= 10)")
+def filter_molecules(df):
+    good = tracks.track_diffusion(df, 0.5).where("d BETWEEN 0.5 AND 5 AND length >= 10").select("id")
+    return df.join(good, "id", "left_semi").select("row_id")
+
+
+# --- aggregates ---------------------------------------------------------------------------------------------------------
+
+
+@query(LOC + "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM loc")
+def data_bounds(df):
+    return agg.bounds(df)
+
+
+@query(LOC + "SELECT bool_or(noise > 0) AS has_noise, bool_or(mean_intensity > 0) AS has_intensity, bool_or(background <> 0) AS has_background, bool_or(category IS NOT NULL AND category <> 0) AS has_category, bool_or(end_frame <> frame) AS has_end_frame, bool_or(z <> 0) AS has_3d, bool_and(precision IS NOT NULL) AS has_precision, count(DISTINCT CASE WHEN id <> 0 THEN id END) > 1 AS has_multiple_id FROM loc")
+def attribute_flags(df):
+    return agg.flags(df)
+
+
+@query(LOC + ", s AS (SELECT *, CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END AS snr FROM loc) SELECT dataset, count(*) AS n, max(frame) AS max_frame, round(max(frame) * 50.0 / 1000, 9) AS seconds, round(avg(snr), 9) AS mean_snr, round(quantile_cont(snr, 0.5), 9) AS median_snr, round(min(snr), 9) AS min_snr, round(max(snr), 9) AS max_snr, bool_or(z <> 0) AS is_3d FROM s GROUP BY dataset")
+def dataset_summary(df):
+    return rounded(agg.summary(df, 50.0))
+
+
+@query(LOC + "SELECT id, count(*) AS n, round(sum(intensity), 3) AS signal, round(sum(x * intensity) / sum(intensity), 9) AS cx, round(sum(y * intensity) / sum(intensity), 9) AS cy, round(CASE WHEN count(*) > 1 THEN sqrt(var_samp(x) + var_samp(y)) ELSE 0 END, 9) AS sd FROM loc GROUP BY id")
+def cluster_stats(df):
+    return rounded(agg.clusters(df, weighted=True).withColumn("signal", F.round("signal", 3)))
+
+
+@query()
+def cluster_precision(df):
+    return rounded(agg.weighted_precision(df))
+
+
+@query(LOC + ", j AS (SELECT id, (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS d2 FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)) SELECT id, count(*) AS n, round(avg(d2), 9) AS msd, round(avg(sqrt(d2)), 9) AS mean_distance FROM j GROUP BY id")
+def msd_adjacent(df):
+    return rounded(tracks.adjacent_msd(df))
+
+
+_BLINK = ", j AS (SELECT id, frame, frame - lag(frame) OVER (PARTITION BY id ORDER BY frame, row_id) AS gap FROM {t})"
+
+
+@query(LOC + _BLINK.format(t="loc") + " SELECT id, 1 + sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) AS n_blinks, count(DISTINCT frame) AS t_on, sum(CASE WHEN gap > 1 THEN gap - 1 ELSE 0 END) AS t_off FROM j GROUP BY id")
+def blinks(df):
+    return tracks.blinks(df)
+
+
+@query(EV + _BLINK.format(t="ev") + ", b AS (SELECT id, count(*) AS n, 1 + sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) AS n_blinks, sum(CASE WHEN gap > 1 THEN gap - 1 ELSE 0 END) AS t_off FROM j GROUP BY id) SELECT n_blinks, count(*) AS tracks, sum(n) AS rows_, sum(t_off) AS t_off FROM b GROUP BY n_blinks", stream_rows)
+def track_summary(df):
+    """Flagship: tracks by number of blinks."""
+    per = tracks.with_jumps(df).groupBy("id").agg(F.count("*").alias("n"), (1 + F.sum(F.when(F.col("gap") > 1, 1).otherwise(0))).alias("n_blinks"), F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1).otherwise(0)).alias("t_off"))
+    return per.groupBy("n_blinks").agg(F.count("*").alias("tracks"), F.sum("n").alias("rows_"), F.sum("t_off").alias("t_off"))
+
+
+@query(LOC + "SELECT id, round(avg(background), 9) AS background, round(sqrt(sum(noise * noise)), 9) AS noise, round(sum(intensity), 3) AS intensity, min(frame) AS frame, max(end_frame) AS end_frame, round(avg(x), 9) AS x, round(avg(y), 9) AS y, count(*) AS n FROM loc GROUP BY id")
+def centroid_dataset(df):
+    return rounded(agg.centroids(df).withColumn("intensity", F.round("intensity", 3)))
+
+
+@query(LOC + _BLINK.format(t="loc") + ", o AS (SELECT gap - 1 AS t_off, count(*) AS n FROM j WHERE gap > 1 GROUP BY 1) SELECT t_off, n, round(100 * sum(n) OVER (ORDER BY t_off) / sum(n) OVER (), 9) AS percent FROM o")
+def dark_time_cdf(df):
+    return rounded(tracks.dark_time_cdf(df))
+
+
+@query(LOC + _BLINK.format(t="loc") + ", t AS (SELECT max(frame) - min(frame) - 1 AS t, count(*) AS n, min(gap) AS g FROM j GROUP BY id) SELECT t, count(*) AS n FROM t WHERE n >= 2 AND coalesce(g > 0, true) AND t >= 0 GROUP BY t")
+def residence_histogram(df):
+    return tracks.residence_times(df, 2)
+
+
+@query(LOC + "SELECT frame, count(*) AS n FROM loc GROUP BY frame")
+def activation_counts(df):
+    return df.groupBy("frame").agg(F.count("*").alias("n"))
+
+
+@query(LOC + ", c AS (SELECT category, sum(CASE WHEN orig_value <> 0 AND noise <= 4 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN orig_value = 0 AND noise <= 4 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN orig_value = 0 AND noise > 4 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN orig_value <> 0 AND noise > 4 THEN 1 ELSE 0 END) AS fn FROM loc GROUP BY category), d AS (SELECT category, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(tn AS DOUBLE) AS tn, CAST(fn AS DOUBLE) AS fn FROM c) SELECT category, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fp + fn), 6) AS jaccard, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM d")
+def match_metrics(df):
+    scored = agg.match_metrics(agg.classification(df, F.col("noise") <= 4, ["category"]))
+    return rounded(scored.select("category", "recall", "precision", "jaccard", "mcc", "accuracy"), 6)
+
+
+@query(LOC + ", c AS (SELECT category AS a, CAST(noise AS INT) AS b, CAST(count(*) AS DOUBLE) AS n FROM loc GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS n FROM c), sa AS (SELECT sum(m * (m - 1) / 2) AS v FROM (SELECT sum(n) AS m FROM c GROUP BY a)), sb AS (SELECT sum(m * (m - 1) / 2) AS v FROM (SELECT sum(n) AS m FROM c GROUP BY b)) SELECT round((s.n * (s.n - 1) / 2 + 2 * both_ - sa.v - sb.v) / (s.n * (s.n - 1) / 2), 6) AS rand, round((both_ - sa.v * sb.v / (s.n * (s.n - 1) / 2)) / ((sa.v + sb.v) / 2 - sa.v * sb.v / (s.n * (s.n - 1) / 2)), 6) AS adjusted_rand FROM s, sa, sb")
+def rand_index(df):
+    return rounded(agg.rand_index(df.select("category", F.col("noise").cast("int").alias("level")), "category", "level"), 6)
+
+
+@query(LOC + "SELECT CAST(round(sqrt(x * x + y * y)) AS INT) AS radius, round(avg(intensity), 5) AS mean, round(stddev_samp(intensity) / sqrt(count(*)), 5) AS se, count(*) AS n FROM loc GROUP BY 1")
+def radial_average(df):
+    return rounded(agg.radial_average(df, F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "intensity"), 5)
+
+
+_GRID = [{"noise": n, "signal": s} for n in (2, 4, 6) for s in (10000, 30000)]
+
+
+@query(LOC + ", g AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {p['noise']}, {p['signal']})" for k, p in enumerate(_GRID)) + ") t(filter_id, a, b)) SELECT filter_id, sum(CASE WHEN orig_value <> 0 AND noise <= a AND intensity >= b THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN orig_value = 0 AND noise <= a AND intensity >= b THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN orig_value = 0 AND NOT (noise <= a AND intensity >= b) THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN orig_value <> 0 AND NOT (noise <= a AND intensity >= b) THEN 1 ELSE 0 END) AS fn FROM loc, g GROUP BY filter_id")
+def filter_analysis(df):
+    return agg.filter_grid(df, _GRID, lambda p: (F.col("noise") <= p["noise"]) & flt.signal(p["signal"]))
+
+
+@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc GROUP BY ALL")
+def render_add(df):
+    return rounded(agg.render(df, 2.0), 3)
+
+
+@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, max(intensity) AS value FROM loc GROUP BY ALL")
+def render_max(df):
+    return agg.render(df, 2.0, "max")
+
+
+@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, arg_max(intensity, row_id) AS value FROM loc GROUP BY ALL")
+def render_replace(df):
+    return agg.render(df, 2.0, "replace")
+
+
+@query(LOC + ", f AS (SELECT intensity, floor(x * 2 - 0.5) AS x0, floor(y * 2 - 0.5) AS y0, x * 2 - 0.5 - floor(x * 2 - 0.5) AS fx, y * 2 - 0.5 - floor(y * 2 - 0.5) AS fy FROM loc), p AS (SELECT x0 + i AS px, y0 + j AS py, intensity * (CASE WHEN i = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN j = 1 THEN fy ELSE 1 - fy END) AS v FROM f, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(sum(v), 1) AS value FROM p GROUP BY ALL")
+def render_weighted(df):
+    return rounded(agg.render(df, 2.0, weighted=True), 1)
+
+
+# --- windows ------------------------------------------------------------------------------------------------------------
+
+
+@query(LOC + ", j AS (SELECT id, row_id, frame, CASE WHEN frame - lag(frame) OVER w > 5 OR (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) > 900 THEN 1 ELSE 0 END AS new FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)) SELECT id, row_id, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame, row_id) AS INT) AS part FROM j")
+def split_tracks(df):
+    return tracks.islands(df, 5, 30.0).select("id", "row_id", "part")
+
+
+@query(LOC + "SELECT id, row_id, CAST(floor((row_number() OVER (PARTITION BY id ORDER BY frame, row_id) - 1) / 3.0) AS INT) AS part FROM loc")
+def split_long_tracks(df):
+    return tracks.split_long(df, 3).select("id", "row_id", "part")
+
+
+@query(EV + ", c AS (SELECT id, frame, count(*) AS c FROM ev GROUP BY ALL), n AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) > 25 THEN 1 ELSE 0 END AS new FROM c), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame) AS INT) AS burst FROM n) SELECT id, burst, min(frame) AS first_frame, max(frame) AS last_frame, sum(c) AS size FROM b GROUP BY id, burst HAVING sum(c) >= 2", stream_rows)
+def bursts(df):
+    return tracks.bursts(df, 24, 2)
+
+
+@query(LOC + ", n AS (SELECT *, CASE WHEN frame >= lag(end_frame) OVER (PARTITION BY id ORDER BY frame, row_id) + 11 THEN 1 ELSE 0 END AS new FROM loc) SELECT row_id, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame, row_id) AS INT) AS activation, CASE WHEN frame % 30 = 1 THEN 1 WHEN frame % 30 = 11 THEN 2 ELSE 0 END AS channel FROM n")
+def activations(df):
+    return tracks.activations(df, 10, 30, [1, 11]).select("row_id", "activation", "channel")
+
+
+@query(LOC + ", k AS (SELECT id, x, y, row_number() OVER (PARTITION BY id ORDER BY frame, row_id) AS k FROM loc) SELECT a.id, CAST(b.k - a.k AS INT) AS lag, round(avg((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 9) AS msd, count(*) AS n FROM k a JOIN k b ON a.id = b.id AND b.k > a.k AND b.k - a.k <= 4 GROUP BY 1, 2")
+def msd_lags(df):
+    return rounded(tracks.msd_by_lag(df, 4))
+
+
+@query()
+def sliding_features(df):
+    return rounded(tracks.sliding_features(df.withColumn("frame", F.row_number().over(tracks.BY_TRACK)), 3))
+
+
+@query(LOC + ", b AS (SELECT CAST(floor(intensity / 5000) AS BIGINT) AS bin, count(*) AS n FROM loc GROUP BY 1) SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS fraction FROM b")
+def cumulative_histogram(df):
+    return rounded(tracks.cumulative(df, "intensity", 5000), 6)
+
+
+@query(LOC + "SELECT frame, row_id, intensity FROM loc QUALIFY row_number() OVER (PARTITION BY frame ORDER BY intensity DESC, row_id) <= 2")
+def top_per_frame(df):
+    ranked = df.withColumn("_k", tracks.first_by(F.desc("intensity")))
+    return ranked.where("_k <= 2").select("frame", "row_id", "intensity")
+
+
+@query(LOC + ", a AS (SELECT * FROM loc WHERE category = 1 OR noise > 3), b AS (SELECT * FROM loc WHERE noise > 5) SELECT 'except' AS kind, count(*) AS n FROM a WHERE row_id NOT IN (SELECT row_id FROM b) UNION ALL SELECT 'retain', count(*) FROM a WHERE row_id IN (SELECT row_id FROM b) UNION ALL SELECT 'union', count(*) FROM (SELECT row_id FROM a UNION SELECT row_id FROM b)")
+def set_operations(df):
+    a, b = df.where("category = 1 OR noise > 3").select("row_id"), df.where("noise > 5").select("row_id")
+    named = lambda d, kind: d.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return named(agg.except_rows(a, b), "except").union(named(agg.retain_rows(a, b), "retain")).union(named(a.union(b).dropDuplicates(), "union"))
+
+
+@query(LOC + ", a AS (SELECT dense_rank() OVER (ORDER BY id) AS id, row_id, 0 AS dataset FROM loc WHERE category = 1), b AS (SELECT dense_rank() OVER (ORDER BY id) + (SELECT coalesce(max(id), 0) FROM a) AS id, row_id, 1 AS dataset FROM loc WHERE category = 2) SELECT * FROM a UNION ALL SELECT * FROM b")
+def combine_datasets(df):
+    return agg.dense_ids(df.where("category = 1").select("id", "row_id"), df.where("category = 2").select("id", "row_id")).select("id", "row_id", "dataset")
+
+
+# --- spatial, tracing and clustering -----------------------------------------------------------------------------------------
+
+
+@query(LOC + ", n AS (SELECT a.row_id, b.row_id AS neighbour, b.intensity, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM loc a JOIN loc b ON a.id = b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 100 AND ((b.end_frame >= a.frame - 30 AND b.end_frame < a.frame) OR (b.frame > a.frame AND b.frame <= a.frame + 30))) SELECT row_id, neighbour, round(sqrt(d2), 9) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY intensity DESC, neighbour) = 1")
+def neighbours_in_track(df):
+    """Neighbours among the rows of one id: the ids are the regions of this table."""
+    rows = df.select("row_id", "id", "frame", "end_frame", "x", "y", "intensity")
+    near = spatial.within(rows, rows, 10.0, on=("id",), strict=True)
+    before = (F.col("b_end_frame") >= F.col("a_frame") - 30) & (F.col("b_end_frame") < F.col("a_frame"))
+    after = (F.col("b_frame") > F.col("a_frame")) & (F.col("b_frame") <= F.col("a_frame") + 30)
+    best = near.where(before | after).groupBy("a_row_id").agg(F.max_by(F.struct("b_row_id", "d2"), F.struct("b_intensity", -F.col("b_row_id"))).alias("_b"))
+    return rounded(best.select(F.col("a_row_id").alias("row_id"), F.col("_b.b_row_id").alias("neighbour"), F.sqrt("_b.d2").alias("distance")))
+
+
+@query(PT + ", c AS (SELECT a.row_id, count(*) AS n FROM pt a JOIN pt b ON a.row_id <> b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY 1) SELECT row_id, coalesce(n, 0) AS n, round(n / ((SELECT count(*) FROM pt) / 10000.0), 9) AS k, round(sqrt(n / ((SELECT count(*) FROM pt) / 10000.0) / pi()), 9) AS l, round(sqrt(n / ((SELECT count(*) FROM pt) / 10000.0) / pi()) - 2, 9) AS l_minus_r FROM pt LEFT JOIN c USING (row_id)", points)
+def ripley_density(df):
+    out = spatial.ripley(df, 2.0, 10000.0)
+    return rounded(out.withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("k", "l", "l_minus_r")}))
+
+
+@query(PT + ", c AS (SELECT * FROM pt WHERE x BETWEEN -10 AND 10 AND y BETWEEN -10 AND 10), p AS (SELECT CAST(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS ring FROM c a JOIN pt b ON a.row_id <> b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25) SELECT ring, count(*) AS pairs, round(count(*) / ((SELECT count(*) FROM c) * pi() * 0.25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) AS g FROM p GROUP BY ring", points)
+def pair_correlation(df):
+    return rounded(spatial.pair_correlation(df, 5.0, 0.5, (-10, 10, -10, 10)), 6)
+
+
+@query(PT.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25), r AS (SELECT row_id AS a, row_id AS b FROM pt UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a", points)
+def single_linkage(df):
+    return spatial.single_linkage(df, 0.5)
+
+
+@query(PT.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1), k AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 4), ce AS (SELECT e.* FROM e WHERE a IN (SELECT a FROM k) AND b IN (SELECT a FROM k)), r AS (SELECT a, a AS b FROM k UNION SELECT r.a, ce.b FROM r JOIN ce ON r.b = ce.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), n AS (SELECT a AS row_id, arg_min(b, (d2, b)) AS near FROM e WHERE a NOT IN (SELECT a FROM k) AND b IN (SELECT a FROM k) GROUP BY a) SELECT pt.row_id, coalesce(c.cluster, cn.cluster) AS cluster, c.row_id IS NOT NULL AS core FROM pt LEFT JOIN c USING (row_id) LEFT JOIN n ON n.row_id = pt.row_id LEFT JOIN c cn ON cn.row_id = n.near", points)
+def dbscan(df):
+    return spatial.dbscan(df, 1.0, 4)
+
+
+@query(table=points)
+def local_density(df):
+    return rounded(spatial.local_density(df, 1))
+
+
+@query()
+def match_per_frame(df):
+    """Rows of two categories matched one to one within a frame."""
+    return rounded(spatial.match_frames(df.where("category = 1"), df.where("category = 2"), 5.0))
+
+
+def _tracks_of(df: DataFrame) -> DataFrame:
+    return df.select("row_id", "frame", "end_frame", "x", "y", "intensity")
+
+
+@query(table=stream_rows)
+def trace_latest(df):
+    return tracing.trace(_tracks_of(df), 0.05, 24)
+
+
+@query(table=stream_rows)
+def trace_pulses(df):
+    return tracing.trace(_tracks_of(df), 0.05, 24, mode="earliest", pulse=24 * 7)
+
+
+@query(table=stream_rows)
+def trace_numbers(df):
+    return tracing.number_traces(tracing.trace(_tracks_of(df), 0.05, 24, mode="single"), df)
+
+
+@query(table=stream_rows)
+def trace_filter(df):
+    return tracing.trace_filter(_tracks_of(df), 0.05, 24).select("row_id")
+
+
+@query(table=stream_rows)
+def hysteresis_filter(df):
+    return tracing.hysteresis(_tracks_of(df), F.col("intensity") > 80, F.col("intensity") > 40, 0.05, 24).select("row_id")
+
+
+@query(table=stream_rows)
+def multiple_target(df):
+    return tracing.multiple_target(_tracks_of(df), 1e-6, gap=15)
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 9) AS signal FROM events GROUP BY 1", lambda spark, sf_dir: read(spark, sf_dir, "events"))
+def tumbling_frames(df):
+    from ..streaming.frames import tumbling
+
+    return rounded(tumbling(df.select(F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("intensity")), "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
