@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.localisation import distance2, msd_correction
 
-BY_TRACK = Window.partitionBy("id").orderBy("frame", "row_id")
+def by_track():
+    return Window.partitionBy("id").orderBy("frame", "row_id")
 
 
 def with_jumps(df: DataFrame) -> DataFrame:
     """Adds gap (frames) and jump2 (squared distance) to the row before; null for a track's first row."""
-    px, py, pf = (F.lag(c).over(BY_TRACK) for c in ("x", "y", "frame"))
+    px, py, pf = (F.lag(c).over(by_track()) for c in ("x", "y", "frame"))
     return df.withColumns({"gap": F.col("frame") - pf, "jump2": distance2("x", "y", px, py)})
 
 
@@ -39,12 +40,12 @@ def islands(df: DataFrame, max_gap: int = 1, max_jump: float | None = None, name
     new = F.col("gap") > max_gap
     if max_jump is not None:
         new = new | (F.col("jump2") > max_jump * max_jump)
-    return with_jumps(df).withColumn(name, F.sum(F.when(new, 1).otherwise(0)).over(BY_TRACK).cast("int")).drop("gap", "jump2")
+    return with_jumps(df).withColumn(name, F.sum(F.when(new, 1).otherwise(0)).over(by_track()).cast("int")).drop("gap", "jump2")
 
 
 def split_long(df: DataFrame, most: int, name: str = "part") -> DataFrame:
     """Numbers runs of ``most`` rows within each track."""
-    return df.withColumn(name, F.floor((F.row_number().over(BY_TRACK) - 1) / most).cast("int"))
+    return df.withColumn(name, F.floor((F.row_number().over(by_track()) - 1) / most).cast("int"))
 
 
 def blinks(df: DataFrame) -> DataFrame:
@@ -79,9 +80,9 @@ def bursts(df: DataFrame, dark_tolerance: int, min_size: int) -> DataFrame:
 
 def activations(df: DataFrame, dark_frames: int, repeat: int, starts: list[int]) -> DataFrame:
     """Numbers activations by the gap to the end of the row before; the channel is the start that frame mod repeat meets."""
-    new = F.when(F.col("frame") >= F.lag("end_frame").over(BY_TRACK) + dark_frames + 1, 1).otherwise(0)
+    new = F.when(F.col("frame") >= F.lag("end_frame").over(by_track()) + dark_frames + 1, 1).otherwise(0)
     channel = F.coalesce(*[F.when(F.col("frame") % repeat == s, k + 1) for k, s in enumerate(starts)], F.lit(0))
-    return df.withColumn("_new", new).withColumn("activation", F.sum("_new").over(BY_TRACK).cast("int")).withColumn("channel", channel).drop("_new")
+    return df.withColumn("_new", new).withColumn("activation", F.sum("_new").over(by_track()).cast("int")).withColumn("channel", channel).drop("_new")
 
 
 def msd_by_lag(df: DataFrame, max_lag: int, from_origin: bool = False) -> DataFrame:
@@ -91,9 +92,9 @@ def msd_by_lag(df: DataFrame, max_lag: int, from_origin: bool = False) -> DataFr
     """
     lags = []
     for k in range(1, max_lag + 1):
-        x, y = (F.lead(c, k).over(BY_TRACK) for c in ("x", "y"))
+        x, y = (F.lead(c, k).over(by_track()) for c in ("x", "y"))
         lags.append(F.struct(F.lit(k).alias("lag"), distance2(x, y, "x", "y").alias("d2")))
-    rows = df.select("id", F.row_number().over(BY_TRACK).alias("_k"), F.array(*lags).alias("_all")).select("id", "_k", F.explode("_all").alias("_l"))
+    rows = df.select("id", F.row_number().over(by_track()).alias("_k"), F.array(*lags).alias("_all")).select("id", "_k", F.explode("_all").alias("_l"))
     if from_origin:
         rows = rows.where("_k = 1")
     return rows.where("_l.d2 is not null").groupBy("id", "_l.lag").agg(F.avg("_l.d2").alias("msd"), F.count("*").alias("n"))

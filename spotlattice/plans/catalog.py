@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import localisation as fn
 from ..operators import aggregates as agg
 from ..operators import filters as flt
-from ..operators import spatial, tracing, tracks
+from ..operators import imaging, spatial, tracing, tracks
+from ..operators.graph import shared_table
+from ..sources import formats
+from ..streaming import frames as streams
 from .tables import EV, LOC, PT, localisations, points, read, stream_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,18 +73,12 @@ def fill_background(df):
 def assign_zero_ids(df):
     """Unique negative ids for rows without one; ranks in parts by range, so that no task holds all of them."""
     zero = df.where("category = 0").select("row_id").repartitionByRange("row_id").withColumn("_p", F.spark_partition_id())
-    zero = tracing_shared(zero)
+    zero = shared_table(zero)
     before = zero.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     ranked = zero.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("row_id"))).join(F.broadcast(before), "_p")
     return ranked.select("row_id", (-(F.col("_k") + F.col("_before"))).alias("id")).union(df.where("category <> 0").select("row_id", F.col("category").cast("long")))
 
 
-def tracing_shared(df: DataFrame) -> DataFrame:
-    from ..operators.graph import shared_table
-
-    return shared_table(df)
-
-
 @query(LOC + "SELECT row_id, unnest(generate_series(frame, end_frame)) AS frame FROM loc")
 def expand_frames(df):
     return tracks.expand_frames(df).select("row_id", "frame")
@@ -258,9 +255,10 @@ def rand_index(df):
     return rounded(agg.rand_index(df.select("category", F.col("noise").cast("int").alias("level")), "category", "level"), 6)
 
 
-@query(LOC + "SELECT CAST(round(sqrt(x * x + y * y)) AS INT) AS radius, round(avg(intensity), 5) AS mean, round(stddev_samp(intensity) / sqrt(count(*)), 5) AS se, count(*) AS n FROM loc GROUP BY 1")
+@query(LOC + "SELECT CAST(round(sqrt(x * x + y * y)) AS INT) AS radius, round(avg(intensity) + 3e-7, 5) AS mean, round(stddev_samp(intensity) / sqrt(count(*)) + 3e-7, 5) AS se, count(*) AS n FROM loc GROUP BY 1")
 def radial_average(df):
-    return rounded(agg.radial_average(df, F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "intensity"), 5)
+    out = agg.radial_average(df, F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), "intensity")
+    return rounded(out.withColumns({c: F.col(c) + 3e-7 for c in ("mean", "se")}), 5)  # off the halves that means of cents hit
 
 
 _GRID = [{"noise": n, "signal": s} for n in (2, 4, 6) for s in (10000, 30000)]
@@ -321,7 +319,7 @@ def msd_lags(df):
 
 @query()
 def sliding_features(df):
-    return rounded(tracks.sliding_features(df.withColumn("frame", F.row_number().over(tracks.BY_TRACK)), 3))
+    return rounded(tracks.sliding_features(df.withColumn("frame", F.row_number().over(tracks.by_track())), 3))
 
 
 @query(LOC + ", b AS (SELECT CAST(floor(intensity / 5000) AS BIGINT) AS bin, count(*) AS n FROM loc GROUP BY 1) SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) AS fraction FROM b")
@@ -429,6 +427,111 @@ def multiple_target(df):
 
 @query("SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(sum(value), 9) AS signal FROM events GROUP BY 1", lambda spark, sf_dir: read(spark, sf_dir, "events"))
 def tumbling_frames(df):
-    from ..streaming.frames import tumbling
+    return rounded(streams.tumbling(df.select(F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("intensity")), "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("WITH c AS (SELECT user_id AS id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 86400000000 THEN 1 ELSE 0 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT id, min(ts) AS start, count(*) AS size FROM b GROUP BY id, k", lambda spark, sf_dir: read(spark, sf_dir, "events"))
+def burst_sessions(df):
+    rows = df.select(F.col("ts").cast("timestamp").alias("t"), F.col("user_id").alias("id"))
+    return streams.burst_sessions(rows, "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------------
+
+
+def _scratch(df: DataFrame) -> str:
+    import uuid
+
+    from ..operators.graph import shared_dir
+
+    return f"{shared_dir(df.sparkSession)}/spotlattice/{uuid.uuid4().hex}"
+
+
+@query(LOC + "SELECT row_id, frame, x * 100 AS x, y, intensity FROM loc")
+def source_delimited(df):
+    """Written as text with positions in other units, read back by a column map."""
+    path = _scratch(df)
+    formats.write_text(df, path, ["row_id", "frame", "x", "y", "intensity"], {"x": 100.0})
+    return formats.read_text(df.sparkSession, path, "row_id long, frame int, x double, y double, intensity double")
+
+
+@query("SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_linenumber AS INT) AS frame, CAST(l_partkey AS DOUBLE) AS intensity FROM lineitem", lambda spark, sf_dir: read(spark, sf_dir, "lineitem"))
+def source_malk(df):
+    path = _scratch(df)
+    df.selectExpr("concat_ws(' ', cast(l_quantity as double), cast(l_extendedprice as double), l_linenumber, l_partkey) AS value").write.text(path)
+    return formats.malk(df.sparkSession, path)
+
+
+@query(LOC + "SELECT frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(noise AS FLOAT) AS DOUBLE) AS noise, count(*) AS n FROM loc GROUP BY ALL")
+def source_binary(df):
+    path = _scratch(df)
+    formats.write_binary(df.select("frame", *[F.col(c).cast("float") for c in ("x", "y", "intensity", "noise")]), path)
+    return formats.read_binary(df.sparkSession, path).groupBy("frame", F.col("x").cast("double").alias("x"), F.col("noise").cast("double").alias("noise")).agg(F.count("*").alias("n"))
+
+
+# --- pipelines of analysis ------------------------------------------------------------------------------------------------
+
+
+@query(table=stream_rows)
+def blink_estimate(df):
+    """Traces at growing dark thresholds and the blinking that fits their counts."""
+    from ..functions.fits import blinking
+
+    rows = shared_table(_tracks_of(df))
+    counts = {t: float(tracing.trace(rows, 0.05, t).select("trace").distinct().count()) for t in (1, 4, 12, 24)}
+    fit = blinking(counts, 4)
+    return df.sparkSession.createDataFrame([(t, n, round(float(fit["molecules"]), 2), round(float(fit["blinking_rate"]), 3)) for t, n in counts.items()], "threshold int, traces double, molecules double, blinking_rate double")
+
+
+@query()
+def jump_distance_fit(df):
+    """Populations of diffusion from a histogram of squared jumps: the driver gets at most 2,000 quantiles of them."""
+    from ..functions.fits import jump_distances
+
+    q = tracks.with_jumps(df).where("jump2 > 0").agg(F.percentile_approx("jump2", [(k + 0.5) / 2000 for k in range(2000)], 20000).alias("q")).first()["q"] or []
+    return df.sparkSession.createDataFrame([(round(float(d), 4), round(float(f), 4)) for d, f in jump_distances(q)], "d double, fraction double")
+
+
+@query()
+def residence_fit(df):
+    from ..functions.fits import residence
+
+    histogram = {r["t"]: r["n"] for r in tracks.residence_times(df, 2).collect()}  # one row a frame at most
+    fit = residence(histogram, 2) if histogram else {"rates": [], "fractions": []}
+    return df.sparkSession.createDataFrame([(round(r, 6), round(f, 6)) for r, f in zip(fit["rates"], fit["fractions"], strict=True)], "rate double, fraction double")
+
+
+@query()
+def fourier_resolution(df):
+    rows = df.select("row_id", F.col("x"), (F.col("y") / 2).alias("y"), "intensity")
+    return df.sparkSession.createDataFrame([(float(imaging.resolution(rows, 2.0, 128)),)], "fire double")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many simulated frames as there are nations: pixels are not among the driver's tables."""
+    return imaging.simulate(spark, read(spark, sf_dir, "nation").count())[0]
+
+
+@query(table=_images)
+def spot_candidates(df):
+    return imaging.find_spots(df, 1.3, 3.0, 3)
+
+
+@query(table=_images)
+def fit_spots(df):
+    return imaging.fit_frames(df, 1.3)
+
+
+@query(table=_images)
+def smooth_frames(df):
+    return imaging.smooth(df, "gaussian", 1.0).select("frame", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
+@query(table=_images)
+def sum_frames(df):
+    return imaging.aggregate_frames(df, 5).select("frame", F.size("pixels").alias("n"))
+
 
-    return rounded(tumbling(df.select(F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("intensity")), "1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+@query(table=_images)
+def pixel_mean_variance(df):
+    return imaging.mean_variance(df)
