@@ -91,7 +91,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     read = shared_table(map_texts(raw, _read(langs, table), "page_id long, host string, domain string, address string, declared string, ll array<double>, top string"))
     votes = lambda: F.array(*[F.sum(F.when(F.col("top") == x, 1.0).otherwise(0.0)) for x in langs])
     k = len(langs)
-    every = read.agg(votes().alias("v")).first()["v"] or [0.0] * k
+    every = [x or 0.0 for x in read.agg(votes().alias("v")).first()["v"]]
     total = sum(every)
     base = [(x + 1) / (total + k) for x in every]
     lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])

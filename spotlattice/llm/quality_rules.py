@@ -46,8 +46,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = hashed.select("*", F.expr(f"if(size(_h) < 8, array(), transform(sequence(0, size(_h) - 8), i -> xxhash64({window})))").alias("_v"))
     paired = windows.select("*", F.expr("if(size(array_distinct(_v)) = size(_v), NULL, sort_array(transform(_v, (x, i) -> struct(x AS h, i AS i))))").alias("_s"))
     again = paired.select("*", F.expr("sort_array(transform(filter(_s, (e, k) -> (k > 0 AND get(_s, k - 1).h = e.h) OR get(_s, k + 1).h <=> e.h), e -> e.i))").alias("_p"))
-    return again.select(
-        "doc_id",
+    found = F.struct(
         F.expr("bigint(size(_w))").alias("n_words"),
         F.expr("aggregate(_w, 0L, (a, x) -> a + length(x))").alias("word_chars"),
         F.expr("bigint(regexp_count(_t, '[#*$%&|<>]'))").alias("n_symbols"),
@@ -57,6 +56,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.expr("bigint(regexp_count(_t, '[A-Z]'))").alias("n_upper"),
         F.expr("bigint(size(filter(_w, x -> length(x) <= 3)))").alias("n_short"),
     )
+    # one row of one struct: a generator, so that a filter on a measure is not pushed below and its arrays written out again
+    return again.select("doc_id", F.inline(F.array(found)))
 
 
 def _binned(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
