@@ -1,67 +1,17 @@
-"""Helpers shared by the corpus operators: shared scratch tables, Arrow batches, connected components."""
+"""Helpers shared by the corpus operators; shared tables and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from spotlattice.operators.graph import connected_components, partitions, shared_table
 
-#: Characters that the contracts call blank: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
+__all__ = ["connected_components", "map_texts", "partitions", "shared_table"]
 #: Rows per Arrow batch for whole texts, so that a batch of very long texts stays small.
 TEXT_ROWS = "512"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spotlattice-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back.  Cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/spotlattice/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow with batches small enough for whole texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return df.mapInArrow(function, schema)
-
-
-def partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node that can be reached.
-
-    Alternating large-star and small-star steps.  Every step is one grouped minimum and one join over the edges, and
-    writes its edges to the shared folder; hubs are never gathered in one task.
-    """
-    edges = shared_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: each node hands its larger neighbours to its smallest neighbour (itself included)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # small star: each node hands its smaller neighbours and itself to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q")).where("p <> q")
-        edges = shared_table(small.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    star = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
-    return star.union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
