@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, shared_table
 
-#: Buckets of the trigram model; strength of each smoothing step; log likelihood a trigram may add at most is tempered by TEMPER.
+#: Buckets of the trigram model; strength of each smoothing step; tempering of the text's log likelihood; rows of evidence broadcast at most.
 BUCKETS, HOST_WEIGHT, DOMAIN_WEIGHT, TEMPER, MAX_CODES = 1 << 15, 4.0, 8.0, 0.25, 10_000
 _DROP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _LANG = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})")
@@ -101,10 +101,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     hosts = read.groupBy("host", "domain").agg(votes().alias("v")).join(domains, "domain").select("host", "v", "p")
 
     def trust(column: str) -> DataFrame:
-        """log P(value | language) of the most frequent values; others say nothing."""
-        seen = read.where(F.col(column) != "").groupBy(column).agg(votes().alias("v"), F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(MAX_CODES)
+        """log P(value | language) of every value; broadcast up to MAX_CODES of them, else joined by a shuffle that AQE splits."""
+        seen = read.where(F.col(column) != "").groupBy(column).agg(votes().alias("v"))
         rows = F.zip_with("v", lit([x + 1 for x in every]), lambda n, all_: F.log((n + 0.05) / all_))
-        return F.broadcast(seen.select(column, rows.alias(f"e_{column}")))  # at most MAX_CODES rows
+        seen = shared_table(seen.select(column, rows.alias(f"e_{column}")))
+        return F.broadcast(seen) if seen.count() <= MAX_CODES else seen.hint("merge")
 
     zero = lit([0.0] * k)
     met = read.join(hosts, "host", "left").join(trust("declared"), "declared", "left").join(trust("address"), "address", "left")
