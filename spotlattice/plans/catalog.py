@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import localisation as fn
 from ..operators import aggregates as agg
 from ..operators import filters as flt
-from ..operators import imaging, spatial, tracing, tracks
+from ..operators import clustering, drift, imaging, spatial, tracing, tracks
 from ..operators.graph import shared_table
-from ..sources import formats
+from ..sources import formats, tsf
 from ..streaming import frames as streams
 from .tables import EV, LOC, PT, localisations, points, read, stream_rows
 
@@ -375,11 +375,32 @@ def single_linkage(df):
     return spatial.single_linkage(df, 0.5)
 
 
-@query(PT.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1), k AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 4), ce AS (SELECT e.* FROM e WHERE a IN (SELECT a FROM k) AND b IN (SELECT a FROM k)), r AS (SELECT a, a AS b FROM k UNION SELECT r.a, ce.b FROM r JOIN ce ON r.b = ce.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), n AS (SELECT a AS row_id, arg_min(b, (d2, b)) AS near FROM e WHERE a NOT IN (SELECT a FROM k) AND b IN (SELECT a FROM k) GROUP BY a) SELECT pt.row_id, coalesce(c.cluster, cn.cluster) AS cluster, c.row_id IS NOT NULL AS core FROM pt LEFT JOIN c USING (row_id) LEFT JOIN n ON n.row_id = pt.row_id LEFT JOIN c cn ON cn.row_id = n.near", points)
+_DBSCAN = PT.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1), k AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 4), ce AS (SELECT e.* FROM e WHERE a IN (SELECT a FROM k) AND b IN (SELECT a FROM k)), r AS (SELECT a, a AS b FROM k UNION SELECT r.a, ce.b FROM r JOIN ce ON r.b = ce.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), n AS (SELECT a AS row_id, arg_min(b, (d2, b)) AS near FROM e WHERE a NOT IN (SELECT a FROM k) AND b IN (SELECT a FROM k) GROUP BY a) SELECT pt.row_id, coalesce(c.cluster, cn.cluster) AS cluster, c.row_id IS NOT NULL AS core FROM pt LEFT JOIN c USING (row_id) LEFT JOIN n ON n.row_id = pt.row_id LEFT JOIN c cn ON cn.row_id = n.near"
+
+
+@query(_DBSCAN, points)
 def dbscan(df):
     return spatial.dbscan(df, 1.0, 4)
 
 
+@query("SELECT row_id, cluster FROM (" + _DBSCAN + ") WHERE core", points)
+def optics_cores(df):
+    """The density order cut at its own reach gives the cores of the same clusters; each is named by its smallest core."""
+    cut = clustering.cut_ordering(clustering.optics(df, 1.0, 4), 1.0).where("core").select("row_id", "cluster")
+    names = cut.groupBy("cluster").agg(F.min("row_id").alias("_first"))
+    return cut.join(names, "cluster").select("row_id", F.col("_first").alias("cluster"))
+
+
+@query(table=points)
+def centroid_linkage(df):
+    return clustering.agglomerate(df, 0.5)
+
+
+@query(table=points)
+def particle_linkage(df):
+    return clustering.agglomerate(df.withColumn("frame", F.col("row_id") % 50).withColumn("end_frame", F.col("frame")), 0.5, "particle", 10, "time")
+
+
 @query(table=points)
 def local_density(df):
     return rounded(spatial.local_density(df, 1))
@@ -469,6 +490,15 @@ def source_binary(df):
     return formats.read_binary(df.sparkSession, path).groupBy("frame", F.col("x").cast("double").alias("x"), F.col("noise").cast("double").alias("noise")).agg(F.count("*").alias("n"))
 
 
+@query(LOC + "SELECT frame, end_frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(intensity AS FLOAT) AS DOUBLE) AS intensity, category FROM loc")
+def source_tsf(df):
+    """Tagged spot files, one a partition, read back."""
+    path = _scratch(df).removeprefix("file:")
+    tsf.write(df.select("frame", "end_frame", "x", "y", "intensity", "noise", "category"), path)
+    doubles = [F.col(c).cast("double").alias(c) for c in ("x", "intensity")]
+    return tsf.read(df.sparkSession, path).select("frame", "end_frame", *doubles, "category")
+
+
 # --- pipelines of analysis ------------------------------------------------------------------------------------------------
 
 
@@ -507,6 +537,21 @@ def fourier_resolution(df):
     return df.sparkSession.createDataFrame([(float(imaging.resolution(rows, 2.0, 128)),)], "fire double")
 
 
+@query(table=points)
+def frequency_correlation(df):
+    return rounded(drift.frequency_correlation(df.withColumns({"x": F.col("x") + 40, "y": F.col("y") + 40}), 2.0, 160, 20), 6)
+
+
+@query()
+def drift_markers(df):
+    return rounded(drift.from_markers(df.withColumn("marker", F.col("category")), 0.05, most=3), 6)
+
+
+@query()
+def drift_images(df):
+    return rounded(drift.from_images(df, 500, 1.0, 64), 6)
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many simulated frames as there are nations: pixels are not among the driver's tables."""
     return imaging.simulate(spark, read(spark, sf_dir, "nation").count())[0]
