@@ -117,6 +117,62 @@ def fit_gaussian(img: np.ndarray, x: int, y: int, n: int = 4, s0: float = 1.2) -
     return (p[0], p[1], p[2], p[3], abs(p[4])) if good else None
 
 
+def fit_psf(img: np.ndarray, x: int, y: int, kind: str = "circular", n: int = 5, s0: float = 1.2, likelihood: bool = True, read_noise: float = 0.0) -> tuple[np.ndarray, np.ndarray] | None:
+    """(parameters, their least deviations) of a point-spread function around a candidate; None if it leaves the window.
+
+    With ``likelihood`` the squares are weighted by the expected light and fitted again, which ends in the Poisson optimum.
+    """
+    from ..functions import camera
+    from ..functions.fits import least_squares
+
+    ys, xs = (np.arange(max(0, c - n), min(size, c + n + 1)) for c, size in ((y, img.shape[0]), (x, img.shape[1])))
+    part = img[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+    low = float(np.percentile(part, 20))
+    shape = {"circular": [s0], "elliptical": [s0, s0], "rotated": [1.2 * s0, s0, 0.1], "astigmatic": [0.01]}[kind]
+    model = lambda p: camera.spot(kind, p, ys, xs)
+    flat = lambda p: model(p).ravel()
+    p, _ = least_squares(flat, np.array([low, max((part - low).sum(), 1.0), x, y, *shape]), part.ravel(), steps=60)
+    for _ in range(4 if likelihood else 0):
+        p, _ = least_squares(flat, p, part.ravel(), 1 / np.maximum(flat(p) + read_noise**2, 0.1), steps=20)
+    if not (xs[0] <= p[2] <= xs[-1] and ys[0] <= p[3] <= ys[-1] and p[1] > 0):
+        return None
+    return p, camera.bounds(model, p, read_noise)
+
+
+def fit_shapes(df: DataFrame, kind: str = "elliptical", sigma: float = 1.0, min_height: float = 4.0, bias: float = 0.0, gain: float = 1.0, read_noise: float = 0.0) -> DataFrame:
+    """Every candidate above ``min_height`` noises fitted by a point-spread function, on photons of a camera's counts.
+
+    (frame, background, intensity, x, y, shape, sd): shape holds the kind's own parameters, sd the least deviations.
+    """
+    from ..functions.camera import corrected
+
+    def run(f: int, raw: np.ndarray) -> list[tuple]:
+        img = corrected(raw, bias, gain)
+        level, smoothed = float(np.median(img)) + min_height * max(noise(img), 1e-9), gaussian(img, sigma)
+        out = []
+        for x, y, _ in maxima(smoothed, 2):
+            found = fit_psf(img, x, y, kind, read_noise=read_noise) if img[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].max() >= level else None
+            if found:
+                p, sd = found
+                out.append((int(f), *map(float, p[:4]), [float(v) for v in p[4:]], [float(v) for v in sd]))
+        return out
+
+    return per_frame(df, run, "frame int, background double, intensity double, x double, y double, shape array<double>, sd array<double>")
+
+
+def gain_of(pixels: DataFrame) -> DataFrame:
+    """(gain, offset): the line of variance over mean of pixels, as ``mean_variance`` gives them."""
+    return pixels.agg(F.regr_slope("variance", "mean").alias("gain"), F.regr_intercept("variance", "mean").alias("offset"))
+
+
+def multiplied_gain(df: DataFrame, bias: float = 0.0) -> tuple[float, float]:
+    """(photons, gain) of an electron-multiplying camera under even light; the driver gets one row a distinct count."""
+    from ..functions.camera import fit_multiplied
+
+    levels = df.select(F.explode("pixels").alias("v")).groupBy(F.round(F.col("v") - bias).alias("v")).agg(F.count("*").alias("n")).orderBy("v").toPandas()
+    return fit_multiplied(levels["v"].to_numpy(float), levels["n"].to_numpy(float))
+
+
 def fit_frames(df: DataFrame, sigma: float = 1.0, failures: int = 3, min_snr: float = 3.0) -> DataFrame:
     """Candidates in rank order, each fitted and validated; a frame ends after too many failures in a row."""
 

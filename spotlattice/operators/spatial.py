@@ -115,3 +115,16 @@ def match_frames(actual: DataFrame, predicted: DataFrame, d: float) -> DataFrame
         out = taken if out is None else out.unionByName(taken)
         left = shared_table(left.join(taken.select("a_row_id"), "a_row_id", "left_anti").join(taken.select("b_row_id"), "b_row_id", "left_anti"))
     return (left if out is None else out).select("frame", "a_row_id", "b_row_id", F.sqrt("d2").alias("distance"))
+
+
+def unmix_channels(df: DataFrame, radius: float, c12: float, c21: float) -> DataFrame:
+    """(row_id, o1, o2, d1, d2, channel): counts of both channels within a radius (the row itself included), freed of
+    crosstalk, and the channel that is stronger then; ties keep the row's own.  Rows of other channels are left out."""
+    from ..functions.localisation import unmix2
+
+    rows = df.where("channel IN (1, 2)").select("row_id", "channel", "x", "y")
+    count = lambda k: F.count(F.when(F.col("b_channel") == k, 1)).alias(f"o{k}")
+    seen = within(rows, rows, radius).groupBy(F.col("a_row_id").alias("row_id"), F.col("a_channel").alias("_own")).agg(count(1), count(2))
+    d1, d2 = unmix2("o1", "o2", c12, c21)
+    out = seen.withColumns({"d1": d1, "d2": d2})
+    return out.withColumn("channel", F.when(F.col("d1") > F.col("d2"), 1).when(F.col("d1") < F.col("d2"), 2).otherwise(F.col("_own"))).drop("_own")

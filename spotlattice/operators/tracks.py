@@ -78,6 +78,16 @@ def bursts(df: DataFrame, dark_tolerance: int, min_size: int) -> DataFrame:
     return out.agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.sum("c").alias("size")).where(F.col("size") >= min_size)
 
 
+def burst_clusters(df: DataFrame, dark_tolerance: int, min_size: int) -> DataFrame:
+    """The same bursts with duration, bounding area and density of their rows; density is null where there is no area."""
+    w = Window.partitionBy("id").orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(w)
+    out = df.withColumn("_new", F.when(gap > dark_tolerance + 1, 1).otherwise(0)).withColumn("burst", F.sum("_new").over(w).cast("int")).groupBy("id", "burst")
+    area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
+    sums = out.agg(F.count("*").alias("size"), (F.max("frame") - F.min("frame") + 1).alias("duration"), area.alias("area"))
+    return sums.where(F.col("size") >= min_size).withColumn("density", F.when(F.col("area") > 0, F.col("size") / F.col("area")))
+
+
 def activations(df: DataFrame, dark_frames: int, repeat: int, starts: list[int]) -> DataFrame:
     """Numbers activations by the gap to the end of the row before; the channel is the start that frame mod repeat meets."""
     new = F.when(F.col("frame") >= F.lag("end_frame").over(by_track()) + dark_frames + 1, 1).otherwise(0)

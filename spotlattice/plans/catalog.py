@@ -307,6 +307,17 @@ def bursts(df):
     return tracks.bursts(df, 24, 2)
 
 
+@query(LOC + ", n AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) > 11 THEN 1 ELSE 0 END AS new FROM loc), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame) AS INT) AS burst FROM n), s AS (SELECT id, burst, count(*) AS size, max(frame) - min(frame) + 1 AS duration, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM b GROUP BY id, burst HAVING count(*) >= 2) SELECT id, burst, size, duration, round(area, 6) AS area, round(CASE WHEN area > 0 THEN size / area END, 6) AS density FROM s")
+def burst_clusters(df):
+    return rounded(tracks.burst_clusters(df, 10, 2), 6)
+
+
+@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc WHERE frame BETWEEN 1000 AND 1099 GROUP BY ALL")
+def render_rolling(df):
+    """The image of the last 100 frames up to one."""
+    return rounded(agg.render(df.where("frame BETWEEN 1000 AND 1099"), 2.0), 3)
+
+
 @query(LOC + ", n AS (SELECT *, CASE WHEN frame >= lag(end_frame) OVER (PARTITION BY id ORDER BY frame, row_id) + 11 THEN 1 ELSE 0 END AS new FROM loc) SELECT row_id, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame, row_id) AS INT) AS activation, CASE WHEN frame % 30 = 1 THEN 1 WHEN frame % 30 = 11 THEN 2 ELSE 0 END AS channel FROM n")
 def activations(df):
     return tracks.activations(df, 10, 30, [1, 11]).select("row_id", "activation", "channel")
@@ -391,6 +402,11 @@ def optics_cores(df):
     return cut.join(names, "cluster").select("row_id", F.col("_first").alias("cluster"))
 
 
+@query(PT + ", c AS (SELECT a.row_id, a.id % 2 + 1 AS own, sum(CASE WHEN b.id % 2 = 0 THEN 1 ELSE 0 END) AS o1, sum(CASE WHEN b.id % 2 = 1 THEN 1 ELSE 0 END) AS o2 FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 GROUP BY 1, 2), d AS (SELECT *, (o1 - 0.2 * o2) / (1 - 0.02) AS d1 FROM c), e AS (SELECT *, o2 - 0.1 * d1 AS d2 FROM d) SELECT row_id, o1, o2, round(d1, 6) AS d1, round(d2, 6) AS d2, CAST(CASE WHEN d1 > d2 THEN 1 WHEN d1 < d2 THEN 2 ELSE own END AS INT) AS channel FROM e", points)
+def unmix_channels(df):
+    return rounded(spatial.unmix_channels(df.withColumn("channel", F.col("id") % 2 + 1), 3.0, 0.1, 0.2), 6).withColumn("channel", F.col("channel").cast("int"))
+
+
 @query(table=points)
 def centroid_linkage(df):
     return clustering.agglomerate(df, 0.5)
@@ -441,6 +457,11 @@ def hysteresis_filter(df):
     return tracing.hysteresis(_tracks_of(df), F.col("intensity") > 80, F.col("intensity") > 40, 0.05, 24).select("row_id")
 
 
+@query(table=stream_rows)
+def trace_thresholds(df):
+    return rounded(tracing.threshold_grid(_tracks_of(df), [0.05], [1, 24]), 6)
+
+
 @query(table=stream_rows)
 def multiple_target(df):
     return tracing.multiple_target(_tracks_of(df), 1e-6, gap=15)
@@ -580,3 +601,34 @@ def sum_frames(df):
 @query(table=_images)
 def pixel_mean_variance(df):
     return imaging.mean_variance(df)
+
+
+@query(table=_images)
+def pixel_gain(df):
+    return rounded(imaging.gain_of(imaging.mean_variance(df)), 6)
+
+
+@query(table=_images)
+def fit_shapes(df):
+    return imaging.fit_shapes(df, "elliptical", 1.3)
+
+
+@query(table=_images)
+def multiplied_gain(df):
+    photons, gain = imaging.multiplied_gain(df)
+    return df.sparkSession.createDataFrame([(round(photons, 4), round(gain, 4))], "photons double, gain double")
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of simulated frames matched to where the spots were put, with the scores of the match."""
+    frames, truth = imaging.simulate(spark, read(spark, sf_dir, "nation").count())
+    numbered = lambda df, seed: df.withColumn("row_id", F.xxhash64("frame", "x", "y", F.lit(seed)))
+    real, found = shared_table(numbered(truth, 0)), shared_table(numbered(imaging.fit_frames(frames, 1.3).select("frame", "x", "y"), 1))
+    pairs = spatial.match_frames(real, found, 2.0).count()
+    counts = spark.createDataFrame([(float(pairs), float(found.count() - pairs), 0.0, float(real.count() - pairs))], "tp double, fp double, tn double, fn double")
+    return agg.match_metrics(counts).select("recall", "precision", "jaccard")
+
+
+@query(table=_benchmark)
+def benchmark_fits(df):
+    return rounded(df, 6)
