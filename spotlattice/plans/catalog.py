@@ -199,9 +199,9 @@ def cluster_stats(df):
     return rounded(agg.clusters(df, weighted=True).withColumn("signal", F.round("signal", 3)))
 
 
-@query()
+@query(LOC + ", p AS (SELECT *, CASE WHEN precision > 0 THEN precision ELSE 1 END AS p FROM loc), c AS (SELECT id, count(*) AS n, max(p) AS own, sum(intensity * x) / sum(intensity) AS cx, sum(intensity * y) / sum(intensity) AS cy FROM p GROUP BY id), d AS (SELECT p.id, any_value(n) AS n, any_value(own) AS own, sqrt((sum(intensity * (x - cx) * (x - cx)) + sum(intensity * p * p)) / sum(intensity) / 2) AS vx, sqrt((sum(intensity * (y - cy) * (y - cy)) + sum(intensity * p * p)) / sum(intensity) / 2) AS vy FROM p JOIN c ON p.id = c.id GROUP BY p.id) SELECT id, n, round(CASE WHEN n = 1 THEN own ELSE greatest(vx, vy) END, 6) AS precision FROM d")
 def cluster_precision(df):
-    return rounded(agg.weighted_precision(df))
+    return rounded(agg.weighted_precision(df), 6)
 
 
 @query(LOC + ", j AS (SELECT id, (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS d2 FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)) SELECT id, count(*) AS n, round(avg(d2), 9) AS msd, round(avg(sqrt(d2)), 9) AS mean_distance FROM j GROUP BY id")
@@ -500,7 +500,7 @@ def source_delimited(df):
 @query("SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_linenumber AS INT) AS frame, CAST(l_partkey AS DOUBLE) AS intensity FROM lineitem", lambda spark, sf_dir: read(spark, sf_dir, "lineitem"))
 def source_malk(df):
     path = _scratch(df)
-    df.selectExpr("concat_ws(' ', cast(l_quantity as double), cast(l_extendedprice as double), l_linenumber, l_partkey) AS value").write.text(path)
+    formats.write_malk(df.selectExpr("l_quantity AS x", "l_extendedprice AS y", "l_linenumber AS frame", "l_partkey AS intensity"), path)
     return formats.malk(df.sparkSession, path)
 
 
@@ -511,6 +511,14 @@ def source_binary(df):
     return formats.read_binary(df.sparkSession, path).groupBy("frame", F.col("x").cast("double").alias("x"), F.col("noise").cast("double").alias("noise")).agg(F.count("*").alias("n"))
 
 
+@query(LOC + "SELECT CAST(id AS INT) AS id, category, frame, end_frame, noise, intensity, x, y FROM loc")
+def source_results(df):
+    """Result files with their columns named in the first line, read back."""
+    path = _scratch(df)
+    formats.write_results(df.select("id", "category", "frame", "end_frame", "noise", "intensity", "x", "y"), path, {"x": "px", "y": "px"})
+    return formats.read_results(df.sparkSession, path)
+
+
 @query(LOC + "SELECT frame, end_frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(intensity AS FLOAT) AS DOUBLE) AS intensity, category FROM loc")
 def source_tsf(df):
     """Tagged spot files, one a partition, read back."""

@@ -54,8 +54,7 @@ def delimited(spark: SparkSession, path: str, columns: dict[str, int], delimiter
     """A table by a map of names to field numbers.  Lines that lack a field or hold no number there are bad: dropped, or
     kept and flagged with ``keep_bad``.  A width on one axis also sets the other."""
     rows = _fields(spark, path, delimiter, comment, header)
-    whole = {"frame", "id", "end_frame", "category", "orig_x", "orig_y"}
-    get = lambda n, k: F.get("f", F.lit(k)).try_cast("int" if n in whole else "double").alias(n)
+    get = lambda n, k: F.get("f", F.lit(k)).try_cast("int" if n in WHOLE else "double").alias(n)
     out = rows.select(*[get(n, k) for n, k in columns.items()])
     if "sx" in columns and "sy" not in columns:
         out = out.withColumn("sy", F.col("sx"))
@@ -104,6 +103,70 @@ def read_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
 
+#: The names of result files, without units, and the columns they stand for.
+RESULT_NAMES = {
+    "Id": "id", "Category": "category", "Frame": "frame", "Peak": "frame", "End Frame": "end_frame", "End Peak": "end_frame", "origX": "orig_x", "origY": "orig_y",
+    "origValue": "orig_value", "Error": "error", "Noise": "noise", "Mean": "mean_intensity", "Background": "background", "Intensity": "intensity", "Signal": "intensity",
+    "X": "x", "Y": "y", "Z": "z", "S": "sx", "Sx": "sx", "Sy": "sy", "Precision": "precision",
+}
+WHOLE = {"frame", "id", "end_frame", "category", "orig_x", "orig_y"}
+
+
+def result_columns(header: str) -> tuple[list[str], dict[str, str]]:
+    """The columns of a header line and their units; a deviation is named after the column before it, unknown names are kept."""
+    names: list[str] = []
+    units: dict[str, str] = {}
+    for field in header.lstrip("#").rstrip("\n").split("\t"):
+        name, _, unit = field.strip().partition(" (")
+        names.append(f"{names[-1]}_sd" if name == "+/-" and names else RESULT_NAMES.get(name, name))
+        if unit:
+            units[names[-1]] = unit.rstrip(")")
+    return names, units
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated result file of any version: columns come from the last # line that has tabs among
+    the first 200 lines, with end frames, ids, categories, deviations and precisions where it names them.  Lines with too
+    few or bad fields are left out."""
+    heads = [r[0] for r in spark.read.text(path).limit(200).collect() if r[0].startswith("#") and "\t" in r[0]]
+    if not heads:
+        raise ValueError("no line names the columns")
+    names, _ = result_columns(heads[-1])
+    kind = lambda n: "int" if n in WHOLE else "double"
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.split("value", "\t", -1).alias("f"))
+    return rows.select(*[F.get("f", F.lit(k)).try_cast(kind(n)).alias(n) for k, n in enumerate(names)]).where(_all_set(*names))
+
+
+def write_results(df: DataFrame, path: str, units: dict[str, str] | None = None) -> None:
+    """Tab-separated result files; each part starts with a # line of names and units.  Only known columns are written, and
+    rows that lack one of them cannot be: they raise no error but read back as bad lines."""
+    named = {c: n for n, c in reversed(RESULT_NAMES.items())}
+    have = [c for c in named if c in df.columns]
+    order = sorted(have, key=lambda c: list(RESULT_NAMES.values()).index(c))
+    label = lambda c: named[c] + (f" ({units[c]})" if units and c in units else "")
+    df.select(*[F.col(c).alias(("#" if k == 0 else "") + label(c)) for k, c in enumerate(order)]).write.option("comment", "~").csv(path, sep="\t", header=True)  # or # is quoted
+
+
+def write_malk(df: DataFrame, path: str) -> None:
+    """x y frame intensity, parted by blanks, as ``malk`` reads them."""
+    df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x", "y", "frame", "intensity")]).alias("value")).write.text(path)
+
+
+def write_columns(df: DataFrame, path: str, columns: list[tuple[str, Column]], suffix: str = "") -> None:
+    """Text of chosen expressions under chosen names, each value with ``suffix``."""
+    df.select(*[F.concat(c.cast("string"), F.lit(suffix)).alias(n) for n, c in columns]).write.csv(path, sep="\t", header=True)
+
+
+def fan_out(df: DataFrame, *sinks) -> DataFrame:
+    """Gives one stored copy of the rows to every sink, so they are computed once; returns the copy."""
+    from ..operators.graph import shared_table
+
+    stored = shared_table(df)
+    for sink in sinks:
+        sink(stored)
+    return stored
+
+
 RECORD = struct.Struct(">iffff")
 
 

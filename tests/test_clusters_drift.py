@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlattice.operators import clustering, drift
-from spotlattice.sources import tsf
+from spotlattice.sources import formats, tsf
 
 
 def table(spark, xy, frames=None):
@@ -125,3 +125,23 @@ def test_spot_files(spark, tmp_path):
     assert got == [(1, 2, 1.5, -2.0, 100.0, None, 3), (7, 9, 0.0, 4.0, 5.0, 0.5, None)]
     assert tsf.read(spark, str(tmp_path / "t"), channel=2).count() == 0
     assert tsf.decode(memoryview(tsf.encode(3, "int", -4) + tsf.encode(1500, "double", 2.5))) == {3: -4, 1500: 2.5}
+
+
+def test_result_files(spark, tmp_path):
+    """Files as other tools write them: preamble, units, deviations; short and odd lines are left out."""
+    text = "#Results\n#Version Text.V4.D1.E3\n#Id\tFrame\torigX\tError\tX (px)\t+/-\tPrecision (nm)\n3\t1\t7\t0.5\t1.25\t0.1\t20\n4\t2\t8\n5\tx\t7\t0.5\t1.25\t0.1\t20\n"
+    (tmp_path / "r.txt").write_text(text)
+    df = formats.read_results(spark, str(tmp_path / "r.txt"))
+    assert df.columns == ["id", "frame", "orig_x", "error", "x", "x_sd", "precision"]
+    assert [tuple(r) for r in df.collect()] == [(3, 1, 7, 0.5, 1.25, 0.1, 20.0)]
+    assert formats.result_columns("#Frame\tX (px)")[1] == {"x": "px"}
+    (tmp_path / "none.txt").write_text("1 2 3\n")
+    with pytest.raises(ValueError):
+        formats.read_results(spark, str(tmp_path / "none.txt"))
+
+
+def test_fan_out(spark, tmp_path):
+    df = table(spark, [(1.0, 2.0), (3.0, 4.0)])
+    formats.fan_out(df, lambda d: formats.write_malk(d, str(tmp_path / "m")), lambda d: formats.write_columns(d, str(tmp_path / "c"), [("pos", F.col("x") * 2)], " nm"))
+    assert sorted(r.x for r in formats.malk(spark, str(tmp_path / "m")).collect()) == [1.0, 3.0]
+    assert sorted(r[0] for r in spark.read.csv(str(tmp_path / "c"), sep="\t", header=True).collect()) == ["2.0 nm", "6.0 nm"]
