@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import shared_table
@@ -77,15 +77,31 @@ def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(fx - w if fx > w / 2 else fx), float(fy - h if fy > h / 2 else fy)
 
 
-def from_images(df: DataFrame, frames: int, scale: float, size: int) -> DataFrame:
+def finite(name: str) -> Column:
+    return F.abs(F.col(name)) < float("inf")  # NaN is above all numbers
+
+
+def extent(raster: DataFrame) -> tuple[int, int, int]:
+    """The lowest px and py, and the side of the square of pixels from there that holds them all; 0 without pixels."""
+    x0, x1, y0, y1 = raster.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    return (0, 0, 0) if x0 is None else (x0, y0, max(x1 - x0, y1 - y0) + 1)
+
+
+def from_images(df: DataFrame, frames: int, scale: float, size: int, most: int = 1024) -> DataFrame:
     """(block, frame, dx, dy): each block of frames aligned to the image of all rows; frame is the block's middle.
 
-    Blocks are rastered by Spark and one block's ``size`` squared pixels are one group; the reference image, as large, is
-    sent to the tasks.  Rows outside the image do not count.
+    Blocks are rastered by Spark and one block's image is one group; the reference image, as large, is sent to the tasks.
+    Images cover the bounds of all rows, with ``size`` pixels a side at least.  Where that takes more than ``most`` a side,
+    pixels are whole times larger instead, so no row falls outside; only rows without a finite position do not count.
     """
-    pixel = lambda c: F.floor(F.col(c) * scale).cast("int")
-    raster = df.select(F.floor(F.col("frame") / frames).cast("int").alias("block"), pixel("x").alias("px"), pixel("y").alias("py"), "intensity")
-    raster = shared_table(raster.where(f"px >= 0 AND py >= 0 AND px < {size} AND py < {size}").groupBy("block", "px", "py").agg(F.sum("intensity").alias("v")))
+    pixel = lambda c: F.floor(F.col(c) * scale)
+    raster = df.where(finite("x") & finite("y")).select(F.floor(F.col("frame") / frames).cast("int").alias("block"), pixel("x").alias("px"), pixel("y").alias("py"), "intensity")
+    raster = shared_table(raster.groupBy("block", "px", "py").agg(F.sum("intensity").alias("v")))
+    x0, y0, side = extent(raster)
+    fold = max(1, -(-side // most))
+    size, scale = max(size, -(-side // fold)), scale / fold
+    cell = lambda c, low: F.floor((F.col(c) - low) / fold).cast("int").alias(c)
+    raster = raster.groupBy("block", cell("px", x0), cell("py", y0)).agg(F.sum("v").alias("v"))
     whole = raster.groupBy("px", "py").agg(F.sum("v").alias("v")).toPandas()
     reference = np.zeros((size, size))
     reference[whole["py"], whole["px"]] = whole["v"]

@@ -108,6 +108,20 @@ def test_image_drift(spark):
     assert got[0] == pytest.approx((0, 0), abs=0.5) and got[3] == pytest.approx((-4, 2), abs=0.6)
 
 
+def test_image_drift_of_rows_beyond_the_size(spark):
+    rng = np.random.default_rng(8)
+    spots = rng.uniform((-30, 70), (10, 105), (25, 2))  # all outside of 0 to 64
+    xy = np.concatenate([spots, spots, spots, spots + (4, -2), [(math.nan, 3.0)]])
+    df = table(spark, xy, np.repeat([0, 1, 2, 3, 4], [25, 25, 25, 25, 1]))
+    got = {r.block: (r.dx, r.dy) for r in drift.from_images(df, 1, 1.0, 64).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    assert got[0] == pytest.approx((0, 0), abs=0.5) and got[3] == pytest.approx((-4, 2), abs=0.6)
+    far = spots * 10  # more than ``most`` pixels a side: they get larger
+    xy = np.concatenate([far, far, far, far + (40, -20)])
+    got = {r.block: (r.dx, r.dy) for r in drift.from_images(table(spark, xy, np.repeat([0, 1, 2, 3], 25)), 1, 1.0, 64, most=100).collect()}
+    assert got[0] == pytest.approx((0, 0), abs=5) and got[3] == pytest.approx((-40, 20), abs=6)
+
+
 def test_frequency_correlation(spark):
     rng = np.random.default_rng(7)
     flat = {r.radius: r.g for r in drift.frequency_correlation(table(spark, rng.uniform(0, 64, (4000, 2))), 1.0, 64, 10).collect()}
