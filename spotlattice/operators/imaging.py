@@ -63,8 +63,10 @@ def maxima(img: np.ndarray, n: int) -> list[tuple[int, int, float]]:
     p = np.pad(img, n, constant_values=-np.inf)
     top = np.lib.stride_tricks.sliding_window_view(p, (2 * n + 1, 2 * n + 1)).max(axis=(2, 3))
     out: list[tuple[int, int, float]] = []
+    near = np.zeros(img.shape, bool)  # within n of an accepted pixel; rows come in order, so only those to come are marked
     for y, x in zip(*np.nonzero(img >= top), strict=True):
-        if not any(abs(x - a) <= n and abs(y - b) <= n for a, b, _ in out[-50:]):
+        if not near[y, x]:
+            near[y : y + n + 1, max(0, x - n) : x + n + 1] = True
             out.append((int(x), int(y), float(img[y, x])))
     return sorted(out, key=lambda s: -s[2])
 

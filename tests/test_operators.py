@@ -157,6 +157,23 @@ def test_spots_are_found_and_fitted(spark):
     assert (fitted.intensity / 800).between(0.7, 1.3).all()
 
 
+def test_plateaus_of_wide_frames_give_their_first_pixels():
+    def plain(img, n):
+        p = np.pad(img, n, constant_values=-np.inf)
+        top = np.lib.stride_tricks.sliding_window_view(p, (2 * n + 1, 2 * n + 1)).max(axis=(2, 3))
+        out = []
+        for y, x in np.argwhere(img >= top):
+            if not any(abs(x - a) <= n and abs(y - b) <= n for a, b, _ in out):
+                out.append((x, y, img[y, x]))
+        return sorted(out, key=lambda s: -s[2])
+
+    flat, noisy = np.zeros((40, 256)), np.random.default_rng(9).normal(0, 1, (24, 2048))
+    noisy[9:15, 1000:1006] = 50.0
+    assert len(imaging.maxima(flat, 2)) == 14 * 86  # one in each square of side n + 1
+    assert imaging.maxima(noisy, 2) == plain(noisy, 2)
+    assert [(x, y) for x, y, v in imaging.maxima(noisy, 2) if v == 50.0] == [(x, y) for y in (9, 12) for x in (1000, 1003)]
+
+
 def test_smoothing_keeps_flat_images():
     flat = np.full((9, 9), 3.0)
     for kind, f in imaging.SMOOTHERS.items():
