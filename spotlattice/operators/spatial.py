@@ -48,9 +48,18 @@ def ripley(df: DataFrame, radius: float, area: float) -> DataFrame:
     return rows.join(counts, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n")).withColumns({"k": k, "l": F.sqrt(k / math.pi), "l_minus_r": F.sqrt(k / math.pi) - radius})
 
 
-def pair_correlation(df: DataFrame, radius: float, step: float, inner: tuple[float, float, float, float]) -> DataFrame:
-    """g(r) in rings of width ``step`` around the centres inside a box, in units of pairs per area and centre."""
+def pair_correlation(df: DataFrame, radius: float, step: float, inner: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """g(r) in rings of width ``step`` around the centres inside a box, in units of pairs per area and centre.
+
+    Without a box, centres are all rows at least ``radius`` inside the bounds of the rows, so that no ring is cut by an edge.
+    """
     rows = df.select("row_id", "x", "y")
+    if inner is None:
+        placed = rows.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))  # NaN is above all numbers
+        x0, x1, y0, y1 = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if x0 is not None and (x1 - x0 <= 2 * radius or y1 - y0 <= 2 * radius):
+            raise ValueError(f"no centre is {radius} inside bounds of {x1 - x0} by {y1 - y0}")
+        inner = (0.0, 0.0, 0.0, 0.0) if x0 is None else (x0 + radius, x1 - radius, y0 + radius, y1 - radius)
     x0, x1, y0, y1 = inner
     centres = rows.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
     n = centres.count()

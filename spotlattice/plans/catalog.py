@@ -381,6 +381,12 @@ def pair_correlation(df):
     return rounded(spatial.pair_correlation(df, 5.0, 0.5, (-10, 10, -10, 10)), 6)
 
 
+@query(PT + ", e AS (SELECT min(x) + 5 AS x0, max(x) - 5 AS x1, min(y) + 5 AS y0, max(y) - 5 AS y1 FROM pt), c AS (SELECT pt.* FROM pt, e WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), p AS (SELECT CAST(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS ring FROM c a JOIN pt b ON a.row_id <> b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25) SELECT ring, count(*) AS pairs, round(count(*) / ((SELECT count(*) FROM c) * pi() * 0.25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) AS g FROM p GROUP BY ring", points)
+def pair_correlation_inset(df):
+    """Around every row that lies the radius inside the bounds of all rows; ``pair_correlation`` keeps to its fixed box."""
+    return rounded(spatial.pair_correlation(df, 5.0, 0.5), 6)
+
+
 @query(PT.replace("WITH", "WITH RECURSIVE") + ", e AS (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25), r AS (SELECT row_id AS a, row_id AS b FROM pt UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a", points)
 def single_linkage(df):
     return spatial.single_linkage(df, 0.5)

@@ -92,6 +92,22 @@ def test_fail_counters(spark, kind):
     assert got == want
 
 
+def test_pair_correlation_without_a_box(spark):
+    xy = np.random.default_rng(3).uniform((-40, 100), (40, 150), (300, 2))
+    df = locs(spark, [(k, 1, float(x), float(y)) for k, (x, y) in enumerate(xy)])
+    low, high = xy.min(0) + 5, xy.max(0) - 5
+    centres = np.flatnonzero(((xy >= low) & (xy <= high)).all(1))
+    d = np.hypot(*(xy[centres][:, None] - xy[None]).transpose(2, 0, 1))
+    d[np.arange(len(centres)), centres] = np.inf
+    want = {k: int(((d >= k) & (d < k + 1)).sum()) for k in range(5)}
+    got = spatial.pair_correlation(df, 5.0, 1.0).collect()
+    assert {r.ring: r.pairs for r in got} == want
+    assert {r.ring: r.g for r in got} == pytest.approx({k: n / (len(centres) * np.pi * (2 * k + 1)) for k, n in want.items()})
+    with pytest.raises(ValueError):
+        spatial.pair_correlation(df, 30.0, 1.0)
+    assert spatial.pair_correlation(df.where("row_id < 0"), 5.0, 1.0).count() == 0
+
+
 def test_match_is_one_to_one(spark):
     rng = np.random.default_rng(2)
     a = locs(spark, [(k, int(k % 3), float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 20, (60, 2)))])
