@@ -81,10 +81,10 @@ def finite(name: str) -> Column:
     return F.abs(F.col(name)) < float("inf")  # NaN is above all numbers
 
 
-def extent(raster: DataFrame) -> tuple[int, int, int]:
-    """The lowest px and py, and the side of the square of pixels from there that holds them all; 0 without pixels."""
+def extent(raster: DataFrame) -> tuple[int, int, int, int]:
+    """The lowest px and py, and the width and height in pixels from there that hold them all; 0 without pixels."""
     x0, x1, y0, y1 = raster.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    return (0, 0, 0) if x0 is None else (x0, y0, max(x1 - x0, y1 - y0) + 1)
+    return (0, 0, 0, 0) if x0 is None else (x0, y0, x1 - x0 + 1, y1 - y0 + 1)
 
 
 def from_images(df: DataFrame, frames: int, scale: float, size: int, most: int = 1024) -> DataFrame:
@@ -97,7 +97,8 @@ def from_images(df: DataFrame, frames: int, scale: float, size: int, most: int =
     pixel = lambda c: F.floor(F.col(c) * scale)
     raster = df.where(finite("x") & finite("y")).select(F.floor(F.col("frame") / frames).cast("int").alias("block"), pixel("x").alias("px"), pixel("y").alias("py"), "intensity")
     raster = shared_table(raster.groupBy("block", "px", "py").agg(F.sum("intensity").alias("v")))
-    x0, y0, side = extent(raster)
+    x0, y0, width, height = extent(raster)
+    side = max(width, height)
     fold = max(1, -(-side // most))
     size, scale = max(size, -(-side // fold)), scale / fold
     cell = lambda c, low: F.floor((F.col(c) - low) / fold).cast("int").alias(c)
@@ -116,24 +117,31 @@ def from_images(df: DataFrame, frames: int, scale: float, size: int, most: int =
     return raster.groupBy("block").applyInPandas(align, "block int, frame int, dx double, dy double")
 
 
-def frequency_correlation(df: DataFrame, scale: float, size: int, reach: int, window: bool = True) -> DataFrame:
+def frequency_correlation(df: DataFrame, scale: float, size: int | None, reach: int, window: bool = True, most: int = 2048) -> DataFrame:
     """(radius, g, se, n): pair correlation of the image of all rows by Fourier transform, by whole pixel radius from 1.
 
-    The raster is made by Spark; the driver gets at most ``size`` squared pixels.  The image is padded by ``reach``, tapered
-    if ``window`` is set, and divided by the autocorrelation of its own weights.
+    The raster is made by Spark; it covers the bounds of all rows, with ``size`` pixels a side at least, if that is given.  The
+    driver gets its pixels; bounds of more than ``most`` a side are refused, never cut.  The image is padded by ``reach``,
+    tapered if ``window`` is set, and divided by the autocorrelation of its own weights; lags without weight do not count.
     """
     from .aggregates import render
 
-    part = render(df.withColumn("intensity", F.lit(1.0)), scale).where(f"px >= 0 AND py >= 0 AND px < {size} AND py < {size}").toPandas()
-    img = np.zeros((size, size))
-    img[part["py"], part["px"]] = part["value"]
-    edge = np.arange(size)
-    taper = np.minimum(1.0, (np.minimum(edge, edge[::-1]) + 1) / max(1, size // 8)) if window else np.ones(size)
-    weight = np.outer(taper, taper)
-    auto = lambda v: np.fft.fftshift(np.fft.ifft2(np.abs(np.fft.fft2(v, (size + reach,) * 2)) ** 2).real)
-    density = (img * weight).sum() / weight.sum()
-    g = auto(img * weight) / np.maximum(auto(weight), 1e-9) / max(density, 1e-300) ** 2
-    y, x = np.indices(g.shape) - (size + reach) // 2
-    r = np.rint(np.hypot(x, y)).astype(int)
-    out = [(k, float(v.mean()), float(v.std(ddof=1) / np.sqrt(len(v))), len(v)) for k in range(1, reach + 1) for v in [g[r == k]]]
-    return df.sparkSession.createDataFrame(out, "radius int, g double, se double, n int")
+    raster, schema = shared_table(render(df.where(finite("x") & finite("y")).withColumn("intensity", F.lit(1.0)), scale)), "radius int, g double, se double, n int"
+    x0, y0, width, height = extent(raster)
+    if max(width, height) > most:
+        raise ValueError(f"an image of {width} by {height} pixels exceeds {most} a side: the scale must be less")
+    shape = max(height, size or 0), max(width, size or 0)
+    if not all(shape):
+        return df.sparkSession.createDataFrame([], schema)
+    part, img = raster.toPandas(), np.zeros(shape)
+    img[part["py"] - y0, part["px"] - x0] = part["value"]
+    edges = [np.arange(n) for n in shape]
+    weight = np.outer(*[np.minimum(1.0, (np.minimum(e, e[::-1]) + 1) / max(1, len(e) // 8)) if window else np.ones(len(e)) for e in edges])
+    padded = [n + reach for n in shape]
+    auto = lambda v: np.fft.fftshift(np.fft.ifft2(np.abs(np.fft.fft2(v, padded)) ** 2).real)
+    density, overlap = (img * weight).sum() / weight.sum(), auto(weight)
+    g = auto(img * weight) / np.maximum(overlap, 1e-9) / max(density, 1e-300) ** 2
+    y, x = (k - n // 2 for k, n in zip(np.indices(g.shape), padded, strict=True))
+    r = np.where(overlap > 1e-6, np.rint(np.hypot(x, y)).astype(int), -1)
+    out = [(k, float(v.mean()), float(v.std(ddof=1) / np.sqrt(len(v))), len(v)) for k in range(1, reach + 1) for v in [g[r == k]] if len(v) > 1]
+    return df.sparkSession.createDataFrame(out, schema)

@@ -574,7 +574,7 @@ def fourier_resolution(df):
 
 @query(table=points)
 def frequency_correlation(df):
-    return rounded(drift.frequency_correlation(df.withColumns({"x": F.col("x") + 40, "y": F.col("y") + 40}), 2.0, 160, 20), 6)
+    return rounded(drift.frequency_correlation(df, 2.0, None, 20), 6)
 
 
 @query()

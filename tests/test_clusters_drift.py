@@ -131,6 +131,24 @@ def test_frequency_correlation(spark):
     assert close[1] > 3 and close[1] > close[8]
 
 
+def test_frequency_correlation_of_all_rows(spark):
+    xy = np.random.default_rng(12).uniform((-70, 30), (-10, 110), (3000, 2))  # not square, none of it in 0 to 64
+    px = np.floor(xy).astype(int)
+    at = {}
+    for k in range(1, 6):
+        lags = [(i, j) for i in range(-k - 1, k + 2) for j in range(-k - 1, k + 2) if round(math.hypot(i, j)) == k]
+        img = np.zeros((80, 60))
+        np.add.at(img, (px[:, 1] - 30, px[:, 0] + 70), 1)
+        big = np.pad(img, k + 1)
+        pairs = [(img * np.roll(big, (j, i), (0, 1))[k + 1 : -k - 1, k + 1 : -k - 1]).sum() / ((60 - abs(i)) * (80 - abs(j))) for i, j in lags]
+        at[k] = np.mean(pairs) / img.mean() ** 2
+    got = drift.frequency_correlation(table(spark, [*xy, (math.nan, 5.0)]), 1.0, None, 5, window=False).collect()
+    assert {r.radius: r.g for r in got} == pytest.approx(at)
+    assert drift.frequency_correlation(table(spark, xy).limit(0), 1.0, None, 5).count() == 0
+    with pytest.raises(ValueError):
+        drift.frequency_correlation(table(spark, xy), 1.0, None, 5, most=70)
+
+
 def test_spot_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 1.5, -2.0, 100.0, None, 3), (7, 9, 0.0, 4.0, 5.0, 0.5, None)], "frame int, end_frame int, x double, y double, intensity double, noise double, category int").withColumn("other", F.lit("a"))
     assert tsf.write(df.repartition(3), str(tmp_path / "t")) == 2
