@@ -62,12 +62,17 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, id_col: st
     return found.groupBy("_blob").agg(F.first("spans").alias("spans")).select(F.col("_blob").alias("blob"), F.lit(RULES_VERSION).alias("rules"), "spans")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _blob, spans) for every version: what the ledger knows and what was scanned now, joined to all paths."""
+def _hits(versions: DataFrame, ledger: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """(_blob, spans) of the blobs with findings, those that the ledger knows and those scanned now."""
     found = scan_unseen(versions, ledger, id_col, text_col)
     if ledger is not None:
         found = found.unionByName(ledger.where(F.col("rules") == RULES_VERSION).select("blob", "rules", "spans"))
-    hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+    return found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _blob, spans) for every version: what the ledger knows and what was scanned now, joined to all paths."""
+    hits = _hits(versions, ledger, id_col, text_col)
     return _addressed(versions, id_col, text_col).select("_id", "_blob").join(hits, "_blob", "left").select("_id", "_blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
@@ -81,12 +86,12 @@ def query(docs: DataFrame) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledger: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """docs with the same columns, each span of the text replaced by ``mark``.
 
-    Here a path is its text, so the texts' own blobs are redacted where they lie: no join is needed and none is made.
+    Spans are those of ``scan``: a blob is scanned once unless the ledger has it, and joined back to every row that holds it.
     """
-    text = docs[text_col]
+    text, spans = F.col(text_col), F.col("_spans")
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
@@ -94,5 +99,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate(all_spans(text), zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return docs.select(*[(F.when(F.size(all_spans(text)) > 0, clean).otherwise(text).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    hits = _hits(docs, ledger, id_col, text_col).withColumnRenamed("spans", "_spans")
+    keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+    marked = keyed.join(hits.hint("shuffle_hash"), "_blob", "left")
+    return marked.select(*[F.when(spans.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])

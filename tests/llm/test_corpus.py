@@ -86,6 +86,18 @@ def test_redaction(odd):
     assert text[9] == dict(ODD)[9] and text[1] is None and secret_scan.redact(odd).columns == odd.columns
 
 
+def test_redaction_takes_its_spans_from_the_ledger(odd):
+    texts = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+    whole = secret_scan.redact(odd)
+    assert whole.count() == len(ODD)
+    known = secret_scan.scan_unseen(odd.where("doc_id <= 12"))
+    assert texts(secret_scan.redact(odd, ledger=known)) == texts(whole)
+    none = secret_scan.scan_unseen(odd).withColumn("spans", F.slice("spans", 1, 0))
+    assert texts(secret_scan.redact(odd, ledger=none)) == texts(odd)  # nothing is scanned again
+    twice = odd.where("doc_id = 12").union(odd.where("doc_id = 12").withColumn("doc_id", F.lit(99).cast("long")))
+    assert secret_scan.scan_unseen(twice).count() == 1 and [r.text.count("[SECRET]") for r in secret_scan.redact(twice).collect()] == [3, 3]
+
+
 def test_token_counts(odd, docs, plain):
     import public_tokenizers
     from tokenizers import Tokenizer
