@@ -96,18 +96,21 @@ def filter_grid(df: DataFrame, grid: list[dict], conditions) -> DataFrame:
     return df.agg(F.array(*rows).alias("_f")).select(F.inline("_f"))
 
 
-def render(df: DataFrame, scale: float, mode: str = "add", weighted: bool = False) -> DataFrame:
-    """Super-resolution raster: (px, py, value) by sum, maximum or last row; ``weighted`` spreads over four pixels."""
+def render(df: DataFrame, scale: float, mode: str = "add", weighted: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """Super-resolution raster: (px, py, value) by sum, maximum or last row; ``weighted`` spreads over four pixels.
+
+    With ``on``, one raster for each value of those columns.
+    """
     x, y = F.col("x") * scale, F.col("y") * scale
     if weighted:
         x0, y0 = F.floor(x - 0.5), F.floor(y - 0.5)
         fx, fy = x - 0.5 - x0, y - 0.5 - y0
         parts = [F.struct((x0 + i).cast("int").alias("px"), (y0 + j).cast("int").alias("py"), (F.col("intensity") * (fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("v")) for i in (0, 1) for j in (0, 1)]
-        rows = df.select("row_id", F.inline(F.array(*parts)))
+        rows = df.select("row_id", *on, F.inline(F.array(*parts)))
     else:
-        rows = df.select("row_id", F.floor(x).cast("int").alias("px"), F.floor(y).cast("int").alias("py"), F.col("intensity").alias("v"))
+        rows = df.select("row_id", *on, F.floor(x).cast("int").alias("px"), F.floor(y).cast("int").alias("py"), F.col("intensity").alias("v"))
     value = {"add": F.sum("v"), "max": F.max("v"), "replace": F.max_by("v", "row_id")}[mode]
-    return rows.groupBy("px", "py").agg(value.alias("value"))
+    return rows.groupBy(*on, "px", "py").agg(value.alias("value"))
 
 
 def dense_ids(*datasets: DataFrame) -> DataFrame:

@@ -318,6 +318,12 @@ def render_rolling(df):
     return rounded(agg.render(df.where("frame BETWEEN 1000 AND 1099"), 2.0), 3)
 
 
+@query(LOC + "SELECT CAST(floor(frame / 100.0) AS INT) AS block, CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc GROUP BY ALL")
+def render_blocks(df):
+    """An image of every 100 frames; ``render_rolling`` is the one of frames 1000 to 1099."""
+    return rounded(agg.render(df.withColumn("block", F.floor(F.col("frame") / 100).cast("int")), 2.0, on=("block",)), 3)
+
+
 @query(LOC + ", n AS (SELECT *, CASE WHEN frame >= lag(end_frame) OVER (PARTITION BY id ORDER BY frame, row_id) + 11 THEN 1 ELSE 0 END AS new FROM loc) SELECT row_id, CAST(sum(new) OVER (PARTITION BY id ORDER BY frame, row_id) AS INT) AS activation, CASE WHEN frame % 30 = 1 THEN 1 WHEN frame % 30 = 11 THEN 2 ELSE 0 END AS channel FROM n")
 def activations(df):
     return tracks.activations(df, 10, 30, [1, 11]).select("row_id", "activation", "channel")
