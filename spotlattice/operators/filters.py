@@ -141,19 +141,35 @@ def apply_drift(df: DataFrame, drift: DataFrame) -> DataFrame:
 
 
 class FailCounter:
-    """ok() says whether the frame goes on after the outcomes so far."""
+    """ok() says whether the frame goes on after the outcomes so far.
 
-    def __init__(self, kind: str = "consecutive", allowed: int = 3, rate: float = 0.0, window: int = 5, fail: int = 1, good: int = 1):
-        self.kind, self.allowed, self.rate, self.window, self.fail, self.good = kind, allowed, rate, window, fail, good
-        self.run = self.total = self.passed = self.score = 0
+    A resetting counter keeps the share ``reset`` of its failures at a pass, rounded down; "and" and "or" combine the counters
+    whose options are in ``parts``; a null counter never stops.
+    """
+
+    KINDS = ("consecutive", "pass_rate", "rolling", "weighted", "resetting", "and", "or", "null")
+
+    def __init__(self, kind: str = "consecutive", allowed: int = 3, rate: float = 0.0, window: int = 5, fail: int = 1, good: int = 1, reset: float = 0.0, parts: tuple[dict, ...] = ()):
+        if kind not in self.KINDS:
+            raise ValueError(f"unknown fail counter {kind!r}")
+        if not 0 <= reset <= 1:
+            raise ValueError("reset must be from 0 to 1")
+        if kind in ("and", "or") and not parts:
+            raise ValueError(f"fail counter {kind!r} needs parts")
+        self.kind, self.allowed, self.rate, self.window, self.fail, self.good, self.reset = kind, allowed, rate, window, fail, good, reset
+        self.run = self.total = self.passed = self.score = self.kept = 0
         self.recent: list[bool] = []
+        self.parts = [FailCounter(**p) for p in parts]
 
     def add(self, accepted: bool) -> None:
         self.total += 1
         self.passed += accepted
         self.run = 0 if accepted else self.run + 1
         self.score = max(0, self.score - self.good) if accepted else self.score + self.fail
+        self.kept = int(self.kept * self.reset) if accepted else self.kept + 1
         self.recent = [*self.recent, accepted][-self.window :]
+        for p in self.parts:
+            p.add(accepted)
 
     def ok(self) -> bool:
         if self.kind == "consecutive":
@@ -164,6 +180,10 @@ class FailCounter:
             return self.recent.count(False) <= self.allowed or len(self.recent) < self.window
         if self.kind == "weighted":
             return self.score <= self.allowed
+        if self.kind == "resetting":
+            return self.kept <= self.allowed
+        if self.parts:
+            return (all if self.kind == "and" else any)(p.ok() for p in self.parts)
         return True
 
 
@@ -174,6 +194,7 @@ def fail_count(df: DataFrame, accept: Column, rank: str = "rank", **options) ->
     length is the row's rank less the rank of the last accepted row, and it stops the frame for all later rows, so a
     running maximum tells.  The other counters are plain state and run per frame.
     """
+    FailCounter(**options)  # options that do not hold are refused here, before any task
     marked = df.withColumn("_ok", F.coalesce(accept, F.lit(False)))
     if options.get("kind", "consecutive") == "consecutive":
         from pyspark.sql import Window

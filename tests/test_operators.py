@@ -92,6 +92,27 @@ def test_fail_counters(spark, kind):
     assert got == want
 
 
+def test_fail_counters_that_reset_or_combine(spark):
+    rows = [(1, k, good) for k, good in enumerate([True, False, False, True, False, False, True, False, True])]
+    df = spark.createDataFrame(rows, "frame int, rank int, good boolean")
+    kept = lambda **o: [r["rank"] for r in filters.fail_count(df, F.col("good"), **o).orderBy("rank").collect()]
+    assert kept(kind="resetting", allowed=2, reset=0.5) == [0, 3]  # failures 1, 2, then 1, 2, 3
+    assert kept(kind="resetting", allowed=3, reset=0.5) == [0, 3, 6, 8]
+    short, long = {"kind": "consecutive", "allowed": 1}, {"kind": "resetting", "allowed": 2, "reset": 0.5}
+    assert kept(kind="and", parts=(short, long)) == [0] and kept(kind="or", parts=(short, long)) == [0, 3]
+    assert kept(kind="null") == [0, 3, 6, 8]
+    for wrong in ({"kind": "restting"}, {"kind": "and"}, {"kind": "resetting", "reset": 2.0}):
+        with pytest.raises(ValueError):
+            filters.fail_count(df, F.col("good"), **wrong)
+
+
+def test_render_by_block_keeps_every_row(spark):
+    df = locs(spark, [(k, 40 * k, k * 0.37, k * 0.21) for k in range(30)]).withColumn("block", F.floor(F.col("frame") / 100))
+    for weighted in (False, True):
+        got = aggregates.render(df, 3.0, weighted=weighted, on=("block",)).groupBy("block").agg(F.sum("value").alias("v")).collect()
+        assert {r.block: r.v for r in got} == pytest.approx({b: sum(1 for k in range(30) if 40 * k // 100 == b) for b in range(12)})
+
+
 def test_pair_correlation_without_a_box(spark):
     xy = np.random.default_rng(3).uniform((-40, 100), (40, 150), (300, 2))
     df = locs(spark, [(k, 1, float(x), float(y)) for k, (x, y) in enumerate(xy)])
