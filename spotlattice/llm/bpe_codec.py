@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding: overlapping chunks, stitched where their pre-token boundaries meet again.
 
-A long text is cut into overlapping chunks that are pre-tokenised on their own.  A chunk's first boundaries depend on where
-the cut fell, so two neighbours are stitched at the first position in the overlap where both have a boundary: the pattern
-has no look-behind, so from there on both give the same pre-tokens.  Pieces between stitches are encoded pre-token by
-pre-token; ids are the concatenation, and decoding concatenates each id's bytes.
+A text is cut into chunks, each with an overlap into the next, and every chunk is pre-tokenised on its own, in any task.  A
+chunk's first boundaries depend on where the cut fell; the pattern has no look-behind, so from the first position where a
+chunk and its left neighbour both have a boundary, both give the same pre-tokens.  Such a position exists in every overlap:
+an overlap holds a blank after a character that is none, which is a boundary wherever one starts, or it runs to the end of
+the text.  Each chunk encodes its pre-tokens up to where its right neighbour takes over (it finds that position itself, in
+the overlap) and notes how many ids its own first boundaries come after; stitching drops the ids before the position that
+the left neighbour names.  A pre-token is encoded by rank merges over its bytes; decoding concatenates each id's bytes.
 
 Defined results: a null text is an empty one (no ids); repeated rows are each encoded; other columns are not read.
 """
@@ -12,17 +15,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+import heapq
+import re
+from array import array
+from functools import lru_cache, partial
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scanner
-from .common import map_texts
+from .common import by_chunks
 
-CHUNK, OVERLAP, MEMO = 1 << 16, 1 << 12, 200_000
+CHUNK, OVERLAP, MEMO = 1 << 14, 1 << 9, 200_000
+#: A boundary wherever pre-tokenisation starts: between a character that is no blank and a blank.
+SURE = re.compile(f"[^{scanner.SPACE}][{scanner.SPACE}]")
 
 
 def default_ranks() -> str:
@@ -31,90 +37,152 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-class Codec:
-    """Encodes by the ranks in a file; ``ids`` gives little-endian unsigned 32-bit integers."""
+def merged(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The ids of one pre-token: the neighbours of least rank, leftmost first, become one, until none can.
+
+    A heap of candidate pairs over a linked list of parts; a pair that has changed since it was pushed is passed over.
+    """
+    n = len(word)
+    end = list(range(1, n + 1))  # of the part that starts at each position
+    before = list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    live = bytearray(b"\1") * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if not live[i] or middle >= n or end[middle] != stop:
+            continue
+        live[middle] = 0
+        end[i] = stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if array("I", [1]).tobytes()[0] != 1:
+        out.byteswap()
+    return out.tobytes()
+
 
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+class Codec:
+    """Encodes by the ranks in a file; ids are kept as little-endian unsigned 32-bit integers."""
 
+    def __init__(self, path: str, digest: bool = False):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.digest = digest
+        self.bytes_of = {packed([v]): k for k, v in self.ranks.items()}
         self.memo: dict[str, bytes] = {}
-        self.find, self.unsafe = scanner.byte_level(), scanner.unsafe()
 
     def word(self, word: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        out = self.memo[word] = np.array(self.core.encode_ordinary(word), "<u4").tobytes()
+        data = word.encode()
+        whole = self.ranks.get(data)
+        out = packed(merged(self.ranks, data) if whole is None else [whole])
+        if len(word) <= 64:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = out
         return out
 
-    def stitched(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-        """The pre-tokens of a text: chunks on their own, joined where both sides of an overlap have a boundary."""
-        if len(text) <= chunk + overlap:
-            return self.find.findall(text)
-        words: list[str] = []
-        at = 0  # everything before is settled
-        while True:
-            end = min(len(text), at + chunk + overlap)
-            mine = self.find.findall(text[at:end])
-            if end == len(text):
-                return words + mine
+    def encoded(self, words: list[str]) -> list[bytes]:
+        memo = self.memo
+        return [memo.get(w) or self.word(w) for w in words]
+
+    def ids(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+        return self.stitched([self.part(x) for x in self.cut(text, chunk, overlap)])
+
+    # --- chunks --------------------------------------------------------------------------------------------------------
+
+    def cut(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+        """Chunks with their overlaps, each as "length of the overlap at its end:text"."""
+        out, at = [], 0
+        while len(text) - at > chunk:
             cut = at + chunk
-            theirs, p = set(), cut
-            for w in self.find.findall(text[cut:end]):
-                theirs.add(p)
+            sure = SURE.search(text, cut)
+            if sure is None:
+                break
+            if sure.start() + 1 - cut > chunk:  # no boundary is sure for long: the chunk goes on up to one
+                cut = sure.start()
+            end = min(len(text), max(cut + overlap, sure.start() + 2))
+            out.append(f"{end - cut}:{text[at:end]}")
+            at = cut
+        return [*out, f"0:{text[at:]}"]
+
+    def part(self, piece: str) -> tuple[dict[int, int], bytes, int]:
+        """(bytes of ids before each early boundary, ids up to where the next chunk takes over, that place in the next)."""
+        size, _, text = piece.partition(":")
+        overlap = int(size)
+        find = scanner.byte_level(text)
+        words = find.findall(text)
+        meet = 0
+        if overlap:
+            cut = len(text) - overlap
+            theirs, p = {0}, 0
+            for w in find.findall(text[cut:]):
                 p += len(w)
-            p, meet = at, None
-            for k, w in enumerate(mine):  # the last pre-token may go on beyond this chunk
-                if p >= cut and p in theirs and k < len(mine) - 2:
-                    meet = k
+                theirs.add(p)
+            theirs.discard(overlap)  # what ends the chunk may go on
+            p = 0
+            for k, w in enumerate(words):
+                if p >= cut and p - cut in theirs:
+                    meet, words = p - cut, words[:k]
                     break
                 p += len(w)
-            if meet is None:  # one pre-token fills the overlap: take the chunk whole, further on
-                chunk *= 2
-                continue
-            words += mine[:meet]
-            at = p
-
-    def ids(self, text: str) -> bytes:
-        if self.unsafe.search(text):
-            return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
-        memo, out = self.memo, []
-        for w in self.stitched(text):
-            out.append(memo.get(w) or self.word(w))
+            else:
+                raise AssertionError("no common boundary in an overlap")
+        sure = SURE.search(text)  # the left neighbour takes leave here at the latest
+        ids, early, p, n = self.encoded(words), {}, 0, 0
+        for w, x in zip(words, ids, strict=True):
+            if sure and p > sure.start() + 1:
+                break
+            early[p] = n
+            p, n = p + len(w), n + len(x)
+        early[p] = n
+        return early, b"".join(ids), meet
+
+    @staticmethod
+    def stitched(parts: list[tuple[dict[int, int], bytes, int]]) -> bytes:
+        out, at = [], 0
+        for early, ids, meet in parts:
+            out.append(ids[early[at] :])
+            at = meet
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def join(self, parts: list[tuple[dict[int, int], bytes, int]]) -> tuple[int, bytes, bytes]:
+        """(n_tokens, ids, what they decode to), or the SHA-256 of both."""
+        ids = self.stitched(parts)
+        back = self.decode(ids)
+        if self.digest:
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest().encode(), hashlib.sha256(back).hexdigest().encode()
+        return len(ids) // 4, ids, back
 
-
-@lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join([self.bytes_of[ids[i : i + 4]] for i in range(0, len(ids), 4)])
 
 
-def _round_trip(path: str, digest: bool):
-    def run(batches):
-        c = codec(path)
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = c.ids(text or "")
-                back = c.decode(ids)
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest().encode() if digest else ids)
-                b.append(hashlib.sha256(back).hexdigest().encode() if digest else back)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["_id", "n_tokens", "_ids", "_decoded"])
+@lru_cache(4)
+def codec(path: str, digest: bool = False) -> Codec:
+    return Codec(path, digest)
 
-    return run
 
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(_id, n_tokens, _ids, _decoded): packed ids and the bytes they decode to, or the SHA-256 of both.
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(_id, n_tokens, _ids, _decoded): packed ids and the bytes they decode to, or the SHA-256 of both.  No shuffle."""
-    return map_texts(docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")), _round_trip(path or default_ranks(), digest), "_id long, n_tokens long, _ids binary, _decoded binary")
+    Only chunks of texts longer than ``chunk`` are shuffled.
+    """
+    return by_chunks(docs, partial(codec, path or default_ranks(), digest), "n_tokens long, _ids binary, _decoded binary", chunk, id_col, text_col)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,16 +2,82 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spotlattice.operators.graph import connected_components, partitions, shared_table
 
-__all__ = ["connected_components", "map_texts", "partitions", "shared_table"]
-#: Rows per Arrow batch for whole texts, so that a batch of very long texts stays small.
-TEXT_ROWS = "512"
+__all__ = ["by_chunks", "connected_components", "map_texts", "partitions", "shared_table"]
+#: Rows of whole texts that are Python objects at a time; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch).
+TEXT_ROWS = 512
 
 
 def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow with batches small enough for whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow, in slices small enough for whole texts."""
+
+    def run(batches):
+        return function(b.slice(i, TEXT_ROWS) for b in batches for i in range(0, max(b.num_rows, 1), TEXT_ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
+def by_chunks(docs: DataFrame, make: Callable, schema: str, chunk: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (_id, *schema) for each row of docs, by the three steps of the object that ``make()`` returns in a worker.
+
+    ``cut(text, chunk)`` gives pieces, ``part(piece)`` what one piece comes to, and ``join(parts)`` the columns from the
+    parts in order.  The steps are the same for every text.  Texts within one chunk take them where they are read; the
+    pieces of longer texts are dealt to all tasks, and their parts meet by a grouped aggregate (repeated rows once, with
+    their number).  So short texts cross no shuffle, and a huge text is as many tasks' work as it has chunks.
+    """
+    names = [c.split()[0] for c in schema.split(",")]
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in schema.split(",")]
+
+    def rows(ids, joined: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*joined, strict=True) if joined else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]], ["_id", *names])
+
+    def whole(batches):
+        m = make()
+        for batch in batches:
+            yield rows(batch.column(0), [m.join([m.part(p) for p in m.cut(t, chunk)]) for t in batch.column(1).to_pylist()])
+
+    def cut(batches):
+        m = make()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, text, key = (c.slice(k, 1) for c in batch.columns)
+                pieces = m.cut(text[0].as_py(), chunk)
+                for at in range(0, len(pieces), 64):
+                    few = pieces[at : at + 64]
+                    same = lambda x: pa.concat_arrays([x] * len(few))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(i), same(key), pa.array(range(at, at + len(few)), pa.int64()), pa.array(few, pa.string())], ["_id", "_key", "_chunk", "_text"])
+
+    def part(batches):
+        m = make()
+        for batch in batches:
+            parts = pa.array([pickle.dumps(m.part(t)) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], parts], ["_id", "_key", "_chunk", "_part"])
+
+    def join(batches):
+        m = make()
+        for batch in batches:
+            joined = []
+            for found in batch.column(2).to_pylist():
+                of = {x["_chunk"]: x["_part"] for x in found}
+                joined.append(m.join([pickle.loads(of[k]) for k in sorted(of)]))
+            out = rows(batch.column(0), joined)
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(1)], [*out.schema.names, "_times"])
+
+    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    short = map_texts(texts.where(F.length("_text") <= chunk), whole, f"_id long, {schema}")
+    long = texts.where(F.length("_text") > chunk).withColumn("_key", F.md5(F.col("_text").cast("binary")))
+    dealt = long.mapInArrow(cut, "_id long, _key string, _chunk long, _text string").repartition(partitions(docs), "_id", "_key", "_chunk")
+    parts = map_texts(dealt, part, "_id long, _key string, _chunk long, _part binary")
+    met = parts.groupBy("_id", "_key").agg(F.sum(F.when(F.col("_chunk") == 0, 1)).alias("_times"), F.collect_set(F.struct("_chunk", "_part")).alias("_parts"))
+    joined = map_texts(met.select("_id", "_times", "_parts"), join, f"_id long, {schema}, _times long")
+    return short.union(joined.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select("_id", *names))

@@ -10,6 +10,8 @@ not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -17,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import Codec
+from .bpe_codec import codec, packed
 from .common import map_texts, shared_table
 
-SIZE, SALTS = 2048, 64
+#: Tokens of a sequence; pieces that one task ranks, and the least number of parts of a length's pieces.
+SIZE, RANKED, SALTS = 2048, 500_000, 64
 
 
 def default_paths() -> tuple[str, str]:
@@ -33,28 +36,26 @@ class Encoder:
     """Ids as the tokenizer file gives them: its special strings cut the text, the rest goes by the same vocabulary's ranks."""
 
     def __init__(self, json_path: str, ranks_path: str):
-        from tokenizers import Tokenizer
-
-        self.core, self.codec = Tokenizer.from_file(json_path), Codec(ranks_path)
-        self.special = {t.content for t in self.core.get_added_tokens_decoder().values()}
+        with open(json_path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        self.codec = codec(ranks_path)
+        self.special = {t["content"]: packed([t["id"]]) for t in added}
+        self.find = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or self.codec.unsafe.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.core.encode(text, add_special_tokens=False).ids)
-        return self.codec.ids(text)
+        if not any(s in text for s in self.special):
+            return self.codec.ids(text)
+        return b"".join(self.special[x] if k % 2 else self.codec.ids(x) for k, x in enumerate(self.find.split(text)))
 
 
 @lru_cache(2)
 def encoder(json_path: str, ranks_path: str) -> Encoder:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(json_path, ranks_path)
 
 
 def _pieces(paths: tuple[str, str], size: int, end_id: int):
     def run(batches):
-        e, end = encoder(*paths), end_id.to_bytes(4, "little")
+        e, end = encoder(*paths), packed([end_id])
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -98,20 +99,21 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only (length, salt) counts and piece rows are shuffled, never texts.  Ranks within a length are taken in SALTS parts,
-    so that a length that a third of all pieces has is ranked by many tasks; the parts' offsets and the plan are broadcast
-    (at most size x SALTS and a few rows a length).
+    Only (length, salt) counts and piece rows are shuffled, never texts.  Ranks within a length are taken in parts, as many
+    as keep a part to RANKED pieces were all of one length, so that a length that a third of all pieces has is ranked by many
+    tasks.  The driver gets one count a length; the plan, a few rows a length, is broadcast.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
     pieces = shared_table(map_texts(texts, _pieces(paths or default_paths(), size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-pieces.count() // RANKED))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     parts = shared_table(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
     before = parts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots = spark.createDataFrame(plan(histogram, size), "length long, _lo long, _hi long, _first long, _each long, _used long")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = salted.withColumn("_row", F.row_number().over(within)).join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_row") - 1 + F.col("_before"))
+    ranked = salted.withColumn("_row", F.row_number().over(within)).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_row") - 1 + F.col("_before"))
     slotted = ranked.alias("p").join(F.broadcast(slots.alias("s")), F.expr("p.length = s.length AND _rank >= _lo AND _rank < _hi"))
     return slotted.select(
         "doc_id", "piece", "start", "p.length", "ids_crc32",

@@ -96,3 +96,21 @@ def ngram_join(docs, n=3, hundredths=90):
                 links.add((sets[j][0], i))
     of = components({i for i, _ in docs}, links)
     return [(i, len(s), of[i]) for i, s in sets]
+
+
+def rank_merges(ranks, word):
+    """Ids of a run of one byte: every pass over the parts merges all pairs of the least rank, from the left."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [ranks[x] for x in {a + b for a, b in zip(parts, parts[1:])} if x in ranks]  # noqa: B905
+        if not found:
+            return [ranks[p] for p in parts]
+        least, out, i = min(found), [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and ranks.get(parts[i] + parts[i + 1]) == least:
+                out.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out

@@ -106,9 +106,34 @@ def test_token_counts(odd, docs, plain):
     for df, rows in ((odd, ODD), (docs, plain)):
         want = [(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x in rows]
         same(out(token_count.query(df), "doc_id", "n_bytes", "n_tokens", "over_limit"), want)
-    machine = token_count.transducer(token_count.default_path())
-    for chunk in (1, 7, 64, 1000):  # maps compose to the same wherever the cuts fall
-        assert machine.count(LONG[:5000], chunk) == machine.count(LONG[:5000])
+        for chunk in (64, 1000):  # chunks in several tasks
+            same(out(token_count.count_tokens(df, chunk=chunk), "_id", "n_tokens"), [(r[0], r[2]) for r in want])
+    assert token_count.query(odd.limit(0)).count() == 0
+    machine = token_count.CountTransducer(token_count.default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    samples = [LONG[:5000], "don't 'r'e l'l'l ''s's 'xyz 'l 'v '", "<|endoftext|><|startoftext|>x'<|endoftext|>s", "e\u0301\u0327 İSTANBUL a\x1cb\x1d \x85c\xa0d"]
+    samples += ["a".join(points[k : k + 512]) for k in range(0, len(points), 512)]
+    want = [len(e.ids) for e in t.encode_batch(samples, add_special_tokens=False)]
+    for chunk in (1, 7, 64, 1 << 14):  # maps compose to the same wherever the cuts fall
+        few = len(samples) if chunk > 64 else 4
+        assert [machine.count(x, chunk) for x in samples[:few]] == want[:few]
+
+
+def test_states_are_compiled_anew(monkeypatch):
+    machine = token_count.CountTransducer(token_count.default_path())
+    want = [machine.count(x, 50) for x in (LONG[:3000], LONG[3000:6000])]
+    monkeypatch.setattr(token_count, "TRANSITIONS", 20)
+    monkeypatch.setattr(token_count, "PATHS", 10)
+    small = token_count.CountTransducer(token_count.default_path())
+    assert [small.count(x, 50) for x in (LONG[:3000], LONG[3000:6000])] == want and len(small.states) < 2000
+
+
+def test_maps_compose_associatively():
+    machine = token_count.CountTransducer(token_count.default_path())
+    maps = [machine.part(x) for x in machine.cut("it's 'tis a<|endoftext|>longer-word, unbroken" * 3, 3)]
+    for k in range(len(maps) - 2):
+        a, b, c = maps[k : k + 3]
+        assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
 
 
 def test_codec_round_trip(odd, docs, plain):
@@ -121,15 +146,21 @@ def test_codec_round_trip(odd, docs, plain):
     core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for df, rows in ((odd, ODD), (docs, plain)):
         want = []
-        for i, x in rows:
-            if x == "x" * 300_000:
-                continue  # the library's own search is quadratic there
-            ids = core.encode_ordinary(x or "")
+        for i, x in rows:  # the library's own search is quadratic in the long run of one letter: pieces of it, then the plain merges
+            ids = core.encode_ordinary(x or "") if x != "x" * 300_000 else brute.rank_merges(ranks, x.encode())
             want.append((i, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(x or "")))
-        same(out(bpe_codec.query(df).where("doc_id is null or doc_id <> 7 or n_tokens < 1000"), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
+        for chunk in (bpe_codec.CHUNK, 500):
+            got = bpe_codec.encode(df, digest=True, chunk=chunk).select("_id", "n_tokens", F.col("_ids").cast("string"), F.col("_decoded").cast("string"))
+            same([tuple(r) for r in got.collect()], want)
+    same(out(bpe_codec.query(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
+    assert bpe_codec.query(odd.limit(0)).count() == 0
     c = bpe_codec.codec(path)
-    assert c.stitched(LONG, 1000, 100) == c.find.findall(LONG)
-    assert c.stitched("ab" + " " * 5000 + "cd", 100, 20) == c.find.findall("ab" + " " * 5000 + "cd")
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    texts = ["".join(points[k : k + 64]) for k in range(0, len(points), 64)]
+    assert [c.ids(x) for x in texts] == [np.array(core.encode_ordinary(x), "<u4").tobytes() for x in texts]
+    for x in (LONG[:20_000], "ab" + " " * 5000 + "cd ef", "x" * 3000 + " y" * 30 + "z" * 3000, "it's 'tis   \n\n so"):
+        want = np.array(core.encode_ordinary(x), "<u4").tobytes()
+        assert all(c.ids(x, chunk, overlap) == want for chunk, overlap in ((1, 1), (7, 3), (64, 16), (1000, 100)))
 
 
 def test_packing(odd, docs, plain):
@@ -137,10 +168,13 @@ def test_packing(odd, docs, plain):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for df, rows in ((odd.where("doc_id is null or doc_id <> 7"), [r for r in ODD if r[0] != 7]), (docs, plain)):
+    with open(packing.default_paths()[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for df, rows in ((odd, ODD), (docs, plain)):
         want = []
         for i, x in rows:
-            ids, at, k = [*t.encode(x or "", add_special_tokens=False).ids, 0], 0, 0
+            found = t.encode(x or "", add_special_tokens=False).ids if x != "x" * 300_000 else brute.rank_merges(ranks, x.encode())
+            ids, at, k = [*found, 0], 0, 0
             n = (len(ids) - 1) % 2048 + 1
             while at < len(ids):
                 want.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
