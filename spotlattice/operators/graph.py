@@ -5,14 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task may take to their components; more go by rounds of joins.
+LOCAL_EDGES = 1 << 18
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a new local one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spotlattice-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,34 +28,69 @@ def shared_table(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back.  Cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/spotlattice/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a shared table that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_shared_path", None)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node that can be reached.
+def _trees(batches):
+    """(node, component) of a bounded number of edges, by union and find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-    Alternating large-star and small-star steps.  Every step is one grouped minimum and one join over the edges, and
-    writes its edges to the shared folder; hubs are never gathered in one task.
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, local: int | None = None) -> DataFrame:
+    """(node, component) for every node of edges(a, b), long numbers; component is the smallest node that can be reached.
+
+    Alternating large-star and small-star steps.  Every step is one grouped minimum, written to the shared folder, and one
+    join of the edges with it: both sides of the join come from a table, so that AQE splits the partition of a hub (a
+    grouped side would keep it from that).  Edges that are ``local`` or fewer, at the start or after a round, are finished
+    by one task.
     """
-    edges = shared_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
+    local = LOCAL_EDGES if local is None else local
+    kept = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct()
+    edges, before = shared_table(kept), None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: each node hands its larger neighbours to its smallest neighbour (itself included)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # small star: each node hands its smaller neighbours and itself to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q")).where("p <> q")
-        edges = shared_table(small.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first())
+        if now[0] <= local:
+            return edges.coalesce(1).mapInArrow(_trees, "node long, component long")
         if now == before:
             break
         before = now
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # large star: each node hands its larger neighbours to its smallest neighbour (itself included)
+        least = shared_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = shared_table(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        # small star: each node hands its smaller neighbours and itself to the smallest of them
+        low = shared_table(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = large.join(low, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q")).where("p <> q")
+        old, edges = edges, shared_table(small.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+        for t in (old, least, large, low):
+            forget(t)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     star = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
