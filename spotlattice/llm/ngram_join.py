@@ -7,9 +7,12 @@ sets that differ in at most k features have at least ``spare`` signatures in com
 ``spare`` - 1 signatures in the order (features covered, signature): the last common one is never among them, for either
 set.  That keeps near-empty signatures, which unrelated sets share, out of the buckets.
 
-A bucket only ever ties its members to its smallest one, so the rows made are the signatures, never the pairs.  Components
-of these ties hold every link.  Inside them an exact check counts common shingles through an inverted index and keeps the
-links; a component too large for one task is cut into blocks, and each pair of blocks is one task.
+A bucket only ever ties its members to its smallest one, so the rows made are the signatures, never the pairs; a task keeps
+one row of a bucket for the shuffle and ties its other members itself, so that a bucket is no larger than the tasks that met
+it.  Components of these ties hold every link.  A small component is one cell of the exact check, which counts common
+shingles through an inverted index.  In a large one the ties themselves are checked first (a member against the smallest it
+is tied to, in cells of a bounded size), and what hangs together by links is one piece.  Then only the members outside the
+component's largest piece are compared with all others, by pairs of blocks, each a task.
 
 Defined results: null and empty texts, and texts of blanks, have the empty set and link with nothing; with fewer words than
 a shingle the sequence is the one shingle; equal sets are one class, represented by its smallest id; rows that repeat an id
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, map_texts, partitions, shared_table
 
-#: Documents and shingles of one block of the exact check.
-BLOCK_DOCS, BLOCK_SHINGLES, MEMO = 2048, 2_000_000, 300_000
+#: Documents and shingles of one cell of a small component, documents and shingles of a block of a large one.
+CELL_DOCS, CELL_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000, 1024, 2_000_000
+#: Hashes of words that a task keeps; signatures that it holds before it sorts them; sets whose copies it knows.
+MEMO, HELD, KNOWN = 300_000, 1 << 20, 1_000_000
 
 
 class _WordHash(dict):
@@ -66,7 +71,7 @@ def signatures(u: np.ndarray, threshold: float) -> list[np.ndarray]:
     """The signatures of one set, an array for each of its two windows of sizes."""
     ratio = 1.0005 / threshold
     bin_ = math.floor(math.log(len(u)) / math.log(ratio))
-    k2, n2 = (1, 3) if threshold >= 0.85 else (0, 1)
+    k2, n2 = 1, 3
     out = []
     for window in (bin_ - 1, bin_):  # pairs within its lower bin, and pairs of its two bins
         most = math.floor(ratio ** (window + 1)) + math.floor(ratio ** (window + 2)) + 2
@@ -74,7 +79,7 @@ def signatures(u: np.ndarray, threshold: float) -> list[np.ndarray]:
         if k == 0:
             continue  # sets of these sizes must be equal
         broken = k // (k2 + 1)  # first-level partitions that can differ in more than k2 features
-        spare = max(2, round(0.3 * (broken + 1))) if k2 else broken + 1
+        spare = max(2, round(0.3 * (broken + 1)))
         n1 = broken + spare
         seed, salt = (np.uint64((window + 1_000) * m & 0xFFFFFFFFFFFFFFFF) for m in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
         part = (_mix(u ^ seed) % np.uint64(n1 * n2)).astype(np.int64)
@@ -82,8 +87,7 @@ def signatures(u: np.ndarray, threshold: float) -> list[np.ndarray]:
         total = np.zeros(n1 * n2, np.uint64)
         np.add.at(total, part, _mix(u + seed))
         total = total.reshape(n1, n2)
-        if k2:  # leave each part out in turn
-            n, total = n.sum(1, keepdims=True) - n, total.sum(1, keepdims=True, dtype=np.uint64) - total
+        n, total = n.sum(1, keepdims=True) - n, total.sum(1, keepdims=True, dtype=np.uint64) - total  # leave each part out in turn
         n = n.ravel()
         found = _mix(total.ravel() + _mix(np.arange(len(n), dtype=np.uint64) + salt))
         out.append(found[np.lexsort((found, n))[spare - 1 :]])
@@ -104,23 +108,45 @@ def _describe(n: int):
     return run
 
 
+def _heads(found: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Of a task's signatures: one row for each bucket, with its smallest id, and one for each tie of another member to it.
+
+    A tie's row travels under a number of its own.
+    """
+    sig, of = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.uint64, found), (np.int64, ids)))
+    order = np.lexsort((of, sig))
+    sig, of = sig[order], of[order]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    least = of[head][np.cumsum(head) - 1] if len(sig) else of
+    ties = np.unique(np.stack([least, of], 1)[~head & (least != of)], axis=0)
+    number = _mix(ties[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(ties[:, 1].astype(np.uint64)))
+    other = np.concatenate([np.zeros(int(head.sum()), np.int64), ties[:, 0]])
+    none = np.concatenate([np.ones(int(head.sum()), bool), np.zeros(len(ties), bool)])
+    columns = [np.concatenate([sig[head], number]).view(np.int64), np.concatenate([of[head], ties[:, 1]])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(other, mask=none)], ["_sig", "_id", "_other"])
+
+
 def _sign(n: int, threshold: float):
-    """(signature, id) of a task's different sets: copies that meet in a task leave one set of rows."""
+    """(signature, id, other) of a task's different sets: copies that meet in a task leave one set of rows."""
 
     def run(batches):
-        words, seen = _WordHash(), set()
+        words, seen, ids, found, held = _WordHash(), set(), [], [], 0
         for batch in batches:
-            ids, found = [], [np.empty(0, np.uint64)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, n, words)
                 if len(s) == 0 or (h := _set_hash(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:  # bounds the table only: a copy signed twice changes nothing
+                if len(seen) < KNOWN:  # bounds the table only: a copy signed twice changes nothing
                     seen.add(h)
                 for a in signatures(s, threshold):
                     found.append(a)
                     ids.append(np.full(len(a), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *ids]))], ["_sig", "_id"])
+                    held += len(a)
+                if held > HELD:
+                    yield _heads(found, ids)
+                    ids, found, held = [], [], 0
+        yield _heads(found, ids)
 
     return run
 
@@ -151,13 +177,16 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, hundredt
 
 
 def _check_cells(n: int, hundredths: int):
-    """Rows (cell, side, id, text) sorted by cell: a forest of each cell's links, as (a, b) with a the smallest of its tree."""
+    """Rows (cell, side, id, text) sorted by cell: a forest of each cell's links, as (a, b) with a the smallest of its tree.
+
+    Side -1: all are compared with all; else those of side 0 with those of side 1.
+    """
 
     def solve(rows: list[tuple[int, int, bytes]], words: _WordHash) -> list[tuple[int, int]]:
         sets = [shingle_set(t, n, words) for _, _, t in rows]
         side = np.array([s for s, _, _ in rows])
         left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        right = np.flatnonzero(side == 1) if (side >= 0).any() else left
         up = {i: i for _, i, _ in rows}
 
         def top(x: int) -> int:
@@ -190,42 +219,81 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
 
+def _deal(n_docs, n_shingles, docs: int, shingles: int):
+    """How many blocks so many documents and shingles make."""
+    return F.greatest(F.ceil(n_docs / docs), F.ceil(n_shingles / shingles)).cast("int")
+
+
 def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; two texts link when 100 * |common| >= hundredths * |union|."""
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("binary").alias("_text"))
     info = shared_table(map_texts(texts, _describe(words), "_id long, _n long, _set binary"))
     named = info.where("_set is not null and _id is not null")
     classes = shared_table(named.groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n")))
-    of = named.select("_id", "_set").join(classes, "_set").select("_id", "_rep")
+    of = shared_table(named.select("_id", "_set").join(classes, "_set").select("_id", "_rep").distinct())
 
-    signed = map_texts(texts.where("_id is not null"), _sign(words, hundredths / 100), "_sig long, _id long").repartition(partitions(docs), "_sig")
-    ties = signed.select("_id", F.min("_id").over(Window.partitionBy("_sig")).alias("_least"))  # one shuffle; a full bucket spills
+    signed = map_texts(texts.where("_id is not null"), _sign(words, hundredths / 100), "_sig long, _id long, _other long").repartition(partitions(docs), "_sig")
+    least = F.min(F.when(F.col("_other").isNull(), F.col("_id"))).over(Window.partitionBy("_sig"))  # one shuffle; a full bucket spills
+    ties = signed.select("_id", F.coalesce("_other", least).alias("_least"))
     ties = shared_table(ties.where("_id <> _least").select("_least", "_id").distinct())
     ties = ties.join(of, "_id").select("_least", F.col("_rep").alias("b")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("a"), "b")
+    ties = shared_table(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = shared_table(connected_components(ties))
 
+    def links(cells: DataFrame) -> DataFrame:
+        """Of (_id, _cell, _side): the texts dealt to their cells, and the forests of links found there."""
+        met = texts.join(cells, "_id").select("_cell", "_side", "_id", "_text")
+        dealt = met.repartition(partitions(docs), "_cell").sortWithinPartitions("_cell")
+        return shared_table(dealt.mapInArrow(_check_cells(words, hundredths), "a long, b long"))
+
     sized = near.join(classes.select(F.col("_rep").alias("node"), "_n"), "node")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    dealt = shared_table(near.join(blocks, "component").select(F.col("node").alias("_id"), "component", "_blocks", F.pmod(F.xxhash64("node", F.lit(11)), F.col("_blocks")).cast("int").alias("_block")))
-    met = texts.join(dealt.hint("shuffle_hash"), "_id")
-    cells = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        F.xxhash64("component", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_cell"),
-        F.when(F.col("_block") == F.col("_other"), -1).when(F.col("_block") < F.col("_other"), 0).otherwise(1).alias("_side"), "_id", "_text",
-    )
-    found = shared_table(map_texts(cells.repartition(partitions(docs), "_cell").sortWithinPartitions("_cell"), _check_cells(words, hundredths), "a long, b long"))
+    n_docs, n_shingles = F.count("*"), F.sum("_n")
+    sizes = shared_table(sized.groupBy("component").agg(_deal(n_docs, n_shingles, CELL_DOCS, CELL_SHINGLES).alias("_cells")))
+    placed = shared_table(near.join(sizes, "component").join(classes.select(F.col("_rep").alias("node"), "_n"), "node"))
+    found = links(placed.where("_cells = 1").select(F.col("node").alias("_id"), F.xxhash64("component").alias("_cell"), F.lit(-1).alias("_side")))
+    large = placed.where("_cells > 1")
+    if large.limit(1).count():
+        found = found.union(_large_components(ties, shared_table(large.select("node", "component", "_n")), links))
 
     twice = of.groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_most")).where("a < _most")
     again = shared_table(twice.join(of, "_id").where("a <> _rep").select("a", F.col("_rep").alias("b")))
-    if dealt.where("_blocks > 1").limit(1).count() or again.limit(1).count():  # trees of several tasks grow together
-        group = connected_components(found.union(again))
-    else:
-        group = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    group = shared_table(connected_components(found.union(again)))
     class_of = classes.select("_set", "_rep").join(group, F.col("_rep") == F.col("node"), "left").select("_set", F.coalesce("component", "_rep").alias("_component"))
-    linked = named.select("_id", "_n", "_set").join(class_of, "_set").select("_id", "_n", "_component")
+    linked = named.select("_id", "_n", "_set").join(shared_table(class_of), "_set").select("_id", "_n", "_component")
     alone = info.where("_set is null or _id is null").select("_id", "_n", F.col("_id").alias("_component"))
     return linked.union(alone).select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
 
 
+def _large_components(ties: DataFrame, large: DataFrame, links) -> DataFrame:
+    """The forests of links inside components that are too large for one cell."""
+    # members against the smallest that they are tied to: a cell holds that one and a bounded number of its members
+    star = ties.join(large.select(F.col("node").alias("b"), "_n"), "b").groupBy("b").agg(F.min("a").alias("a"), F.first("_n").alias("_n"))
+    star = shared_table(star)
+    hubs = shared_table(star.groupBy("a").agg(_deal(F.count("*"), F.sum("_n"), CELL_DOCS, CELL_SHINGLES).alias("_cells")))
+    members = star.join(hubs, "a").select(F.col("b").alias("_id"), F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(5)), F.col("_cells")).cast("int")).alias("_cell"), F.lit(1).alias("_side"))
+    centres = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_k")).select(F.col("a").alias("_id"), F.xxhash64("a", "_k").alias("_cell"), F.lit(0).alias("_side"))
+    found = links(members.union(centres))
+    # what hangs together by now; the largest piece of a component is its body
+    pieces = connected_components(found).select("node", F.col("component").alias("_piece"))
+    pieced = shared_table(large.join(pieces, "node", "left").withColumn("_piece", F.coalesce("_piece", "node")))
+    counts = pieced.groupBy("component", "_piece").agg(F.count("*").alias("_docs"))
+    body = shared_table(counts.groupBy("component").agg(F.max_by("_piece", F.struct("_docs", -F.col("_piece"))).alias("_body")))
+    sided = shared_table(pieced.join(body, "component").withColumn("_rest", F.col("_piece") != F.col("_body")))
+    deals = sided.groupBy("component", "_rest").agg(_deal(F.count("*"), F.sum("_n"), BLOCK_DOCS, BLOCK_SHINGLES).alias("_blocks"))
+    deals = shared_table(deals.groupBy("component").agg(*[F.coalesce(F.max(F.when(F.col("_rest") == x, F.col("_blocks"))), F.lit(0)).alias(c) for c, x in (("_body_blocks", False), ("_rest_blocks", True))]))
+    dealt = sided.join(deals, "component").where("_rest_blocks > 0")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
+    cell = lambda kind, i, j: F.xxhash64("component", F.lit(kind), i, j).alias("_cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_k")
+    rest, main = dealt.where("_rest").withColumn("_b", own("_rest_blocks")), dealt.where("NOT _rest").withColumn("_b", own("_body_blocks"))
+    across = rest.where("_body_blocks > 0").select("node", "component", "_b", every("_body_blocks")).select(F.col("node").alias("_id"), cell("across", F.col("_b"), F.col("_k")), F.lit(0).alias("_side"))
+    met = main.select("node", "component", "_b", every("_rest_blocks")).select(F.col("node").alias("_id"), cell("across", F.col("_k"), F.col("_b")), F.lit(1).alias("_side"))
+    inside = rest.select("node", "component", "_b", every("_rest_blocks")).select(
+        F.col("node").alias("_id"), cell("inside", F.least("_b", "_k"), F.greatest("_b", "_k")), F.when(F.col("_b") == F.col("_k"), -1).when(F.col("_b") < F.col("_k"), 0).otherwise(1).alias("_side")
+    )
+    return found.union(links(across.union(met).union(inside)))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return components(docs, words=3, hundredths=90)
 
@@ -235,4 +303,17 @@ def one_of_each(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: s
     found = components(docs, words, hundredths, id_col)
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).join(stays, F.col("_lost") == F.col("_stays"), "left_anti").distinct()
-    return docs.join(lost.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
+    return docs.join(shared_table(lost), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
+
+
+#: All pairs of documents with a common shingle, those that reach the threshold, and what they reach.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
