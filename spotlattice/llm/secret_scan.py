@@ -1,9 +1,12 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-Every version of a text is addressed by the SHA-256 of its bytes.  A pair (blob, rules version) is scanned once: the
-ledger's pairs are taken out by an anti join, one version stands for each blob that is left, and findings are joined back
-to every path that holds the blob.  Offsets come from the gaps that ``split`` leaves around the matches of
-``regexp_extract_all``, so they are code points and no Python runs.
+Every version of a text is addressed by the SHA-256 of its bytes; rows that share a path are versions of it.  The ledger is
+a table of (blob, rules version, spans) in the shared folder.  ``update`` takes the pairs that it holds out by an anti join,
+scans one version of each blob that is left and appends what it found (blobs without findings too); ``scan`` joins the
+stored findings back to all paths.  A second run over the same table scans nothing, new rules scan everything once.
+
+Offsets come from the gaps that ``split`` leaves around the matches of ``regexp_extract_all``, so they are code points and
+no Python runs.  Matches become rows, whose running sum of lengths over the blob is their position: linear in the matches.
 
 Defined results: a null text is empty; a null id is a path like any other; repeated rows each get their blob's findings;
 an empty table gives an empty table; other columns are not read (``redact`` carries them).
@@ -12,10 +15,15 @@ an empty table gives an empty table; other columns are not read (``redact`` carr
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spotlattice.operators.graph import shared_dir
+
+from .common import partitions
+
 #: Kind, pattern, and the condition a match ``m`` must meet, in the order that breaks ties of start.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = [
@@ -24,26 +32,23 @@ RULES = [
     ("hex", r"[0-9a-f]{24,}", lambda m: F.length(m) >= 24),
 ]
 RULES_VERSION = hashlib.sha256(repr([r[:2] for r in RULES]).encode()).hexdigest()[:16]
-SPAN = "struct<start:int,kind_no:int,end:int,kind:string>"
-
+#: ``clear``: where the spans before this one (by start) end, so that what lies between is known from one span.
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string,clear:int>"
+LEDGER = f"blob binary, rules string, spans array<{SPAN}>"
+MATCH = "struct<kind_no:int,at:int,gap:int,size:int,good:boolean>"
+#: Code points of a block when a text is cut at its spans.
+BLOCK = 512
 
-def _spans(text: Column, kind_no: int, kind: str, pattern: str, valid) -> Column:
-    """The spans of one kind, by start.  The guard keeps the two regular-expression passes off texts without a match."""
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind")).cast(SPAN)
-        return F.struct(end.alias("pos"), F.when(x["m"].isNotNull() & valid(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _matches(text: Column, kind_no: int, pattern: str, valid) -> Column:
+    """The matches of one kind with the length of the gap before each.  The guard keeps the two passes off other texts."""
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
 
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def match(x: Column, k: Column) -> Column:
+        return F.struct(F.lit(kind_no).alias("kind_no"), k.alias("at"), x["gap"].alias("gap"), F.length(x["m"]).alias("size"), valid(x["m"]).alias("good"))
 
-
-def all_spans(text: Column) -> Column:
-    return F.array_sort(F.concat(*[_spans(text, n, *rule) for n, rule in enumerate(RULES)]))
+    found = F.filter(pairs, lambda x: x["m"].isNotNull())
+    return F.when(text.rlike(pattern), F.transform(found, match)).otherwise(F.array()).cast(f"array<{MATCH}>")
 
 
 def _addressed(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,27 +58,53 @@ def _addressed(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(blob, rules, spans) of each blob that ``ledger`` has not under these rules.  Appended to the ledger, it completes it."""
+    """(blob, rules, spans) of each blob that ``ledger`` has not under these rules.  Appended to the ledger, it completes it.
+
+    Texts move once, to meet the (path, blob) that stands for their blob; a hot blob stands once.  Then only its matches move.
+    """
     v = _addressed(versions, id_col, text_col)
     stands = v.groupBy("_blob").agg(F.min("_at").alias("_at"))  # one row a blob and task goes to the shuffle
     if ledger is not None:
         stands = stands.join(ledger.where(F.col("rules") == RULES_VERSION).select(F.col("blob").alias("_blob")), "_blob", "left_anti")
-    found = v.select("_at", "_blob", "_text").join(stands.hint("shuffle_hash"), ["_at", "_blob"]).select("_blob", all_spans(F.col("_text")).alias("spans"))
-    return found.groupBy("_blob").agg(F.first("spans").alias("spans")).select(F.col("_blob").alias("blob"), F.lit(RULES_VERSION).alias("rules"), "spans")
+    texts = v.select("_at", "_blob", "_text").join(stands, ["_at", "_blob"]).select("_blob", "_text")
+    found = texts.select("_blob", F.explode_outer(F.concat(*[_matches(F.col("_text"), n, rule[1], rule[2]) for n, rule in enumerate(RULES)])).alias("_m"))
+    rows = found.select("_blob", "_m.*").repartition(partitions(versions), "_blob").dropDuplicates(["_blob", "kind_no", "at"])  # repeated rows are one text
+    order = Window.partitionBy("_blob", "kind_no").orderBy("at")
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    good = F.coalesce(F.col("good"), F.lit(False))
+    before = Window.partitionBy("_blob").orderBy(~good, "start", "kind_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("clear", F.greatest(F.lit(0), F.coalesce(F.max("end").over(before), F.lit(0))))
+    kind = F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("kind_no") + 1)
+    span = F.when(good, F.struct("start", "kind_no", "end", kind.alias("kind"), "clear").cast(SPAN))
+    return placed.groupBy("_blob").agg(F.sort_array(F.collect_list(span)).alias("spans")).select(F.col("_blob").alias("blob"), F.lit(RULES_VERSION).alias("rules"), "spans")
 
 
-def _hits(versions: DataFrame, ledger: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
-    """(_blob, spans) of the blobs with findings, those that the ledger knows and those scanned now."""
-    found = scan_unseen(versions, ledger, id_col, text_col)
-    if ledger is not None:
-        found = found.unionByName(ledger.where(F.col("rules") == RULES_VERSION).select("blob", "rules", "spans"))
-    return found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+def new_ledger(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/spotlattice/ledger-{uuid.uuid4().hex}.parquet"
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _blob, spans) for every version: what the ledger knows and what was scanned now, joined to all paths."""
-    hits = _hits(versions, ledger, id_col, text_col)
-    return _addressed(versions, id_col, text_col).select("_id", "_blob").join(hits, "_blob", "left").select("_id", "_blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+def update(versions: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger at ``path`` after the blobs it did not hold have been scanned and appended to it."""
+    spark = versions.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    known = spark.read.schema(LEDGER).parquet(path)
+    scan_unseen(versions, known, id_col, text_col).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _hits(ledger: DataFrame) -> DataFrame:
+    """(_blob, spans) of the blobs with findings."""
+    return ledger.where(F.col("rules") == RULES_VERSION).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+
+
+def scan(versions: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _blob, spans) for every version: the findings of the completed ledger, joined to all paths.
+
+    Both sides of the join come from tables, so AQE splits the partition of a hot blob.
+    """
+    ledger = update(versions, path or new_ledger(versions.sparkSession), id_col, text_col)
+    paths = _addressed(versions, id_col, text_col).select("_id", "_blob")
+    return paths.join(_hits(ledger), "_blob", "left").select("_id", "_blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -86,21 +117,42 @@ def query(docs: DataFrame) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledger: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """docs with the same columns, each span of the text replaced by ``mark``.
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text that is cut into blocks."""
+    i, j = (F.floor(x / BLOCK).cast("int") for x in (start, end))
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    one = block(i).substr(start - i * BLOCK + 1, end - start)
+    many = F.concat(block(i).substr(start - i * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), block(j).substr(F.lit(1), end - j * BLOCK))
+    return F.when(start >= end, "").when(i == j, one).otherwise(many)
 
-    Spans are those of ``scan``: a blob is scanned once unless the ledger has it, and joined back to every row that holds it.
-    """
-    text, spans = F.col(text_col), F.col("_spans")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        out = F.when(s["start"] >= acc["pos"], piece).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", path: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """docs with the same columns, each span of the text replaced by ``mark``; spans that overlap share one.
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    hits = _hits(docs, ledger, id_col, text_col).withColumnRenamed("spans", "_spans")
+    Spans are those of the completed ledger: a blob is scanned once unless the ledger has it, and joined back to every row
+    that holds it.  A text is cut into blocks first, so the work is linear in it however many spans it has.
+    """
+    text, spans, blocks = F.col(text_col), F.col("_spans"), F.col("_blocks")
+    ledger = update(docs, path or new_ledger(docs.sparkSession), id_col, text_col)
     keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
-    marked = keyed.join(hits.hint("shuffle_hash"), "_blob", "left")
-    return marked.select(*[F.when(spans.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    met = keyed.join(_hits(ledger).withColumnRenamed("spans", "_spans"), "_blob", "left")
+    cut = met.withColumn("_blocks", F.when(spans.isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    pieces = F.transform(spans, lambda s: F.when(s["start"] >= s["clear"], F.concat(_between(blocks, s["clear"], s["start"]), F.lit(mark))).otherwise(""))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    clean = F.concat(F.array_join(pieces, ""), _between(blocks, last, F.length(text)))
+    return cut.select(*[F.when(spans.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+#: Spans by the lengths of gaps and matches, kind by kind.
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(
+        f"m{n} AS (SELECT doc_id, k, {n} AS kind_no, '{kind}' AS kind, length(g[k]) AS gap, m[k] AS m FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, unnest(generate_series(1, len(regexp_extract_all(t, '{p}', 0)))) AS k FROM d))"
+        for n, (kind, pattern, _) in enumerate(RULES)
+        for p in [pattern.replace("'", "''")]
+    )
+    + ", p AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY doc_id, kind_no ORDER BY k) AS e FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2)), "
+    + "s AS (SELECT doc_id, kind, kind_no, CAST(e - length(m) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM p WHERE kind_no > 0 OR length(regexp_extract(m, '" + ASSIGN.replace("'", "''") + "', 2)) >= 6), "
+    + "f AS (SELECT doc_id, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access, count(*) FILTER (WHERE kind_no = 2) AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, kind_no) AS spans FROM s GROUP BY doc_id) "
+    + "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"
+)
