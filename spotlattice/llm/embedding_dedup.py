@@ -10,12 +10,17 @@ Links are counted, not listed: a pair of nodes taken whole adds its mass to both
 most one tree edge a vector.  In high dimensions unrelated vectors are far from every net point; then the nets' matrix of
 centre distances is the comparison itself, by matrix product.
 
+Pairs of blocks go to tasks by tiles: trees are dealt into groups, and a tile holds the trees of two groups, so a tree is sent
+once for each group that it meets, not once for each tree.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are kept; vectors
-of different lengths do not link; repeated rows are different vectors of one id; other columns are not read.
+of different lengths do not link; repeated rows are different vectors of one id, each with its own links and component (named
+by the smallest id in it); rows with a null id are returned with no links; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -28,7 +33,8 @@ from .common import connected_components, partitions, shared_table
 
 #: Vectors in a block; rows of the sample for pivots; pivots; net radii of the levels; slack of the bounds.
 BLOCK, SAMPLE, PIVOTS, RADII, SLACK = 4096, 2048, 16, (0.5, 0.25, 0.125), 1e-7
-SMALL = 1 << 16
+#: Pairs of vectors that are compared at once; trees and bytes of trees in a group.
+SMALL, GROUP, GROUP_BYTES = 1 << 16, 16, 1 << 26
 
 
 def _unit(batches):
@@ -200,21 +206,36 @@ def _plant(table: pa.Table) -> pa.Table:
     return pa.table({"_dim": table["_dim"][:1], "_pivot": table["_pivot"][:1], "_block": pa.array([int(ids.min())], pa.int64()), "_tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
 
 
-def _traverse(cosine: float):
+def _traverse(cosine: float, near: set[tuple[int, int, int]]):
+    """Rows (tile, first group, own group, dim, pivot, block, tree), sorted by tile: the links of the pairs of its two groups."""
+
+    def links(a: CoverTree, b: CoverTree) -> pa.RecordBatch:
+        n_a, n_b, label = dual_links(a, b, cosine)
+        ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+        n = np.rint(n_a - a.mass if a is b else np.concatenate([n_a, n_b])).astype(np.int64)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        root = least[label]
+        keep = (n > 0) | (root != ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep]), pa.array(n[keep])], ["_rep", "_root", "_n"])
+
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        first, other = [r for r in rows if r[0] == r[1]], [r for r in rows if r[0] != r[1]]
+        pairs = [(x, y) for x in first for y in other] if other else [(x, y) for k, x in enumerate(first) for y in first[k:]]
+        for (_, _, dim, p, _, a), (_, _, dim_b, q, _, b) in pairs:
+            if dim == dim_b and (dim, p, q) in near:
+                yield links(a, b)
+
     def run(batches):
+        tile, rows = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y, left, right = (batch.column(c)[k].as_py() for c in range(4))
-                a = pickle.loads(left)
-                b = a if x == y else pickle.loads(right)
-                n_a, n_b, label = dual_links(a, b, cosine)
-                ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
-                n = np.rint(n_a - a.mass if a is b else np.concatenate([n_a, n_b])).astype(np.int64)
-                least = np.full(len(ids), np.iinfo(np.int64).max)
-                np.minimum.at(least, label, ids)
-                root = least[label]
-                keep = (n > 0) | (root != ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep]), pa.array(n[keep])], ["_rep", "_root", "_n"])
+                t, *row, tree = (c[k].as_py() for c in batch.columns)
+                if t != tile:
+                    yield from solve(rows)
+                    tile, rows = t, []
+                rows.append((*row, pickle.loads(tree)))
+        yield from solve(rows)
 
     return run
 
@@ -224,14 +245,15 @@ def near_dups(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     spark = table.sparkSession
     raw = table.select(table[id_col].cast("long").alias("_id"), table[vector_col].cast("array<double>").alias("_e"))
     rows = shared_table(raw.mapInArrow(_unit, "_id long, _v binary"))
-    classes = shared_table(rows.where("_v is not null and _id is not null").groupBy("_v").agg(F.min("_id").alias("_rep"), F.count("*").alias("_mass")).select("_rep", "_v", "_mass"))
+    classes = rows.where("_v is not null and _id is not null").groupBy("_v").agg(F.min("_id").alias("_least"), F.count("*").alias("_mass"))
+    classes = shared_table(classes.withColumn("_rep", F.monotonically_increasing_id()))  # a class's number is fixed by being written
     sample: dict[int, list[np.ndarray]] = {}
-    for r in classes.orderBy(F.xxhash64("_rep"), "_rep").limit(SAMPLE).select("_v").collect():
+    for r in classes.orderBy(F.xxhash64("_v"), "_v").limit(SAMPLE).select("_v").collect():
         sample.setdefault(len(r["_v"]) // 8, []).append(np.frombuffer(bytes(r["_v"])))
     pivots = {d: farthest_first(np.stack(v), PIVOTS) for d, v in sample.items()}
-    placed = shared_table(classes.mapInArrow(_to_pivots(pivots), "_rep long, _v binary, _mass long, _dim int, _pivot int, _far double"))
+    placed = shared_table(classes.select("_rep", "_v", "_mass").mapInArrow(_to_pivots(pivots), "_rep long, _v binary, _mass long, _dim int, _pivot int, _far double"))
     size = placed.groupBy("_dim", "_pivot").agg(F.count("*").alias("_n"), F.max("_far").alias("_radius"))
-    r, near = float(np.sqrt(2 - 2 * cosine)), []
+    r, near = float(np.sqrt(2 - 2 * cosine)), set()
     upper: dict[int, list] = {}
     for x in size.collect():  # at most PIVOTS rows a vector length
         upper.setdefault(x["_dim"], []).append(x)
@@ -240,29 +262,33 @@ def near_dups(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
             for y in nodes:
                 gap = np.linalg.norm(pivots[d][x["_pivot"]] - pivots[d][y["_pivot"]]) if d in pivots else 0.0
                 if d not in pivots or gap - x["_radius"] - y["_radius"] <= r + SLACK:
-                    near.append((d, x["_pivot"], y["_pivot"]))
+                    near.add((d, x["_pivot"], y["_pivot"]))
     if not near:
         found = spark.createDataFrame([], "_rep long, _root long, _n long")
     else:
         parts = F.pmod(F.xxhash64("_rep", F.lit(3)), F.ceil(F.col("_n") / BLOCK)).cast("int")
         blocks = placed.join(F.broadcast(size.select("_dim", "_pivot", "_n")), ["_dim", "_pivot"]).withColumn("_part", parts)
         trees = shared_table(blocks.groupBy("_dim", "_pivot", "_part").applyInArrow(_plant, "_dim int, _pivot int, _block long, _tree binary"))
-        names = trees.select("_dim", "_pivot", "_block")
-        pairs = spark.createDataFrame(near, "_dim int, _pivot int, _other int")
-        pairs = names.join(F.broadcast(pairs), ["_dim", "_pivot"]).select("_dim", F.col("_block").alias("_a"), F.col("_other").alias("_pivot"))
-        pairs = pairs.join(names.withColumnRenamed("_block", "_b"), ["_dim", "_pivot"]).where("_a <= _b").select("_a", "_b").distinct()
-        tree = lambda n: trees.select(F.col("_block").alias(f"_{n}"), F.col("_tree").alias(f"_tree_{n}"))
-        met = pairs.join(tree("a"), "_a").join(tree("b"), "_b").select("_a", "_b", "_tree_a", "_tree_b").repartition(4 * partitions(table), "_a", "_b")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row here is two whole trees
-        found = shared_table(met.mapInArrow(_traverse(cosine), "_rep long, _root long, _n long"))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        n, widest = trees.count(), max(upper)
+        most = max(1, min(GROUP, GROUP_BYTES // (8 * widest * BLOCK)))
+        each = min(most, max(4, math.ceil(n / (2 * math.sqrt(2 * partitions(table))))))
+        groups = math.ceil(n / each)
+        own = F.pmod(F.xxhash64("_block"), F.lit(groups)).cast("int")
+        tiles = trees.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        first = F.least("_own", "_other")
+        tiles = tiles.select((first * groups + F.greatest("_own", "_other")).cast("long").alias("_tile"), first.alias("_first"), "_own", "_dim", "_pivot", "_block", "_tree")
+        dealt = tiles.repartition(min(4 * partitions(table), groups * (groups + 1) // 2), "_tile").sortWithinPartitions("_tile", "_block")
+        found = shared_table(dealt.mapInArrow(_traverse(cosine, near), "_rep long, _root long, _n long"))
     links = found.groupBy("_rep").agg(F.sum("_n").alias("_n"))
-    groups = connected_components(found.select(F.col("_root").alias("a"), F.col("_rep").alias("b")))
-    named = classes.join(links, "_rep", "left").join(groups, F.col("_rep") == F.col("node"), "left").select("_v", (F.coalesce("_n", F.lit(0)) + F.col("_mass") - 1).alias("_n"), F.coalesce("component", "_rep").alias("_c"))
-    joined = rows.where("_v is not null and _id is not null").join(named, "_v").select("_id", "_n", "_c")
-    alone = rows.where("_v is null or _id is null").select("_id", F.lit(0).cast("long").alias("_n"), F.col("_id").alias("_c"))
+    roots = connected_components(found.select(F.col("_root").alias("a"), F.col("_rep").alias("b"))).select(F.col("node").alias("_rep"), "component")
+    of = classes.select("_rep", "_v", "_least", "_mass").join(links, "_rep", "left").join(roots, "_rep", "left").withColumn("_c", F.coalesce("component", "_rep"))
+    of = shared_table(of.select("_v", "_least", "_c", (F.coalesce("_n", F.lit(0)) + F.col("_mass") - 1).alias("_n")))
+    names = shared_table(of.groupBy("_c").agg(F.min("_least").alias("_name")))
+    named = shared_table(of.join(names, "_c").select("_v", "_n", "_name"))  # stored, so that a hot vector's rows are split
+    joined = rows.where("_v is not null and _id is not null").join(named, "_v").select("_id", "_n", "_name")
+    alone = rows.where("_v is null or _id is null").select("_id", F.lit(0).cast("long").alias("_n"), F.col("_id").alias("_name"))
     out = joined.union(alone)
-    return out.select(F.col("_id").alias("vec_id"), F.col("_n").alias("n_links"), F.col("_c").alias("component_id"), F.coalesce(F.col("_id") == F.col("_c"), F.lit(True)).alias("kept"))
+    return out.select(F.col("_id").alias("vec_id"), F.col("_n").alias("n_links"), F.col("_name").alias("component_id"), F.coalesce(F.col("_id") == F.col("_name"), F.lit(True)).alias("kept"))
 
 
 def query(embeddings: DataFrame) -> DataFrame:
