@@ -8,7 +8,8 @@ grouped aggregation, with the page's own vote taken out.
 
 Defined results: a null page has no text and rests on the other evidence; a null or odd address has the empty host; without
 any labelled document the language is null and the confidence 0; ties go to the first language by name; repeated rows are
-judged each; other columns are not read.
+judged each; other columns are not read.  Markup is stripped in one forward scan, so a page of unclosed tags takes no longer
+than another.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ from .common import map_texts, shared_table
 
 #: Buckets of the trigram model; strength of each smoothing step; tempering of the text's log likelihood; rows of evidence broadcast at most.
 BUCKETS, HOST_WEIGHT, DOMAIN_WEIGHT, TEMPER, MAX_CODES = 1 << 15, 4.0, 8.0, 0.25, 10_000
-_DROP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})")
+#: Languages whose counts a task holds before it hands them on.
+HELD = 32
+_SKIPPED = re.compile(rb"(?i)<(script|style)\b")
+_ENDS = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style")}
+_HTML, _LANG = re.compile(rb"(?i)<html\b"), re.compile(rb"(?i)\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})")
+#: Numeric references longer than any code point's.
+_HUGE = re.compile(r"&#[xX]?[0-9a-fA-F]{9,};?")
 _URL = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)(?::\d+)?(?:/([a-z]{2})(?=[/?#]|$))?")
 
 
@@ -37,20 +43,69 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def page_text(page: bytes | None) -> bytes:
-    return html_.unescape(_DROP.sub(b" ", page or b"").decode("utf-8", "replace")).encode()
+    """The text outside tags, comments, scripts and styles.  What is never closed is looked for once."""
+    page, out, at = page or b"", [], 0
+    missing: set[bytes] = set()
+
+    def close(name: bytes, start: int) -> int:
+        """Where the thing that starts here ends; -1 where it never does."""
+        if name in missing:
+            return -1
+        if name in _ENDS:
+            found = _ENDS[name].search(page, start)
+            end = found.end() if found else -1
+        else:
+            end = page.find(name, start)
+            end = end + len(name) if end >= 0 else -1
+        if end < 0:
+            missing.add(name)
+        return end
+
+    while (start := page.find(b"<", at)) >= 0:
+        end, skipped = -1, _SKIPPED.match(page, start)
+        if skipped:
+            end = close(skipped[1].lower(), skipped.end())
+        elif page.startswith(b"<!--", start):
+            end = close(b"-->", start + 4)
+        if end < 0:
+            end = close(b">", start + 1)
+        if end < 0:
+            break
+        out += (page[at:start], b" ")
+        at = end
+    text = b"".join([*out, page[at:]]).decode("utf-8", "replace")
+    return html_.unescape(_HUGE.sub(" ", text)).encode()
+
+
+def declared(page: bytes | None) -> str:
+    """The language that the markup declares, or an empty string."""
+    page, at = page or b"", 0
+    while found := _HTML.search(page, at):
+        end = page.find(b">", found.end())
+        end = len(page) if end < 0 else end
+        if said := _LANG.search(page, found.end(), end):
+            return said[1].decode().lower()
+        at = end
+    return ""
 
 
 def _count(batches):
-    """(lang, bucket, n): a task's own counts, one row a bucket."""
+    """(lang, bucket, n): a task's own counts, one row a bucket, handed on whenever HELD languages are held."""
     total: dict[str, np.ndarray] = {}
+
+    def counts():
+        for lang, have in total.items():
+            at = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], ["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang not in total and len(total) >= HELD:
+                yield from counts()
             have = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             have += np.bincount(trigrams(text or b""), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int64())], ["lang", "bucket", "n"])
-    for lang, have in total.items():
-        at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], ["lang", "bucket", "n"])
+    yield from counts()
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -70,11 +125,10 @@ def _read(langs: list[str], table: np.ndarray):
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 m = _URL.match(url or "")
                 host = (m[1] or "").lower() if m else ""
-                said = _LANG.search(page or b"")
                 text = page_text(page)
                 ll = TEMPER * table[:, trigrams(text)].sum(1) if text.strip() else np.zeros(len(langs))
                 top = langs[int(ll.argmax())] if text.strip() else None
-                for column, x in zip(out, (host, ".".join(host.split(".")[-3:]), host.rpartition(".")[2] + "/" + (m[2] or "" if m else "").lower(), said[1].decode().lower() if said else "", (ll - ll.max()).tolist(), top), strict=True):
+                for column, x in zip(out, (host, ".".join(host.split(".")[-3:]), host.rpartition(".")[2] + "/" + (m[2] or "" if m else "").lower(), declared(page), (ll - ll.max()).tolist(), top), strict=True):
                     column.append(x)
             kinds = [pa.string()] * 4 + [pa.list_(pa.float64()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["page_id", "host", "domain", "address", "declared", "ll", "top"])
@@ -97,8 +151,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     smooth = lambda own, above, weight: F.zip_with(own, above, lambda n, p: n + weight * p)
     share = lambda xs: F.transform(xs, lambda x: x / F.aggregate(xs, F.lit(0.0), lambda a, y: a + y))
-    domains = read.groupBy("domain").agg(votes().alias("v")).select("domain", share(smooth(F.col("v"), lit(base), DOMAIN_WEIGHT)).alias("p"))
-    hosts = read.groupBy("host", "domain").agg(votes().alias("v")).join(domains, "domain").select("host", "v", "p")
+    domains = shared_table(read.groupBy("domain").agg(votes().alias("v")).select("domain", share(smooth(F.col("v"), lit(base), DOMAIN_WEIGHT)).alias("p")))
+    seen_hosts = shared_table(read.groupBy("host", "domain").agg(votes().alias("v")))
+    hosts = shared_table(seen_hosts.join(domains, "domain").select("host", "v", "p"))  # stored, so that a hot host's rows are split
 
     def trust(column: str) -> DataFrame:
         """log P(value | language) of every value; broadcast up to MAX_CODES of them, else joined by a shuffle that AQE splits."""
