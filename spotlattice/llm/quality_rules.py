@@ -2,8 +2,10 @@
 
 Main path: DataFrame functions only.  Statistics of a text are array expressions in its own row, so no text is shuffled.
 Learning works on the binned statistics of a bounded sample of labelled rows (``max_labelled``, the smallest hashes of the
-id): each step grows a rule by the threshold with the best gain over grouped counts of (statistic, bin), prunes it on the
-third of the sample kept apart, and takes the rows it covers out.  The driver only ever sees (statistics x bins) counts.
+id): each step grows a rule by the threshold with the best gain over grouped counts of (statistic, bin) until none gains,
+prunes it on the third of the sample kept apart, and takes the rows it covers out.  Learning ends where fewer than ``least``
+rejected texts are left or the best rule is less precise than ``precision``; neither rules nor terms are capped.  The driver
+only ever sees (statistics x bins) counts.
 
 Defined results: a null text has no words; repeated rows are judged each; contradicting labels count by their mean; without
 labels of both kinds the list is empty and keeps what the base keeps; ties between thresholds fall to the statistic's and
@@ -74,7 +76,7 @@ def _gain(bad: float, good: float, bad0: float, good0: float) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_rules: int = 5, max_terms: int = 3, precision: float = 0.9, least: int = 5) -> list[list[tuple[str, str, float]]]:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, precision: float = 0.9, least: int = 5) -> list[list[tuple[str, str, float]]]:
     """Ordered rules; each is a conjunction of (statistic, '<=' or '>', threshold) under which a text is rejected."""
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("_y"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # at most max_labelled rows of 12 bytes
@@ -84,10 +86,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     edges = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
     left = shared_table(_binned(rows, edges).groupBy("_y", "_apart", *FEATURES).agg(F.count("*").alias("_n")))
     rules: list[list[tuple[str, str, float]]] = []
-    while len(rules) < max_rules:
+    while True:
         rule: list[tuple[str, str, float]] = []
         inside = left.where("NOT _apart")
-        while len(rule) < max_terms:
+        while True:
             long = inside.selectExpr("_y", "_n", f"stack({len(FEATURES)}, {', '.join(f'''{k}, {f}''' for k, f in enumerate(FEATURES))}) AS (f, b)")
             table = {(r["f"], r["b"]): (r["bad"], r["good"]) for r in long.groupBy("f", "b").agg(F.sum(F.expr("if(_y = 0, _n, 0)")).alias("bad"), F.sum(F.expr("if(_y = 1, _n, 0)")).alias("good")).collect()}
             bad0, good0 = (sum(v[k] for (f, _), v in table.items() if f == 0) for k in (0, 1))
@@ -106,7 +108,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             inside = inside.where(_on_bins(rule[-1:], edges))
         if rule:  # prune: the number of first terms that the part kept apart likes best
             apart = left.where("_apart")
-            shorter = [apart.where(_on_bins(rule[:n], edges)).agg(F.sum(F.expr("if(_y = 0, _n, 0)")), F.sum("_n")).first() for n in range(1, len(rule) + 1)]
+            sums = [F.sum(F.when(_on_bins(rule[:n], edges), x)) for n in range(1, len(rule) + 1) for x in (F.expr("if(_y = 0, _n, 0)"), F.col("_n"))]
+            row = apart.agg(*[x.alias(f"s{k}") for k, x in enumerate(sums)]).first()
+            shorter = list(zip(row[::2], row[1::2], strict=True))
             worth = [((2 * (r[0] or 0) - (r[1] or 0)) / r[1] if r[1] else -1.0) for r in shorter]
             n = worth.index(max(worth)) + 1
             bad, every = shorter[n - 1][0] or 0, shorter[n - 1][1] or 0
