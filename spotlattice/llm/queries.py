@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_level_bpe": _over(bpe_codec.query, "documents"),
     "op10_quality_classifier": _over(quality_classifier.query, "documents", "labels"),
 }
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op8_embedding_near_dedup": embedding_dedup.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_secret_scans": secret_scan.SQL, "op5_ngram_jaccard_join": ngram_join.SQL, "op8_embedding_near_dedup": embedding_dedup.SQL}

@@ -1,8 +1,10 @@
 """Plain versions of the corpus operators, one text at a time, to hold results against."""
 
 import hashlib
+import html
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,3 +116,90 @@ def rank_merges(ranks, word):
                 out.append(parts[i])
                 i += 1
         parts = out
+
+
+DROP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+LANG = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})")
+URL = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)(?::\d+)?(?:/([a-z]{2})(?=[/?#]|$))?")
+
+
+def page_text(page):
+    return html.unescape(DROP.sub(b" ", (page or "").encode()).decode())
+
+
+def language(pages, docs):
+    """(page, language, confidence): likelihoods, declared language, address and host prior, added up in plain loops."""
+
+    def buckets(text):
+        x = b" " + b" ".join(text.encode().lower().split()) + b" "
+        return [(((x[k] * 65599 + x[k + 1]) * 65599 + x[k + 2]) * 2654435761 % 2**32) >> 17 for k in range(len(x) - 2)]
+
+    counts = defaultdict(Counter)
+    for lang, text in docs:
+        if lang is not None and text is not None:
+            counts[lang].update(buckets(text))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * 2**15 for x in langs}
+    rows = []
+    for i, url, page in pages:
+        text, m = page_text(page), URL.match(url or "")
+        host = (m[1] if m else "").lower()
+        said = LANG.search((page or "").encode())
+        ll = [0.25 * sum(math.log((counts[x][b] + 0.5) / total[x]) for b in buckets(text)) if text.strip() else 0.0 for x in langs]
+        top = langs[ll.index(max(ll))] if text.strip() else None
+        rows.append((i, host, ".".join(host.split(".")[-3:]), host.rpartition(".")[2] + "/" + ((m[2] or "") if m else "").lower(), said[1].decode().lower() if said else "", ll, top))
+    votes = [defaultdict(Counter) for _ in range(5)]  # by nothing, host, domain, address, declared language
+    for _, host, domain, address, said, _, top in rows:
+        for v, k in zip(votes, ("", host, domain, address, said), strict=True):
+            v[k][top] += 1
+    every = votes[0][""]
+    n = sum(every[x] for x in langs)
+    out = []
+    for i, host, domain, address, said, ll, top in rows:
+        s = []
+        share = [votes[2][domain][x] + 8 * (every[x] + 1) / (n + len(langs)) for x in langs]
+        for k, x in enumerate(langs):
+            value = ll[k] - max(ll) + math.log(votes[1][host][x] - (top == x) + 4 * share[k] / sum(share))
+            for v, key in ((votes[3], address), (votes[4], said)):
+                value += math.log((v[key][x] + 0.05) / (every[x] + 1)) if key else 0.0
+            s.append(value)
+        best = max(s)
+        out.append((i, langs[s.index(best)], 1 / sum(math.exp(x - best) for x in s)))
+    return out
+
+
+def decision_list(rows, names, precision, least):
+    """Rules from (label, kept apart, values): sequential covering over thresholds at the values' 24-quantiles."""
+    ranked = {f: sorted(r[2][f] for r in rows) for f in names}
+    edges = {f: sorted({ranked[f][math.ceil(k / 24 * len(rows)) - 1] for k in range(1, 24)}) for f in names}
+    holds = lambda rule, r: all((r[2][f] <= e) if sign == "<=" else (r[2][f] > e) for f, sign, e in rule)
+    rules, left = [], rows
+    while True:
+        rule, inside = [], [r for r in left if not r[1]]
+        while True:
+            bad0 = sum(r[0] == 0 for r in inside)
+            good0 = len(inside) - bad0
+            if bad0 < least or good0 == 0:
+                break
+            best = (0.0,)
+            for k, f in enumerate(names):
+                for b, e in enumerate(edges[f]):
+                    for sign in ("<=", ">"):
+                        part = [r[0] for r in inside if holds([(f, sign, e)], r)]
+                        bad = part.count(0)
+                        if bad:
+                            gain = bad * (math.log2(bad / len(part)) - math.log2(bad0 / (bad0 + good0)))
+                            best = max(best, (gain, -k, -b, f, sign, e))
+            if best[0] <= 1e-9:
+                break
+            rule.append(best[3:])
+            inside = [r for r in inside if holds(rule, r)]
+        if rule:
+            apart = [[r[0] for r in left if r[1] and holds(rule[:n], r)] for n in range(1, len(rule) + 1)]
+            worth = [(2 * x.count(0) - len(x)) / len(x) if x else -1.0 for x in apart]
+            n = worth.index(max(worth)) + 1
+            rule = rule[:n] if apart[n - 1] and apart[n - 1].count(0) / len(apart[n - 1]) >= precision else []
+        if not rule:
+            return rules
+        rules.append(rule)
+        left = [r for r in left if not holds(rule, r)]
