@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed values of the localisation-variance formula, kept at the published number of decimals.
 SIXTEEN_NINTHS, EIGHT_PI = 1.7777777778, 25.13274123
@@ -67,22 +67,57 @@ def lse_variance(a, s, n, b2, emccd: bool = False) -> Column:
     return F.when(n <= 0, F.lit(math.inf)).otherwise(value)
 
 
-def _mle_variance(a: pd.Series, s: pd.Series, n: pd.Series, b2: pd.Series, factor: float) -> np.ndarray:
-    a, s, n, b2 = (np.asarray(v, float) for v in (a, s, n, b2))
-    t, w = np.polynomial.legendre.leggauss(64)
-    u, w = ((t + 1) / 2) ** 4, w / 2 * 4 * ((t + 1) / 2) ** 3  # x = u**4 takes the logarithm's pole off the nodes
+def mle_terms(n: int = 64) -> list[tuple[float, float]]:
+    """(u, c): the integral of ln(t) / (1 + rho / t) over 0 to 1 is the sum of c / (u + rho).
+
+    Gauss-Legendre nodes of x with u = x**4, which takes the logarithm's pole off the nodes.
+    """
+    t, w = np.polynomial.legendre.leggauss(n)
+    x = (t + 1) / 2
+    u = x**4
+    return [(float(a), float(b)) for a, b in zip(u, w / 2 * 4 * x**3 * u * np.log(u), strict=True)]
+
+
+def mle_variance(a, s, n, b2, emccd: bool = False) -> Column:
+    """Variance of a maximum-likelihood position; where its information integral is not positive, that of least squares."""
+    a, s, n, b2 = map(col, (a, s, n, b2))
     sa2 = s * s + a * a / 12
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rho = 2 * math.pi * sa2 * b2 / (n * a * a)
-        i1 = np.where(rho == 0, 1.0, -(w * u * np.log(u) / (u + rho[:, None])).sum(1))
-        lse = factor * (sa2 / n) * (SIXTEEN_NINTHS + EIGHT_PI * sa2 * b2 / (n * a * a))
-        return np.where(n <= 0, math.inf, np.where(i1 > 0, factor * (sa2 / n) / i1, lse))
+    rho = 2 * math.pi * sa2 * b2 / (n * a * a)
+    i1 = F.when(rho == 0, 1.0).otherwise(-functools.reduce(operator.add, [F.lit(c) / (F.lit(u) + rho) for u, c in mle_terms()]))
+    return F.when(n <= 0, F.lit(math.inf)).when(i1 > 0, (2 if emccd else 1) * (sa2 / n) / i1).otherwise(lse_variance(a, s, n, b2, emccd))
+
+
+#: What a precision is taken from, the first that is there: a stored value, fitted deviations, local background, noise.
+PRECISION_SOURCES = ("stored", "crlb", "local_background", "noise")
+
+
+def noise_of_background(background, emccd: bool = False) -> Column:
+    """Noise that a background of so many photons makes; an electron-multiplying gain doubles its variance."""
+    return F.sqrt(F.greatest(F.lit(0.0), col(background)) * (2 if emccd else 1))
 
 
-@F.pandas_udf(T.DoubleType())
-def mle_variance(a: pd.Series, s: pd.Series, n: pd.Series, b2: pd.Series) -> pd.Series:
-    """Variance of a maximum-likelihood position, its information integral by Gauss-Legendre nodes; else least squares."""
-    return pd.Series(_mle_variance(a, s, n, b2, 1.0))
+def background_variance(noise, emccd: bool = False) -> Column:
+    """The background variance of the precision formulas from a measured noise, which holds the gain's own part already."""
+    return col(noise) * col(noise) / (2 if emccd else 1)
+
+
+def precision_by(source: str, a, s, n, noise="noise", background="background", stored="precision", sd=("sdx", "sdy"), emccd: bool = False) -> Column:
+    """Precision (in the unit of a and s) from one source of PRECISION_SOURCES; null where its columns are null."""
+    if source == "stored":
+        return F.when(col(stored) > 0, col(stored))
+    if source == "crlb":
+        return F.sqrt((col(sd[0]) * col(sd[0]) + col(sd[1]) * col(sd[1])) / 2)
+    if source == "local_background":
+        return F.sqrt(lse_variance(a, s, n, F.greatest(F.lit(0.0), col(background)), emccd))
+    if source == "noise":
+        return F.sqrt(lse_variance(a, s, n, background_variance(noise, emccd), emccd))
+    raise ValueError(f"unknown source of precision {source!r}")
+
+
+def best_precision(sources: list[str], *args, **options) -> tuple[Column, Column]:
+    """(precision, source) of the first source that has one for the row."""
+    found = [(precision_by(x, *args, **options), x) for x in sources]
+    return F.coalesce(*[p for p, _ in found]), F.coalesce(*[F.when(p.isNotNull(), F.lit(x)) for p, x in found])
 
 
 def cdf2d(r) -> Column:
@@ -99,6 +134,15 @@ def mean_signal(intensity, sx, sy, radius: float) -> Column:
     return col(intensity) * (1 - math.exp(-radius * radius / 2)) / (math.pi * radius * radius * col(sx) * col(sy))
 
 
+def mean_signal_of_share(intensity, sx, sy, share: float = 0.5) -> Column:
+    """Mean signal within the ellipse that holds ``share`` of the signal."""
+    return col(intensity) * share / (math.pi * -2 * math.log(1 - share) * col(sx) * col(sy))
+
+
+def translated(x, y, dx: float, dy: float) -> tuple[Column, Column]:
+    return col(x) + dx, col(y) + dy
+
+
 def unmix2(o1, o2, c12: float, c21: float) -> tuple[Column, Column]:
     """Two channels free of crosstalk: c_ij is the share of channel j's density seen in channel i."""
     d1 = (col(o1) - c21 * col(o2)) / (1 - c12 * c21)

@@ -7,7 +7,7 @@ import operator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.localisation import height, snr, width
@@ -177,7 +177,7 @@ class FailCounter:
         if self.kind == "pass_rate":
             return self.total <= self.allowed or self.passed >= self.rate * self.total
         if self.kind == "rolling":
-            return self.recent.count(False) <= self.allowed or len(self.recent) < self.window
+            return self.recent.count(False) <= self.allowed
         if self.kind == "weighted":
             return self.score <= self.allowed
         if self.kind == "resetting":
@@ -190,21 +190,30 @@ class FailCounter:
 def fail_count(df: DataFrame, accept: Column, rank: str = "rank", **options) -> DataFrame:
     """Rows accepted in rank order until a frame's counter says stop; what follows is rejected.
 
-    The consecutive counter is a window: a row stands when no run of rejects before it was longer than allowed.  A run's
-    length is the row's rank less the rank of the last accepted row, and it stops the frame for all later rows, so a
-    running maximum tells.  The other counters are plain state and run per frame.
+    A row stands when the counter held at it and at every row before.  Consecutive runs, pass rates, rolling windows and
+    weighted scores are windows over the frame: a run is the rank less that of the last accepted row; a weighted score, which
+    never falls below 0, is its running sum less the least running sum so far.  Resetting and combined counters are plain
+    state and run per frame.
     """
     FailCounter(**options)  # options that do not hold are refused here, before any task
+    kind, allowed = options.get("kind", "consecutive"), options.get("allowed", 3)
     marked = df.withColumn("_ok", F.coalesce(accept, F.lit(False)))
-    if options.get("kind", "consecutive") == "consecutive":
-        from pyspark.sql import Window
-
+    if kind in ("consecutive", "pass_rate", "rolling", "weighted"):
         w = Window.partitionBy("frame").orderBy(rank)
-        before = w.rowsBetween(Window.unboundedPreceding, 0)
-        n = F.row_number().over(w)
-        run = n - F.coalesce(F.max(F.when(F.col("_ok"), F.col("_n"))).over(before), F.lit(0))
-        out = marked.withColumn("_n", n).withColumn("_run", run).withColumn("_longest", F.max("_run").over(before))
-        return out.where(F.col("_ok") & (F.col("_longest") <= options.get("allowed", 3))).drop("_ok", "_n", "_run", "_longest")
+        sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+        marked = marked.withColumn("_n", F.row_number().over(w))
+        if kind == "consecutive":
+            holds = F.col("_n") - F.coalesce(F.max(F.when(F.col("_ok"), F.col("_n"))).over(sofar), F.lit(0)) <= allowed
+        elif kind == "pass_rate":
+            good = F.sum(F.when(F.col("_ok"), 1).otherwise(0)).over(sofar)
+            holds = (F.col("_n") <= allowed) | (good >= options.get("rate", 0.0) * F.col("_n"))
+        elif kind == "rolling":
+            holds = F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(w.rowsBetween(1 - options.get("window", 5), 0)) <= allowed
+        else:
+            marked = marked.withColumn("_s", F.sum(F.when(F.col("_ok"), -options.get("good", 1)).otherwise(options.get("fail", 1))).over(sofar))
+            holds = F.col("_s") - F.least(F.lit(0), F.min("_s").over(sofar)) <= allowed
+        out = marked.withColumn("_holds", holds).withColumn("_all", F.min("_holds").over(sofar))
+        return out.where("_ok AND _all").select(*df.columns)
 
     def frame(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(rank, kind="stable")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Edges that one task may take to their components; more go by rounds of joins.
@@ -45,6 +45,17 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with dense numbers from 1 in order of the columns ``order``, which tell all rows apart.
+
+    Rows are dealt by range and ranked in each part; the window that adds up the parts runs over one row a part.
+    """
+    parts = shared_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_n", "_before")
+
+
 def _trees(batches):
     """(node, component) of a bounded number of edges, by union and find."""
     up: dict[int, int] = {}

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.localisation import distance2
-from .graph import connected_components, shared_table
+from .graph import connected_components, partitions, shared_table
 
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -28,6 +29,13 @@ def within(a: DataFrame, b: DataFrame, d: float, on: tuple[str, ...] = (), stric
     return met.where(F.col("d2") < d * d if strict else F.col("d2") <= d * d)
 
 
+def within_key(a: DataFrame, b: DataFrame, d: float, key: str, strict: bool = False) -> DataFrame:
+    """The pairs of ``within`` where a key leaves few partners: a plain equi-join on it, without cells."""
+    left, right = (t.select(*[F.col(c).alias(f"{n}_{c}") for c in t.columns], F.col(key).alias("_k")) for t, n in ((a, "a"), (b, "b")))
+    met = left.join(right, "_k").withColumn("d2", distance2("a_x", "a_y", "b_x", "b_y")).drop("_k")
+    return met.where(F.col("d2") < d * d if strict else F.col("d2") <= d * d)
+
+
 def neighbours(df: DataFrame, d: float, frames: int) -> DataFrame:
     """Per row its brightest other row closer than d in the frames around: by end before, by start after.  Ties: first row."""
     rows = df.select("row_id", "frame", "end_frame", "x", "y", "intensity")
@@ -106,24 +114,41 @@ def local_density(df: DataFrame, border: int) -> DataFrame:
 
 
 def match_frames(actual: DataFrame, predicted: DataFrame, d: float) -> DataFrame:
-    """One-to-one matches per frame by closest first: (frame, a_row_id, b_row_id, distance).
+    """One-to-one matches per frame by closest first: (frame, a_row_id, b_row_id, distance); ties by the smaller row ids.
 
-    Candidates come from the cell join.  Mutual nearest pairs are taken and their rows leave, until none is left; ties by
-    distance fall to the smaller row ids.  The steps are joins, so a crowded frame is no single task.
+    Candidates come from the cell join.  Rows compete only within a component of candidate pairs: a task reads its
+    components' pairs in order of distance and keeps those whose rows are both free.
     """
     pick = lambda df: df.select("frame", "row_id", "x", "y")
-    left = shared_table(within(pick(actual), pick(predicted), d, on=("frame",)).select(F.col("a_frame").alias("frame"), "a_row_id", "b_row_id", "d2"))
-    out = None
-    while True:
-        by_a = Window.partitionBy("a_row_id").orderBy("d2", "a_row_id", "b_row_id")
-        by_b = Window.partitionBy("b_row_id").orderBy("d2", "a_row_id", "b_row_id")
-        best = left.withColumn("_i", F.row_number().over(by_a)).withColumn("_j", F.row_number().over(by_b))
-        taken = shared_table(best.where("_i = 1 AND _j = 1").drop("_i", "_j"))
-        if not taken.limit(1).count():
-            break
-        out = taken if out is None else out.unionByName(taken)
-        left = shared_table(left.join(taken.select("a_row_id"), "a_row_id", "left_anti").join(taken.select("b_row_id"), "b_row_id", "left_anti"))
-    return (left if out is None else out).select("frame", "a_row_id", "b_row_id", F.sqrt("d2").alias("distance"))
+    pairs = shared_table(within(pick(actual), pick(predicted), d, on=("frame",)).select(F.col("a_frame").alias("frame"), "a_row_id", "b_row_id", "d2"))
+    return closest_first(pairs, "frame").select("frame", "a_row_id", "b_row_id", F.sqrt("d2").alias("distance"))
+
+
+def closest_first(pairs: DataFrame, *on: str) -> DataFrame:
+    """The rows of pairs (a_row_id, b_row_id, d2) that are taken when the closest pair of free rows is taken again and again.
+
+    Rows of different values of ``on`` do not compete.  A node's number is a hash: two that met would only join components.
+    """
+    node = lambda side: F.xxhash64(F.lit(side), F.col(f"{side}_row_id"), *on)
+    nodes = pairs.select("*", node("a").alias("_a"), node("b").alias("_b"))
+    groups = connected_components(nodes.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    met = nodes.join(groups, F.col("_a") == F.col("node")).select(*pairs.columns, "_a", "_b", "component")
+    order = ["component", "d2", "a_row_id", "b_row_id"]
+
+    def run(batches):
+        component, taken = None, set()
+        for batch in batches:
+            keep = []
+            for a, b, c in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns)), strict=True):
+                if c != component:
+                    component, taken = c, set()
+                free = (0, a) not in taken and (1, b) not in taken
+                if free:
+                    taken |= {(0, a), (1, b)}
+                keep.append(free)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-3], batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
+
+    return met.repartition(partitions(pairs), "component").sortWithinPartitions(*order).mapInArrow(run, pairs.schema)
 
 
 def unmix_channels(df: DataFrame, radius: float, c12: float, c21: float) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import localisation as fn
 from ..operators import aggregates as agg
 from ..operators import filters as flt
-from ..operators import clustering, drift, imaging, spatial, tracing, tracks
-from ..operators.graph import shared_table
+from ..operators import clustering, drift, imaging, matching, sorting, spatial, tracing, tracks
+from ..operators.graph import numbered, shared_table
 from ..sources import formats, tsf
 from ..streaming import frames as streams
 from .tables import EV, LOC, PT, localisations, points, read, stream_rows
@@ -58,11 +58,27 @@ def lse_precision(df):
     return rounded(df.select("row_id", fn.lse_variance(F.lit(100.0), F.lit(130.0), "intensity", F.col("noise") * F.col("noise")).alias("variance")), 6)
 
 
-@query()
+_MLE = "(130 * 130 + 10000 / 12.0)"
+
+
+@query(LOC + f", r AS (SELECT row_number() OVER () AS rn, row_id, intensity, noise, 2 * pi() * {_MLE} * noise * noise / (intensity * 10000) AS rho FROM loc), t(u, c) AS (VALUES " + ", ".join(f"({u!r}::DOUBLE, {c!r}::DOUBLE)" for u, c in fn.mle_terms()) + f"), i AS (SELECT any_value(row_id) AS row_id, any_value(intensity) AS n, CASE WHEN any_value(rho) = 0 THEN 1 ELSE -sum(c / (u + rho)) END AS i1 FROM r, t GROUP BY rn) SELECT row_id, round({_MLE} / n / i1, 6) AS variance FROM i")
 def mle_precision(df):
     return rounded(df.select("row_id", fn.mle_variance(F.lit(100.0), F.lit(130.0), F.col("intensity"), F.col("noise") * F.col("noise")).alias("variance")), 6)
 
 
+@query(LOC + f", v AS (SELECT row_id, precision AS stored, CASE WHEN intensity <= 0 THEN NULL ELSE sqrt(2 * {_MLE} / intensity * (1.7777777778 + 25.13274123 * {_MLE} * noise * noise / 2 / (intensity * 10000))) END AS p FROM loc) SELECT row_id, round(coalesce(CASE WHEN stored > 0 THEN stored END, p), 9) AS precision, CASE WHEN stored > 0 THEN 'stored' ELSE 'noise' END AS source FROM v")
+def best_precision(df):
+    """The stored precision, or else that of noise with an electron-multiplying gain."""
+    p, source = fn.best_precision(["stored", "noise"], F.lit(100.0), F.lit(130.0), F.col("intensity"), emccd=True)
+    return rounded(df.select("row_id", p.alias("precision"), source.alias("source")))
+
+
+@query(LOC + "SELECT row_id, round(intensity * 0.5 / (pi() * -2 * ln(0.5) * sx * sy), 9) AS p05, round(intensity * (1 - exp(-0.5)) / (pi() * sx * sy), 9) AS r1, round(x + 3.5, 9) AS x, round(y - 2, 9) AS y FROM loc")
+def mean_signals(df):
+    x, y = fn.translated("x", "y", 3.5, -2.0)
+    return rounded(df.select("row_id", fn.mean_signal_of_share("intensity", "sx", "sy", 0.5).alias("p05"), fn.mean_signal("intensity", "sx", "sy", 1.0).alias("r1"), x.alias("x"), y.alias("y")))
+
+
 @query(LOC + "SELECT row_id, CASE WHEN background = 0 THEN 5.0 ELSE background END AS background, greatest(abs(floor(x) + 0.5 - x), abs(floor(y) + 0.5 - y)) AS drift FROM loc")
 def fill_background(df):
     drift = F.greatest(F.abs(F.floor("x") + 0.5 - F.col("x")), F.abs(F.floor("y") + 0.5 - F.col("y")))
@@ -72,11 +88,31 @@ def fill_background(df):
 @query(LOC + "SELECT row_id, CASE WHEN category = 0 THEN -row_number() OVER (PARTITION BY category ORDER BY row_id) ELSE category END AS id FROM loc")
 def assign_zero_ids(df):
     """Unique negative ids for rows without one; ranks in parts by range, so that no task holds all of them."""
-    zero = df.where("category = 0").select("row_id").repartitionByRange("row_id").withColumn("_p", F.spark_partition_id())
-    zero = shared_table(zero)
-    before = zero.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
-    ranked = zero.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("row_id"))).join(F.broadcast(before), "_p")
-    return ranked.select("row_id", (-(F.col("_k") + F.col("_before"))).alias("id")).union(df.where("category <> 0").select("row_id", F.col("category").cast("long")))
+    zero = numbered(df.where("category = 0").select("row_id"), "row_id", name="k")
+    return zero.select("row_id", (-F.col("k")).alias("id")).union(df.where("category <> 0").select("row_id", F.col("category").cast("long")))
+
+
+@query(LOC + "SELECT row_id, frame, row_number() OVER (ORDER BY frame, intensity DESC, end_frame, row_id) AS k FROM loc")
+def sort_results(df):
+    """The sort of result tables, as a numbering: by frame, brightest first, then end frame."""
+    return sorting.numbered_by(df.select("row_id", "frame", "end_frame", "intensity", "id"), "frame").select("row_id", "frame", F.col("k"))
+
+
+@query(EV + "SELECT row_id, row_number() OVER (ORDER BY id, frame, row_id) AS by_id, row_number() OVER (ORDER BY frame, id, row_id) AS by_frame, row_number() OVER (ORDER BY frame, row_id) AS by_end FROM ev", stream_rows)
+def sort_orders(df):
+    rows = df.select("row_id", "frame", "end_frame", "intensity", "id")
+    named = lambda order, name: sorting.numbered_by(rows, order).select("row_id", F.col("k").alias(name))
+    return named("id_frame", "by_id").join(named("frame_id", "by_frame"), "row_id").join(named("end", "by_end"), "row_id")
+
+
+@query(LOC + "SELECT category AS id, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM loc WHERE category > 0 GROUP BY category")
+def ids_to_traces(df):
+    return tracing.ids_to_traces(df.withColumn("id", F.col("category"))).drop("row_ids").withColumn("n", F.col("n").cast("long"))
+
+
+@query(LOC + "SELECT row_id FROM loc WHERE id IN (SELECT id FROM loc GROUP BY id HAVING min(frame) % 7 = 1)")
+def started_at_activation(df):
+    return tracing.started_at_activation(df, 7).select("row_id")
 
 
 @query(LOC + "SELECT row_id, unnest(generate_series(frame, end_frame)) AS frame FROM loc")
@@ -164,10 +200,28 @@ def fail_count_consecutive(df):
     return flt.fail_count(ranked, F.col("noise") <= 5, allowed=2).select("row_id")
 
 
-@query()
-def fail_count_pass_rate(df):
+_RANKED = LOC + ", r AS (SELECT row_id, frame, noise <= 5 AS good, row_number() OVER (PARTITION BY frame ORDER BY intensity DESC, row_id) AS k FROM loc)"
+_STANDS = " SELECT row_id FROM (SELECT row_id, good, bool_and(h) OVER (PARTITION BY frame ORDER BY k) AS every FROM h) WHERE good AND every"
+
+
+def _ranked(df: DataFrame) -> DataFrame:
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("intensity"), "row_id")))
-    return flt.fail_count(ranked.select("row_id", "frame", "rank", "noise"), F.col("noise") <= 5, kind="pass_rate", allowed=3, rate=0.5).select("row_id")
+    return ranked.select("row_id", "frame", "rank", "noise")
+
+
+@query(_RANKED + ", h AS (SELECT *, k <= 3 OR sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY k) >= 0.5 * k AS h FROM r)" + _STANDS)
+def fail_count_pass_rate(df):
+    return flt.fail_count(_ranked(df), F.col("noise") <= 5, kind="pass_rate", allowed=3, rate=0.5).select("row_id")
+
+
+@query(_RANKED + ", h AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY frame ORDER BY k ROWS 5 PRECEDING) <= 2 AS h FROM r)" + _STANDS)
+def fail_count_rolling(df):
+    return flt.fail_count(_ranked(df), F.col("noise") <= 5, kind="rolling", allowed=2, window=6).select("row_id")
+
+
+@query(_RANKED.replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT row_id, frame, good, k, CASE WHEN good THEN 0 ELSE 2 END AS score FROM r WHERE k = 1 UNION ALL SELECT r.row_id, r.frame, r.good, r.k, CASE WHEN r.good THEN greatest(0, c.score - 1) ELSE c.score + 2 END FROM c JOIN r ON r.frame = c.frame AND r.k = c.k + 1), h AS (SELECT *, score <= 3 AS h FROM c)" + _STANDS)
+def fail_count_weighted(df):
+    return flt.fail_count(_ranked(df), F.col("noise") <= 5, kind="weighted", allowed=3, fail=2, good=1).select("row_id")
 
 
 @query(LOC + ", j AS (SELECT id, frame, x, y, frame - lag(frame) OVER w AS gap, (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) AS d2 FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)), t AS (SELECT id, max(frame) - min(frame) AS length, CASE WHEN sum(gap) > 0 THEN sum(greatest(0, d2 - 4 * 0.25) * (2 / (2 - 1 / 3.0))) / sum(gap) / 4 END AS d FROM j GROUP BY id) SELECT row_id FROM loc WHERE id IN (SELECT id FROM t WHERE d BETWEEN 0.5 AND 5 AND length >= 10)")
@@ -334,7 +388,7 @@ def msd_lags(df):
     return rounded(tracks.msd_by_lag(df, 4))
 
 
-@query()
+@query(LOC + ", s AS (SELECT id, row_id, x, y, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step, row_number() OVER w AS k FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)), f AS (SELECT id, lead(row_id, 1) OVER v AS row_id, lead(row_id, 2) OVER v AS last, (lead(step, 1) OVER v + lead(step, 2) OVER v) / 2 AS mean_step, sqrt((lead(x, 2) OVER v - x) * (lead(x, 2) OVER v - x) + (lead(y, 2) OVER v - y) * (lead(y, 2) OVER v - y)) AS drift FROM s WINDOW v AS (PARTITION BY id ORDER BY k)) SELECT id, 0 AS part, row_id, round(mean_step, 9) AS mean_step, round(drift, 9) AS drift, round(CASE WHEN mean_step > 0 THEN drift / (mean_step * 2) END, 9) AS straightness FROM f WHERE last IS NOT NULL")
 def sliding_features(df):
     return rounded(tracks.sliding_features(df.withColumn("frame", F.row_number().over(tracks.by_track())), 3))
 
@@ -369,7 +423,7 @@ def combine_datasets(df):
 def neighbours_in_track(df):
     """Neighbours among the rows of one id: the ids are the regions of this table."""
     rows = df.select("row_id", "id", "frame", "end_frame", "x", "y", "intensity")
-    near = spatial.within(rows, rows, 10.0, on=("id",), strict=True)
+    near = spatial.within_key(rows, rows, 10.0, "id", strict=True)
     before = (F.col("b_end_frame") >= F.col("a_frame") - 30) & (F.col("b_end_frame") < F.col("a_frame"))
     after = (F.col("b_frame") > F.col("a_frame")) & (F.col("b_frame") <= F.col("a_frame") + 30)
     best = near.where(before | after).groupBy("a_row_id").agg(F.max_by(F.struct("b_row_id", "d2"), F.struct("b_intensity", -F.col("b_row_id"))).alias("_b"))
@@ -429,17 +483,48 @@ def particle_linkage(df):
     return clustering.agglomerate(df.withColumn("frame", F.col("row_id") % 50).withColumn("end_frame", F.col("frame")), 0.5, "particle", 10, "time")
 
 
-@query(table=points)
+@query(PT.replace("WITH", "WITH RECURSIVE") + ", p AS (SELECT row_id, CAST(floor(x) AS INT) AS px, CAST(floor(y) AS INT) AS py FROM pt), e AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON abs(a.px - b.px) <= 2 AND abs(a.py - b.py) <= 2), r AS (SELECT row_id AS a, row_id AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), q AS (SELECT cluster, row_id, px + i AS qx, py + j AS qy FROM c JOIN p USING (row_id), (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j)) SELECT cluster, count(DISTINCT row_id) AS n, count(DISTINCT (qx, qy)) AS area, round(count(DISTINCT row_id) / count(DISTINCT (qx, qy)), 9) AS density FROM q GROUP BY cluster", points)
 def local_density(df):
     return rounded(spatial.local_density(df, 1))
 
 
-@query()
+@query(LOC.replace("WITH", "WITH RECURSIVE", 1) + ", p AS (SELECT a.frame, a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM loc a JOIN loc b ON a.frame = b.frame AND a.category = 1 AND b.category = 2), o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d2, a, b) AS k FROM p WHERE d2 <= 25), m AS (SELECT frame, k, a, b, d2, true AS ok, [a] AS ua, [b] AS ub FROM o WHERE k = 1 UNION ALL SELECT o.frame, o.k, o.a, o.b, o.d2, NOT (list_contains(ua, o.a) OR list_contains(ub, o.b)), CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ua ELSE list_append(ua, o.a) END, CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ub ELSE list_append(ub, o.b) END FROM m JOIN o ON o.frame = m.frame AND o.k = m.k + 1) SELECT frame, a AS a_row_id, b AS b_row_id, round(sqrt(d2), 9) AS distance FROM m WHERE ok")
 def match_per_frame(df):
     """Rows of two categories matched one to one within a frame."""
     return rounded(spatial.match_frames(df.where("category = 1"), df.where("category = 2"), 5.0))
 
 
+_KINDS = LOC + ", k AS (SELECT CAST(l.category AS INT) AS a, CAST(m.noise AS INT) AS b FROM loc l JOIN loc m USING (row_id))"
+
+
+@query(_KINDS + ", n AS (SELECT a, b, count(*) AS n FROM k GROUP BY ALL) SELECT a AS expected, b AS found, n FROM n")
+def match_classes(df):
+    """Confusion counts of two labellings of the same rows."""
+    return matching.confusion(df.select("row_id", F.col("category").alias("label")), df.select("row_id", F.col("noise").cast("int").alias("label")))
+
+
+@query(_KINDS + ", m AS (SELECT count(*) AS n, count(DISTINCT a) AS ka, sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS agree FROM k), e AS (SELECT sum(CAST(x.n AS DOUBLE) * y.n) AS s FROM (SELECT a, count(*) AS n FROM k GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM k GROUP BY b) y ON x.a = y.b) SELECT n, agree, round(agree / n, 9) AS accuracy, round((agree / n - s / n / n) / (1 - s / n / n), 9) AS kappa FROM m, e")
+def match_agreement(df):
+    return rounded(matching.agreement(matching.confusion(df.select("row_id", F.col("category").alias("label")), df.select("row_id", F.col("noise").cast("int").alias("label")))))
+
+
+@query(LOC.replace("WITH", "WITH RECURSIVE", 1) + ", x AS (SELECT row_id, unnest(CASE WHEN frame = end_frame THEN [frame] ELSE [frame, end_frame] END) AS frame, x, y, category FROM loc WHERE frame % 5 = 0), p AS (SELECT a.frame, a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM x a JOIN x b ON a.frame = b.frame AND a.category = 1 AND b.category = 2), o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d2, a, b) AS k FROM p WHERE d2 <= 16), m AS (SELECT frame, k, a, b, true AS ok, [a] AS ua, [b] AS ub FROM o WHERE k = 1 UNION ALL SELECT o.frame, o.k, o.a, o.b, NOT (list_contains(ua, o.a) OR list_contains(ub, o.b)), CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ua ELSE list_append(ua, o.a) END, CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ub ELSE list_append(ub, o.b) END FROM m JOIN o ON o.frame = m.frame AND o.k = m.k + 1), t AS (SELECT count(*) FILTER (WHERE ok) AS tp FROM m), c AS (SELECT count(*) FILTER (WHERE category = 1) AS na, count(*) FILTER (WHERE category = 2) AS nb FROM x) SELECT tp, nb - tp AS fp, na - tp AS fn, round(tp / na, 9) AS recall, round(tp / nb, 9) AS precision, round(tp / (na + nb - tp), 9) AS jaccard FROM t, c")
+def match_results(df):
+    """Scores of a match in the first and last frame of rows that span several."""
+    some = df.where("frame % 5 = 0")
+    return rounded(matching.match_scores(some.where("category = 1"), some.where("category = 2"), 4.0, coordinates="first_or_last"))
+
+
+_TRACED = "(SELECT id, avg(x) AS x, avg(y) AS y, min(frame) AS a, max(end_frame) AS b FROM loc WHERE category = {k} AND id % 50 = 0 GROUP BY id)"
+
+
+@query(LOC.replace("WITH", "WITH RECURSIVE", 1) + f", ta AS {_TRACED.format(k=1)}, tb AS {_TRACED.format(k=2)}, p AS (SELECT ta.id AS a, tb.id AS b, (ta.x - tb.x) * (ta.x - tb.x) + (ta.y - tb.y) * (ta.y - tb.y) AS d2, least(ta.b, tb.b) - greatest(ta.a, tb.a) + 1 AS overlap FROM ta JOIN tb ON least(ta.b, tb.b) >= greatest(ta.a, tb.a)), o AS (SELECT *, row_number() OVER (ORDER BY d2, a, b) AS k FROM p WHERE d2 <= 100), m AS (SELECT k, a, b, d2, overlap, true AS ok, [a] AS ua, [b] AS ub FROM o WHERE k = 1 UNION ALL SELECT o.k, o.a, o.b, o.d2, o.overlap, NOT (list_contains(ua, o.a) OR list_contains(ub, o.b)), CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ua ELSE list_append(ua, o.a) END, CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ub ELSE list_append(ub, o.b) END FROM m JOIN o ON o.k = m.k + 1) SELECT a AS a_row_id, b AS b_row_id, round(sqrt(d2), 9) AS distance, CAST(overlap AS INT) AS overlap FROM m WHERE ok")
+def match_traces(df):
+    """Traces matched by the distance of their centres among those that overlap in time."""
+    some = df.where("id % 50 = 0")
+    return rounded(matching.match_traces(some.where("category = 1"), some.where("category = 2"), 10.0))
+
+
 def _tracks_of(df: DataFrame) -> DataFrame:
     return df.select("row_id", "frame", "end_frame", "x", "y", "intensity")
 
@@ -549,7 +634,8 @@ def blink_estimate(df):
     from ..functions.fits import blinking
 
     rows = shared_table(_tracks_of(df))
-    counts = {t: float(tracing.trace(rows, 0.05, t).select("trace").distinct().count()) for t in (1, 4, 12, 24)}
+    wide = shared_table(tracing.trace_components(rows, 0.05, 24).select("row_id", "component"))
+    counts = {t: float(tracing.trace(rows, 0.05, t, components=wide).select("trace").distinct().count()) for t in (1, 4, 12, 24)}
     fit = blinking(counts, 4)
     return df.sparkSession.createDataFrame([(t, n, round(float(fit["molecules"]), 2), round(float(fit["blinking_rate"]), 3)) for t, n in counts.items()], "threshold int, traces double, molecules double, blinking_rate double")
 
@@ -585,7 +671,7 @@ def frequency_correlation(df):
 
 @query()
 def drift_markers(df):
-    return rounded(drift.from_markers(df.withColumn("marker", F.col("category")), 0.05, most=3), 6)
+    return rounded(drift.from_markers(df.withColumn("marker", F.col("category")), 0.05), 6)
 
 
 @query()
