@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scanner
-from .common import by_chunks
+from .common import Recent, by_chunks
 
-CHUNK, OVERLAP, MEMO = 1 << 14, 1 << 9, 200_000
+CHUNK, OVERLAP, MEMO = 1 << 14, 1 << 9, 250_000
 #: A boundary wherever pre-tokenisation starts: between a character that is no blank and a blank.
 SURE = re.compile(f"[^{scanner.SPACE}][{scanner.SPACE}]")
 
@@ -38,10 +38,25 @@ def default_ranks() -> str:
 
 
 def merged(ranks: dict[bytes, int], word: bytes) -> list[int]:
-    """The ids of one pre-token: the neighbours of least rank, leftmost first, become one, until none can.
-
-    A heap of candidate pairs over a linked list of parts; a pair that has changed since it was pushed is passed over.
-    """
+    """The ids of one pre-token: the neighbours of least rank, leftmost first, become one, until none can."""
+    if len(word) > 96:
+        return _merged_long(ranks, word)
+    never = len(ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], never) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < never:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], never)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The same by a heap of candidate pairs over a linked list of parts; a pair changed since it was pushed is passed over."""
     n = len(word)
     end = list(range(1, n + 1))  # of the part that starts at each position
     before = list(range(-1, n - 1))
@@ -84,21 +99,15 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.digest = digest
         self.bytes_of = {packed([v]): k for k, v in self.ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Recent(self.word, MEMO, 64)
 
     def word(self, word: str) -> bytes:
         data = word.encode()
         whole = self.ranks.get(data)
-        out = packed(merged(self.ranks, data) if whole is None else [whole])
-        if len(word) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = out
-        return out
+        return packed(merged(self.ranks, data) if whole is None else [whole])
 
     def encoded(self, words: list[str]) -> list[bytes]:
-        memo = self.memo
-        return [memo.get(w) or self.word(w) for w in words]
+        return list(map(self.memo.__getitem__, words))
 
     def ids(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         return self.stitched([self.part(x) for x in self.cut(text, chunk, overlap)])

@@ -11,18 +11,39 @@ from pyspark.sql import functions as F
 
 from spotlattice.operators.graph import connected_components, partitions, shared_table
 
-__all__ = ["by_chunks", "connected_components", "map_texts", "partitions", "shared_table"]
-#: Rows of whole texts that are Python objects at a time; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch).
+__all__ = ["Recent", "by_chunks", "connected_components", "map_texts", "partitions", "shared_table"]
+#: Rows of an Arrow batch of whole texts; Spark also bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 TEXT_ROWS = 512
 
 
-def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, in slices small enough for whole texts."""
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, in batches small enough for whole texts.
 
-    def run(batches):
-        return function(b.slice(i, TEXT_ROWS) for b in batches for i in range(0, max(b.num_rows, 1), TEXT_ROWS))
-
-    return df.mapInArrow(run, schema)
+    The session's limit is lowered where it is higher, and stays so: Spark reads it when the plan is run, later than this.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+class Recent(dict):
+    """Values by key, made when first asked for; those asked for lately are kept, in two generations of ``most`` keys."""
+
+    def __init__(self, make: Callable, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def by_chunks(docs: DataFrame, make: Callable, schema: str, chunk: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

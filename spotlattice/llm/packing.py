@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import codec, packed
+from .bpe_codec import Codec, packed
 from .common import map_texts, shared_table
 
 #: Tokens of a sequence; pieces that one task ranks, and the least number of parts of a length's pieces.
@@ -32,20 +32,30 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Encoder:
-    """Ids as the tokenizer file gives them: its special strings cut the text, the rest goes by the same vocabulary's ranks."""
+class Encoder(Codec):
+    """Ids as the tokenizer file gives them: its special strings cut the text, the rest goes by the same vocabulary's ranks.
+
+    Pre-tokens are encoded by the library that reads the ranks, since ids are only an input of packing.
+    """
 
     def __init__(self, json_path: str, ranks_path: str):
+        import public_tokenizers
+        import tiktoken
+
+        super().__init__(ranks_path)
         with open(json_path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
-        self.codec = codec(ranks_path)
+        self.core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.special = {t["content"]: packed([t["id"]]) for t in added}
         self.find = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
+    def word(self, word: str) -> bytes:
+        return packed(self.core.encode_ordinary(word)) if len(word) < 1000 else super().word(word)
+
     def ids(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
-            return self.codec.ids(text)
-        return b"".join(self.special[x] if k % 2 else self.codec.ids(x) for k, x in enumerate(self.find.split(text)))
+            return super().ids(text)
+        return b"".join([self.special[x] if k % 2 else super(Encoder, self).ids(x) for k, x in enumerate(self.find.split(text))])
 
 
 @lru_cache(2)
