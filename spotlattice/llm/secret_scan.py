@@ -60,13 +60,14 @@ def _addressed(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(blob, rules, spans) of each blob that ``ledger`` has not under these rules.  Appended to the ledger, it completes it.
 
-    Texts move once, to meet the (path, blob) that stands for their blob; a hot blob stands once.  Then only its matches move.
+    Texts move once, to meet the (path, blob) that stands for their blob; a hot blob stands once (the side that is built
+    holds 48 bytes a blob of one partition).  Then only its matches move.
     """
     v = _addressed(versions, id_col, text_col)
     stands = v.groupBy("_blob").agg(F.min("_at").alias("_at"))  # one row a blob and task goes to the shuffle
     if ledger is not None:
         stands = stands.join(ledger.where(F.col("rules") == RULES_VERSION).select(F.col("blob").alias("_blob")), "_blob", "left_anti")
-    texts = v.select("_at", "_blob", "_text").join(stands.hint("merge"), ["_at", "_blob"]).select("_blob", "_text")
+    texts = v.select("_at", "_blob", "_text").join(stands.hint("shuffle_hash"), ["_at", "_blob"]).select("_blob", "_text")
     found = texts.select("_blob", F.explode_outer(F.concat(*[_matches(F.col("_text"), n, rule[1], rule[2]) for n, rule in enumerate(RULES)])).alias("_m"))
     rows = found.select("_blob", "_m.*").repartition(partitions(versions), "_blob").dropDuplicates(["_blob", "kind_no", "at"])  # repeated rows are one text
     order = Window.partitionBy("_blob", "kind_no").orderBy("at")
@@ -86,7 +87,7 @@ def new_ledger(spark: SparkSession) -> str:
 def update(versions: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ledger at ``path`` after the blobs it did not hold have been scanned and appended to it."""
     spark = versions.sparkSession
-    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    spark.range(0).selectExpr("CAST(NULL AS BINARY) AS blob", "CAST(NULL AS STRING) AS rules", f"CAST(NULL AS ARRAY<{SPAN}>) AS spans").write.mode("ignore").parquet(path)
     known = spark.read.schema(LEDGER).parquet(path)
     scan_unseen(versions, known, id_col, text_col).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
@@ -104,7 +105,7 @@ def scan(versions: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     """
     ledger = update(versions, path or new_ledger(versions.sparkSession), id_col, text_col)
     paths = _addressed(versions, id_col, text_col).select("_id", "_blob")
-    return paths.join(_hits(ledger).hint("merge"), "_blob", "left").select("_id", "_blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return paths.join(_hits(ledger).hint("shuffle_hash"), "_blob", "left").select("_id", "_blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -135,7 +136,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", path
     text, spans, blocks = F.col(text_col), F.col("_spans"), F.col("_blocks")
     ledger = update(docs, path or new_ledger(docs.sparkSession), id_col, text_col)
     keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
-    met = keyed.join(_hits(ledger).withColumnRenamed("spans", "_spans").hint("merge"), "_blob", "left")
+    met = keyed.join(_hits(ledger).withColumnRenamed("spans", "_spans").hint("shuffle_hash"), "_blob", "left")
     cut = met.withColumn("_blocks", F.when(spans.isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
     pieces = F.transform(spans, lambda s: F.when(s["start"] >= s["clear"], F.concat(_between(blocks, s["clear"], s["start"]), F.lit(mark))).otherwise(""))
     last = F.array_max(F.transform(spans, lambda s: s["end"]))
