@@ -15,7 +15,7 @@ from ..operators import aggregates as agg
 from ..operators import filters as flt
 from ..operators import clustering, drift, imaging, matching, sorting, spatial, tracing, tracks
 from ..operators.graph import numbered, shared_table
-from ..sources import formats, tsf
+from ..sources import formats, records, tsf
 from ..streaming import frames as streams
 from .tables import EV, LOC, PT, localisations, points, read, stream_rows
 
@@ -616,6 +616,34 @@ def source_results(df):
     return formats.read_results(df.sparkSession, path)
 
 
+_RECORD = LOC + "SELECT CAST(id % 100000 AS INT) AS id, category, frame, end_frame, " + ", ".join(f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS {c}" for c in ("noise", "mean_intensity", "background", "intensity", "x", "y", "z", "sx", "sy")) + ", round(CAST(CAST(coalesce(precision, 0) AS FLOAT) AS DOUBLE), 4) AS precision, round(CAST(CAST(z AS FLOAT) AS DOUBLE), 4) AS x_sd FROM loc"
+
+
+def _records(df: DataFrame) -> DataFrame:
+    whole = df.select((F.col("id") % 100000).cast("int").alias("id"), "category", "frame", "end_frame", F.lit(0).alias("orig_x"), F.lit(0).alias("orig_y"), "orig_value", "noise", "mean_intensity", "background", "intensity", "x", "y", "z", "sx", "sy", "precision")
+    return whole.withColumn("x_sd", F.col("z"))
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    kept = ("noise", "mean_intensity", "background", "intensity", "x", "y", "z", "sx", "sy", "precision", "x_sd")
+    return rounded(df.select("id", "category", "frame", "end_frame", *[F.col(c).cast("double").alias(c) for c in kept]), 4)
+
+
+@query(_RECORD)
+def source_text_records(df):
+    """Text records with every optional field and deviations, read back by their headers."""
+    path, rows = _scratch(df), _records(df)
+    records.write_text(rows, path, records.layout_for(rows, "Text", deviations=True), {"x": "px", "y": "px", "intensity": "count"}, {"nmPerPixel": 100})
+    return _read_back(records.read_text(df.sparkSession, path))
+
+
+@query(_RECORD)
+def source_binary_records(df):
+    path, rows = _scratch(df), _records(df)
+    records.write_binary(rows, path, records.layout_for(rows, "Binary", deviations=True))
+    return _read_back(records.read_binary(df.sparkSession, path))
+
+
 @query(LOC + "SELECT frame, end_frame, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(intensity AS FLOAT) AS DOUBLE) AS intensity, category FROM loc")
 def source_tsf(df):
     """Tagged spot files, one a partition, read back."""

@@ -12,22 +12,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import records
+
 COLUMNS = ("frame", "x", "y", "intensity", "background", "noise", "precision")
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """The format's name by a file's first lines: spotlattice, nstorm, rapidstorm, malk, delimited or unknown."""
-    lines = [r[0] for r in spark.read.text(path).limit(5).collect()]
+    """The format's name by a file's first lines: text and binary records by their version tag, the old results table,
+    nstorm, rapidstorm, malk, tagged spots, delimited or unknown."""
+    lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
+    head = [x for x in lines if x.startswith("#")]
     text = "\n".join(lines)
-    if text.startswith("#spotlattice"):
-        return "spotlattice"
+    tag = next((x.removeprefix(records.VERSION) for x in head if x.startswith(records.VERSION)), "")
+    if tag.startswith(("Text", "Binary")):
+        return "text_records" if tag.startswith("Text") else "binary_records"
+    if records.OLD_TABLE in text:
+        return "results_table"
     if lines and "Channel Name" in lines[0]:
         return "nstorm"
-    if "<localizations " in text:
-        return "rapidstorm"
     body = [x for x in lines if x and not x.startswith("#")]
-    if body and all(len(x.split()) == 4 and all(_number(v) for v in x.split()) for x in body):
+    is_malk = bool(body) and all(len(x.split()) == 4 and all(_number(v) for v in x.split()) for x in body)
+    if "<localizations " in text:
+        return "malk" if is_malk else "rapidstorm"
+    if is_malk:
         return "malk"
+    if lines and lines[0].startswith("\x00\x00\x00\x00"):
+        return "tagged_spots"
     return "delimited" if body else "unknown"
 
 
