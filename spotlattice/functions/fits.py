@@ -42,27 +42,32 @@ def blinking(counts: dict[int, float], n_fit: int) -> dict[str, float]:
     return {"molecules": p[0], "blinking_rate": 1 + p[1], "t_off": p[2], "rss": rss}
 
 
-def jump_distances(squared: np.ndarray, most: int = 10, min_fraction: float = 0.1, min_ratio: float = 2.0) -> list[tuple[float, float]]:
+def jump_distances(squared: np.ndarray, most: int = 10, min_fraction: float = 0.1, min_ratio: float = 2.0, counts: np.ndarray | None = None) -> list[tuple[float, float]]:
     """(D in squared units per step, fraction) of an exponential mixture of squared jumps by maximum likelihood.
 
     Populations are added while twice the gain of log likelihood passes the 5 % point of chi-squared with 2 degrees, every
-    fraction stays above its least, and neighbours differ by the ratio asked for.
+    fraction stays above its least, and neighbours differ by the ratio asked for.  With ``counts``, each value stands for so
+    many jumps (the mean of a bin of a histogram of them all).
     """
     x = np.asarray(squared, float)
-    x = x[x > 0]
+    c = np.ones(len(x)) if counts is None else np.asarray(counts, float)
+    x, c = x[x > 0], c[x > 0]
     if not len(x):
         return []
-    best, best_ll = [(x.mean() / 4, 1.0)], -len(x) * (1 + math.log(x.mean()))
+    n_jumps, order = c.sum(), np.argsort(x)
+    rank = (np.cumsum(c[order]) - c[order] / 2) / n_jumps
+    mean = (c * x).sum() / n_jumps
+    best, best_ll = [(mean / 4, 1.0)], -n_jumps * (1 + math.log(mean))
     for n in range(2, most + 1):
-        means = np.quantile(x, (np.arange(n) + 0.5) / n)
+        means = np.interp((np.arange(n) + 0.5) / n, rank, x[order])
         share = np.full(n, 1 / n)
         for _ in range(500):  # expectation maximisation
             dens = share / means * np.exp(-x[:, None] / means)
-            resp = dens / dens.sum(1, keepdims=True)
-            share, means = resp.mean(0), np.maximum((resp * x[:, None]).sum(0) / np.maximum(resp.sum(0), 1e-12), 1e-12)
-        ll = float(np.log((share / means * np.exp(-x[:, None] / means)).sum(1)).sum())
-        order = np.argsort(means)
-        means, share = means[order], share[order]
+            resp = dens / dens.sum(1, keepdims=True) * c[:, None]
+            share, means = resp.sum(0) / n_jumps, np.maximum((resp * x[:, None]).sum(0) / np.maximum(resp.sum(0), 1e-12), 1e-12)
+        ll = float((c * np.log((share / means * np.exp(-x[:, None] / means)).sum(1))).sum())
+        by_mean = np.argsort(means)
+        means, share = means[by_mean], share[by_mean]
         if 2 * (ll - best_ll) < 5.991 or share.min() < min_fraction or (means[1:] / means[:-1]).min() < min_ratio:
             break
         best, best_ll = [(m / 4, s) for m, s in zip(means, share, strict=True)], ll

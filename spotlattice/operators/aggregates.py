@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.localisation import snr
+from .graph import numbered
 
 
 def bounds(df: DataFrame) -> DataFrame:
@@ -34,13 +35,17 @@ def clusters(df: DataFrame, by: str = "id", weighted: bool = False) -> DataFrame
 
 
 def weighted_precision(df: DataFrame, by: str = "id") -> DataFrame:
-    """Of a cluster from its rows' positions, precisions and photons; a single row's own precision."""
-    w = F.col("intensity")
+    """Of a cluster from its rows' positions, precisions and photons; a single row's own precision.
+
+    Moments are about the cluster's centre, which a window brings to its rows: one shuffle, and nothing cancels far from 0.
+    """
+    w, of = F.col("intensity"), Window.partitionBy(by)
     p = F.when(F.col("precision") > 0, F.col("precision")).otherwise(1.0)
-    rows = df.withColumn("_p2", p * p)
-    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("_p2")).alias("sp"), F.max(p).alias("own"), *[F.sum(w * F.col(c)).alias(f"s{c}") for c in "xy"], *[F.sum(w * F.col(c) * F.col(c)).alias(f"q{c}") for c in "xy"])
-    axis = lambda c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{c}") / F.col("w") - F.pow(F.col(f"s{c}") / F.col("w"), 2) + F.col("sp") / F.col("w")) / 2)
-    return out.select(by, "n", F.when(F.col("n") == 1, F.col("own")).otherwise(F.greatest(axis("x"), axis("y"))).alias("precision"))
+    off = lambda c: F.col(c) - F.sum(w * F.col(c)).over(of) / F.sum(w).over(of)
+    rows = df.select(by, "intensity", p.alias("_p"), off("x").alias("_x"), off("y").alias("_y"))
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("_p") * F.col("_p")).alias("sp"), F.max("_p").alias("own"), *[F.sum(w * F.col(c) * F.col(c)).alias(f"q{c}") for c in ("_x", "_y")])
+    axis = lambda c: F.sqrt((F.col(f"q{c}") + F.col("sp")) / F.col("w")) / F.sqrt(F.lit(2.0))
+    return out.select(by, "n", F.when(F.col("n") == 1, F.col("own")).otherwise(F.greatest(axis("_x"), axis("_y"))).alias("precision"))
 
 
 def centroids(df: DataFrame) -> DataFrame:
@@ -116,13 +121,12 @@ def render(df: DataFrame, scale: float, mode: str = "add", weighted: bool = Fals
 def dense_ids(*datasets: DataFrame) -> DataFrame:
     """Union of tracked datasets with ids renumbered densely in order of (dataset, id).
 
-    The numbers are ranks within each dataset plus the count of ids before it, so no window runs over all rows.
+    The numbers are ranks within each dataset, taken in parts by range, plus the count of ids before it.
     """
     out, before = None, 0
     for k, df in enumerate(datasets):
-        ids = df.select("id").distinct()
-        numbered = ids.withColumn("_new", F.row_number().over(Window.orderBy("id")) + before)
-        part = df.join(numbered, "id").withColumn("id", F.col("_new")).drop("_new").withColumn("dataset", F.lit(k))
+        ids = numbered(df.select("id").distinct(), "id", name="_new").withColumn("_new", F.col("_new") + before)
+        part = df.join(ids, "id").withColumn("id", F.col("_new")).drop("_new").withColumn("dataset", F.lit(k))
         before += ids.count()
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,9 +6,8 @@ fatal.  Only the first lines are looked at on the driver, to tell the format.
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +48,29 @@ def _number(x: str) -> bool:
     return True
 
 
+def _after_header(batches, header: int, comment: str | None):
+    """Of (line, file, start of the block): the lines after each file's first ``header`` ones; a file begins in its block at 0."""
+    file, left = None, 0
+    for batch in batches:
+        keep = []
+        for line, name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != file:
+                file, left = name, header if start == 0 else 0
+            stays = bool(line.strip()) and not (comment and line.startswith(comment))
+            if stays and left:
+                stays, left = False, left - 1
+            keep.append(stays)
+        yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _fields(spark: SparkSession, path: str, delimiter: str, comment: str | None, header: int) -> DataFrame:
-    """(file line number is not kept: order comes from the frame)  Lines without comments and header, split."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if comment:
-        lines = lines.where(~F.col("value").startswith(comment))
+    """Lines without comments and the first ``header`` lines of each file, split.  A header is told by its place, not its text."""
+    lines = spark.read.text(path)
     if header:
-        first = [r[0] for r in lines.limit(header).collect()]
-        lines = lines.where(~F.col("value").isin(first))
+        lines = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").mapInArrow(lambda b: _after_header(b, header, comment), "value string")
+    else:
+        lines = lines.where(F.trim("value") != "")
+        lines = lines.where(~F.col("value").startswith(comment)) if comment else lines
     return lines.select(F.split(F.trim("value"), delimiter).alias("f"))
 
 
@@ -86,12 +100,16 @@ def malk(spark: SparkSession, path: str) -> DataFrame:
     return delimited(spark, path, {"x": 0, "y": 1, "frame": 2, "intensity": 3}, r"\s+")
 
 
-def rapidstorm(spark: SparkSession, path: str, most_bad: int = 10) -> DataFrame:
-    """x nm, y nm, frame, signal and widths; a file with more bad lines than allowed is refused, not read in part."""
-    out = delimited(spark, path, {"x": 0, "y": 1, "frame": 2, "intensity": 3}, r"\s+", keep_bad=True)
+def rapidstorm(spark: SparkSession, path: str, most_bad: int = 9) -> DataFrame:
+    """x nm, y nm, frame, signal, squared widths, kernel improvement and residue; widths come out as the roots times 1000.
+
+    More bad lines than allowed and the folder is refused, not read in part.
+    """
+    columns = {"x": 0, "y": 1, "frame": 2, "intensity": 3, "sx": 4, "sy": 5, "improvement": 6, "error": 7}
+    out = delimited(spark, path, columns, r"\s+", keep_bad=True)
     if out.where("bad").limit(most_bad + 1).count() > most_bad:
         raise ValueError(f"more than {most_bad} bad lines")
-    return out.where("NOT bad").drop("bad")
+    return out.where("NOT bad").withColumns({c: F.sqrt(c) * 1000 for c in ("sx", "sy")}).drop("bad", "improvement")
 
 
 def nstorm(spark: SparkSession, path: str) -> DataFrame:
@@ -135,10 +153,12 @@ def result_columns(header: str) -> tuple[list[str], dict[str, str]]:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated result file of any version: columns come from the last # line that has tabs among
-    the first 200 lines, with end frames, ids, categories, deviations and precisions where it names them.  Lines with too
+    """A tab-separated result file of any version: columns come from the last # line that has tabs, with end frames, ids, categories, deviations and precisions where it names them.  Lines with too
     few or bad fields are left out."""
-    heads = [r[0] for r in spark.read.text(path).limit(200).collect() if r[0].startswith("#") and "\t" in r[0]]
+    lines = spark.read.text(path)
+    heads = [r[0] for r in lines.where(F.col("value").startswith("#") & F.col("value").contains("\t")).distinct().collect()]  # a few a file
+    if len({h.count("\t") for h in heads}) > 1:
+        heads = sorted(heads, key=lambda h: h.count("\t"))
     if not heads:
         raise ValueError("no line names the columns")
     names, _ = result_columns(heads[-1])
@@ -177,31 +197,34 @@ def fan_out(df: DataFrame, *sinks) -> DataFrame:
     return stored
 
 
-RECORD = struct.Struct(">iffff")
+#: Fixed-width big-endian records.
+RECORD = np.dtype([("frame", ">i4"), ("x", ">f4"), ("y", ">f4"), ("intensity", ">f4"), ("noise", ">f4")])
 
 
 def write_binary(df: DataFrame, path: str) -> None:
-    """Fixed-width big-endian records (frame, x, y, intensity, noise), packed JVM-side into one binary column of Parquet.
-
-    Records of a partition stay together, so a reader can take them in parallel.
-    """
-    packed = df.select("frame", "x", "y", "intensity", "noise").mapInPandas(_pack, "records binary")
-    packed.write.parquet(path)
+    """Fixed-width big-endian records (frame, x, y, intensity, noise), a batch of them in each row of one binary column of
+    Parquet, so a reader can take them in parallel."""
+    kinds = {"frame": "int"} | dict.fromkeys(("x", "y", "intensity", "noise"), "float")
+    df.select(*[F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c) for c, t in kinds.items()]).mapInArrow(_pack, "records binary").write.parquet(path)
 
 
 def _pack(batches):
-    for rows in batches:
-        yield pd.DataFrame({"records": [b"".join(RECORD.pack(*r) for r in rows.itertuples(index=False))]})
+    for batch in batches:
+        rows = np.empty(batch.num_rows, RECORD)
+        for k, c in enumerate(RECORD.names):
+            rows[c] = batch.column(k).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["records"])
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).mapInPandas(_unpack, "frame int, x float, y float, intensity float, noise float")
+    return spark.read.parquet(path).mapInArrow(_unpack, "frame int, x float, y float, intensity float, noise float")
 
 
 def _unpack(batches):
-    for rows in batches:
-        for blob in rows["records"]:
-            yield pd.DataFrame(list(RECORD.iter_unpack(blob)), columns=["frame", "x", "y", "intensity", "noise"])
+    for batch in batches:
+        for blob in batch.column(0):
+            rows = np.frombuffer(blob.as_py(), RECORD)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(RECORD[c].newbyteorder("="))) for c in RECORD.names], list(RECORD.names))
 
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
@@ -226,6 +249,17 @@ def export_tracks(df: DataFrame, path: str, style: str = "spoton", min_length: i
     long.repartitionByRange("id").sortWithinPartitions("id", "frame").select(*layouts[style]).write.csv(path, header=True)
 
 
+def registered(spark: SparkSession) -> list[str]:
+    """The names of the datasets in the session's registry."""
+    return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary)
+
+
+def unregister(spark: SparkSession, name: str | None = None) -> None:
+    """Takes a dataset, or all of them, out of the registry."""
+    for n in registered(spark) if name is None else [name]:
+        spark.catalog.dropTempView(n)
+
+
 def register(df: DataFrame, name: str) -> None:
     """Puts a dataset in the session's registry of views."""
     df.createOrReplaceTempView(name)

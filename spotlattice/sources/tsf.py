@@ -7,11 +7,11 @@ is a folder of them), and written by one task per partition.
 from __future__ import annotations
 
 import io
-import os
 import struct
 import uuid
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -127,12 +127,12 @@ def write(df: DataFrame, folder: str, pixel_size: float = 100.0) -> int:
                 spot = b"".join(encode(*NAMES[k], v) for k, v in have.items())
                 body.write(_varint(len(spot)) + spot)
         about = b"".join([encode(1, "int", 4), encode(7, "float", pixel_size), encode(8, "int", n), encode(22, "int", 2), encode(23, "int", 0)])
-        target = f"{folder}/part-{TaskContext.get().partitionId():05d}.tsf"
-        held = f"{folder}/.{uuid.uuid4().hex}"
-        with open(held, "wb") as f:
+        store, inside = fs.FileSystem.from_uri(folder)
+        store.create_dir(inside, recursive=True)
+        held = f"{inside}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(held) as f:
             f.write(struct.pack(">iq", 0, body.tell()) + body.getvalue() + _varint(len(about)) + about)
-        os.replace(held, target)
+        store.move(held, f"{inside}/part-{TaskContext.get().partitionId():05d}.tsf")
         yield pd.DataFrame({"n": [n]})
 
-    os.makedirs(folder, exist_ok=True)
     return sum(r["n"] for r in df.select(*names).mapInPandas(run, "n long").collect())

@@ -73,7 +73,7 @@ def test_assignment_is_optimal():
         assert sum(cost[a, b] for a, b in pairs) == pytest.approx(best)
 
 
-@pytest.mark.parametrize("kind", ["consecutive", "pass_rate", "rolling", "weighted"])
+@pytest.mark.parametrize("kind", ["consecutive", "pass_rate", "rolling", "weighted", "resetting"])
 def test_fail_counters(spark, kind):
     rng = np.random.default_rng(5)
     rows = [(f, k, bool(rng.random() < 0.4)) for f in range(6) for k in range(15)]

@@ -82,3 +82,25 @@ def test_sniffing(spark, tmp_path):
     }
     for kind, text in kinds.items():
         assert formats.sniff(spark, put(tmp_path / kind, text)) == kind
+
+
+def test_header_lines_go_by_place(spark, tmp_path):
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for k in range(3):
+        put(folder / f"{k}.txt", f"# note\n1\t2.5\n9\t{k}\n1\t2.5\n2\t{k}\n")  # a row like the header line of its own file
+    got = formats.delimited(spark, str(folder), {"frame": 0, "x": 1}, header=2).collect()
+    assert sorted((r.frame, r.x) for r in got) == [(1, 2.5)] * 3 + [(2, 0.0), (2, 1.0), (2, 2.0)]
+
+
+def test_rapidstorm_widths_and_residue(spark, tmp_path):
+    path = put(tmp_path / "r", "# <localizations />\n10 20 3 400 4 9 0.5 1.25\n10 20 3 400\n")
+    r = formats.rapidstorm(spark, path).collect()
+    assert len(r) == 1 and (r[0].sx, r[0].sy, r[0].error, r[0].frame) == (2000.0, 3000.0, 1.25, 3)
+
+
+def test_registry(spark):
+    formats.register(spark.range(3), "some_rows")
+    assert "some_rows" in formats.registered(spark) and formats.resolve(spark, "some_rows").count() == 3
+    formats.unregister(spark, "some_rows")
+    assert "some_rows" not in formats.registered(spark)
