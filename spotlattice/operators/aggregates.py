@@ -20,10 +20,12 @@ def flags(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, exposure_ms: float, by: str = "dataset") -> DataFrame:
-    s = snr()
+    """Size, time, bounds, and mean, median, least and greatest of signal to noise and of precision."""
+    s, p = snr(), F.col("precision")
+    four = lambda c, n: [F.avg(c).alias(f"mean_{n}"), F.percentile(c, 0.5).alias(f"median_{n}"), F.min(c).alias(f"min_{n}"), F.max(c).alias(f"max_{n}")]
     return df.groupBy(by).agg(
-        F.count("*").alias("n"), F.max("frame").alias("max_frame"), (F.max("frame") * exposure_ms / 1000).alias("seconds"), F.avg(s).alias("mean_snr"),
-        F.percentile(s, 0.5).alias("median_snr"), F.min(s).alias("min_snr"), F.max(s).alias("max_snr"), F.bool_or(F.col("z") != 0).alias("is_3d"),
+        F.count("*").alias("n"), F.max("frame").alias("max_frame"), (F.max("frame") * exposure_ms / 1000).alias("seconds"), *four(s, "snr"), *four(p, "precision"),
+        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.bool_or(F.col("z") != 0).alias("is_3d"),
     )
 
 

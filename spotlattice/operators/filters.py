@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 import numpy as np
@@ -109,6 +110,31 @@ def crop(df: DataFrame, x0: float, y0: float, w: float, h: float, reset: bool =
     return out.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0}) if reset else out
 
 
+def whole_bounds(df: DataFrame) -> tuple[int, int, int, int]:
+    """(x, y, width, height) in whole pixels that hold all rows; 1 wide at least."""
+    r = df.agg(F.floor(F.min("x")).alias("a"), F.ceil(F.max("x")).alias("b"), F.floor(F.min("y")).alias("c"), F.ceil(F.max("y")).alias("d")).first()
+    if r["a"] is None:
+        return 0, 0, 0, 0
+    return r["a"], r["c"], max(1, r["b"] - r["a"]), max(1, r["d"] - r["c"])
+
+
+def crop_to(df: DataFrame, border: float = 0.0, box: tuple[float, float, float, float] | None = None, roi: tuple[tuple[float, float, float, float], tuple[float, float]] | None = None, z: tuple[float, float] | None = None, reset: bool = False) -> DataFrame:
+    """Rows inside all of: the whole bounds less a border; a box (x, y, w, h); a region of an image (its rectangle, the image's
+    size), scaled to the bounds; depths from z0 to z1.  ``reset`` moves the lower corner's whole pixel to the origin."""
+    bx, by, bw, bh = whole_bounds(df)
+    x0, y0, x1, y1 = bx + border, by + border, bx + bw - border, by + bh - border
+    boxes = [box] if box else []
+    if roi and bw and bh:
+        (rx, ry, rw, rh), (iw, ih) = roi
+        boxes.append((rx * bw / iw, ry * bh / ih, rw * bw / iw, rh * bh / ih))
+    for bx, by, bw, bh in boxes:
+        x0, y0, x1, y1 = max(x0, bx), max(y0, by), min(x1, bx + bw), min(y1, by + bh)
+    out = crop(df, x0, y0, max(0.0, x1 - x0), max(0.0, y1 - y0))
+    if z:
+        out = out.where(depth(*z))
+    return out.withColumns({"x": F.col("x") - math.floor(x0), "y": F.col("y") - math.floor(y0)}) if reset else out
+
+
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Even-odd rule, as one expression: the parity of the edges crossed to the right, behind the bounding box."""
     crossed = F.lit(0)

@@ -50,10 +50,10 @@ def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
 
     Rows are dealt by range and ranked in each part; the window that adds up the parts runs over one row a part.
     """
-    parts = shared_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_n", "_before")
+    parts = shared_table(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = parts.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, F.col("_rank") + F.col("_before")).drop("_range", "_rank", "_n", "_before")
 
 
 def _trees(batches):

@@ -243,8 +243,43 @@ def ring_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total((fa * fb.conj()).real) / np.maximum(np.sqrt(total(np.abs(fa) ** 2) * total(np.abs(fb) ** 2)), 1e-300)
 
 
-def resolution(df: DataFrame, scale: float, size: int, threshold: float = 1 / 7) -> float:
-    """FIRE: the length at which the ring correlation of two random halves first falls below the threshold.
+def threshold_curve(method: str, n: int) -> np.ndarray:
+    """The correlation below which a ring holds no signal, by radius 0 to n - 1.
+
+    "1/7"; "0.5-bit", "1-bit", "2-bit": where both halves together hold so much information a ring's sample; "1-sigma" to
+    "4-sigma": so many deviations of noise.  A ring of radius r counts as 2 pi r samples.
+    """
+    if method == "1/7":
+        return np.full(n, 1 / 7)
+    value, _, kind = method.partition("-")
+    samples = np.maximum(2 * math.pi * np.arange(n), 1.0)
+    if kind == "sigma":
+        return float(value) / np.sqrt(samples / 2)
+    if kind != "bit":
+        raise ValueError(f"unknown threshold {method!r}")
+    snr = (2 ** float(value) - 1) / 2
+    noise = 1 / np.sqrt(samples)
+    out = (snr + (2 * math.sqrt(snr) + 1) * noise) / (snr + 1 + 2 * math.sqrt(snr) * noise)
+    out[0] = 1.0
+    return out
+
+
+def crossing(frc: np.ndarray, method: str = "1/7") -> float:
+    """The radius at which a curve first falls through the threshold, between rings by a straight line; infinite if never.
+
+    Bit and sigma curves start near 1, so that a first crossing above 0.9 gives way to the next one.
+    """
+    level = threshold_curve(method, len(frc))
+    gap = frc - level
+    found = [k for k in range(1, len(frc)) if gap[k - 1] >= 0 > gap[k]]
+    at = [k - 1 + gap[k - 1] / (gap[k - 1] - gap[k]) for k in found]
+    if method != "1/7" and len(at) > 1 and frc[found[0] - 1] > 0.9:
+        at = at[1:]
+    return float(at[0]) if at else math.inf
+
+
+def resolution(df: DataFrame, scale: float, size: int, threshold: str = "1/7") -> float:
+    """FIRE: the length at which the smoothed ring correlation of two random halves falls through the threshold.
 
     The halves are rastered by Spark; the driver gets at most two images of ``size`` squared pixels.
     """
@@ -256,7 +291,6 @@ def resolution(df: DataFrame, scale: float, size: int, threshold: float = 1 / 7)
         img = np.zeros((size, size))
         img[part["py"], part["px"]] = part["value"]
         halves.append(img)
-    frc = ring_correlation(*halves)
-    kernel = np.ones(5) / 5
-    below = np.flatnonzero(np.convolve(np.pad(frc, 2, mode="edge"), kernel, "valid") < threshold)
-    return math.inf if not len(below) or below[0] == 0 else size / below[0] / scale
+    smooth = np.convolve(np.pad(ring_correlation(*halves), 2, mode="edge"), np.ones(5) / 5, "valid")
+    at = crossing(smooth, threshold)
+    return math.inf if at in (0.0, math.inf) else size / at / scale

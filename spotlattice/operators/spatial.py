@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.localisation import distance2
@@ -100,17 +100,75 @@ def dbscan(df: DataFrame, d: float, min_points: int) -> DataFrame:
     return marked.select("row_id", "core").join(groups.union(borders), "row_id", "left").select("row_id", "cluster", "core")
 
 
-def local_density(df: DataFrame, border: int) -> DataFrame:
-    """Rows over the union of their (2 border + 1)-sided squares, per cluster of overlapping squares, on whole pixels."""
-    pixels = df.select("row_id", F.floor("x").cast("int").alias("px"), F.floor("y").cast("int").alias("py"))
+def density_regions(df: DataFrame, border: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows over the union of their (2 border + 1)-sided squares, per cluster of overlapping squares, on whole pixels.
+
+    With ``on``, squares of different values (of frames, say) do not overlap.
+    """
+    pixels = df.select("row_id", *on, F.col("x").cast("int").alias("px"), F.col("y").cast("int").alias("py"))
     reach = range(-border, border + 1)
-    squares = pixels.select("row_id", F.inline(F.array(*[F.struct((F.col("px") + i).alias("qx"), (F.col("py") + j).alias("qy")) for i in reach for j in reach])))
-    heads = squares.groupBy("qx", "qy").agg(F.min("row_id").alias("a"))
-    edges = squares.join(heads, ["qx", "qy"]).where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct()
+    squares = pixels.select("row_id", *on, F.inline(F.array(*[F.struct((F.col("px") + i).alias("qx"), (F.col("py") + j).alias("qy")) for i in reach for j in reach])))
+    heads = squares.groupBy(*on, "qx", "qy").agg(F.min("row_id").alias("a"))
+    edges = squares.join(heads, [*on, "qx", "qy"]).where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct()
     groups = connected_components(edges).withColumnRenamed("node", "row_id")
-    of = pixels.select("row_id").join(groups, "row_id", "left").select("row_id", F.coalesce("component", "row_id").alias("cluster"))
-    area = squares.join(of, "row_id").groupBy("cluster").agg(F.countDistinct("qx", "qy").alias("area"), F.countDistinct("row_id").alias("n"))
-    return area.select("cluster", "n", "area", (F.col("n") / F.col("area")).alias("density"))
+    of = pixels.select("row_id").distinct().join(groups, "row_id", "left").select("row_id", F.coalesce("component", "row_id").alias("cluster"))
+    area = squares.join(of, "row_id").groupBy(*on, "cluster").agg(F.countDistinct("qx", "qy").alias("area"), F.countDistinct("row_id").alias("n"))
+    return area.select(*on, "cluster", "n", "area", (F.col("n") / F.col("area")).alias("density"))
+
+
+def local_density(df: DataFrame, border: int) -> DataFrame:
+    """(cluster, n, area, density) of all rows together."""
+    return density_regions(df, border)
+
+
+def density_estimate(regions: DataFrame, singles: bool = True) -> DataFrame:
+    """(regions, singles, density, mean, sd): rows over area of all regions; the mean and deviation of their own densities.
+
+    Regions of a single row count as singles, and not otherwise unless ``singles``.
+    """
+    kept = F.lit(True) if singles else F.col("n") > 1
+    of = lambda c: F.when(kept, F.col(c))
+    return regions.agg(
+        F.count(of("n")).alias("regions"), F.count(F.when(F.col("n") == 1, 1)).alias("singles"), (F.sum(of("n")) / F.sum(of("area"))).alias("density"), F.avg(of("density")).alias("mean"), F.stddev_samp(of("density")).alias("sd")
+    )
+
+
+def ripley_forms(df: DataFrame, radius: float, area: float, square: bool = False) -> DataFrame:
+    """The scores of local density: count, K over density and over area, L, L - r, L / r and (L - r) / r.
+
+    ``square`` counts within a square of twice the radius, whose area has the factor 4 for pi.
+    """
+    rows = df.select("row_id", "x", "y")
+    density = rows.count() / area
+    near = within(rows, rows, radius * math.sqrt(2) if square else radius).where("a_row_id <> b_row_id")
+    if square:
+        near = near.where((F.abs(F.col("a_x") - F.col("b_x")) <= radius) & (F.abs(F.col("a_y") - F.col("b_y")) <= radius))
+    counts = near.groupBy(F.col("a_row_id").alias("row_id")).agg(F.count("*").alias("n"))
+    factor = 4.0 if square else math.pi
+    k = F.col("n") / density
+    length = F.sqrt(k / factor)
+    out = rows.select("row_id").join(counts, "row_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("row_id", "n", k.alias("k"), (k / (factor * radius * radius)).alias("k_area"), length.alias("l"), (length - radius).alias("l_minus_r"), (length / radius).alias("l_ratio"), (length / radius - 1).alias("l_excess"))
+
+
+def erf(x: Column) -> Column:
+    """The error function of x >= 0 by a rational approximation, within 2e-7."""
+    t = 1 / (1 + 0.3275911 * x)
+    return 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+
+
+def outlier_scores(df: DataFrame, k: int, reach: float, scale: float = 3.0) -> DataFrame:
+    """(row_id, plof, score): how much farther a row's ``k`` nearest others (within reach) are than theirs are, and the
+    probability that it is an outlier.  Rows without another in reach have the score 1 and no plof."""
+    rows = df.select("row_id", "x", "y")
+    near = within(rows, rows, reach).where("a_row_id <> b_row_id").withColumn("_k", F.row_number().over(Window.partitionBy("a_row_id").orderBy("d2", "b_row_id")))
+    near = shared_table(near.where(F.col("_k") <= k).select(F.col("a_row_id").alias("row_id"), F.col("b_row_id").alias("_b"), "d2"))
+    spread = shared_table(near.groupBy("row_id").agg(F.sqrt(F.avg("d2")).alias("_p")))
+    others = near.join(spread.withColumnRenamed("row_id", "_b"), "_b").groupBy("row_id").agg(F.avg("_p").alias("_o"))
+    plof = shared_table(spread.join(others, "row_id").select("row_id", (F.col("_p") / F.col("_o") - 1).alias("plof")))
+    norm = plof.agg(F.sqrt(F.avg(F.col("plof") * F.col("plof"))).alias("n")).first()["n"] or 0.0
+    score = F.when(F.col("plof") <= 0, 0.0).otherwise(erf(F.col("plof") / F.lit(scale * norm * math.sqrt(2) or 1.0)))
+    return rows.select("row_id").join(plof.withColumn("score", score), "row_id", "left").select("row_id", "plof", F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
 def match_frames(actual: DataFrame, predicted: DataFrame, d: float) -> DataFrame:

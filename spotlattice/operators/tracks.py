@@ -69,6 +69,22 @@ def dark_time_cdf(df: DataFrame) -> DataFrame:
     return counts.select("t_off", "n", (100 * F.sum("n").over(w) / total).alias("percent"))
 
 
+def dark_time_percentile(df: DataFrame, percent: float) -> DataFrame:
+    """(t_off, percent): the first off time at which so many percent of the off times are reached."""
+    return dark_time_cdf(df).where(F.col("percent") >= percent).agg(F.min_by(F.struct("t_off", "percent"), "t_off").alias("_s")).where("_s is not null").select("_s.*")
+
+
+def jump_histogram(df: DataFrame, lags: list[int], width: float) -> DataFrame:
+    """(lag, bin, n): jumps of tracks over each frame lag, binned by distance; rows of a track in the same frame do not jump."""
+    w = Window.partitionBy("id").orderBy("frame")
+    out = df
+    for k, lag in enumerate(lags):
+        x, y = (F.first(c, ignorenulls=True).over(w.rangeBetween(lag, lag)) for c in ("x", "y"))
+        out = out.withColumn(f"_j{k}", F.sqrt(distance2(x, y, "x", "y")))
+    jumps = out.select(F.inline(F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"_j{k}").alias("j")) for k, lag in enumerate(lags)])))
+    return jumps.where("j is not null").groupBy("lag", F.floor(F.col("j") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def bursts(df: DataFrame, dark_tolerance: int, min_size: int) -> DataFrame:
     """Activation bursts per id: counts by frame, a new burst where the gap exceeds the tolerance by more than one."""
     by_frame = df.groupBy("id", "frame").agg(F.count("*").alias("c"))
@@ -111,18 +127,22 @@ def msd_by_lag(df: DataFrame, max_lag: int, from_origin: bool = False) -> DataFr
 
 
 def sliding_features(df: DataFrame, size: int) -> DataFrame:
-    """Windows of ``size`` rows of each contiguous part: mean step, net drift, straightness; named by the middle row."""
+    """Windows of ``size`` rows of each contiguous part: mean step, net drift, straightness, diffusion (mean squared step
+    over four); named by the middle row, whose category they have where there is one."""
     parts = islands(df)
     w = Window.partitionBy("id", "part").orderBy("frame", "row_id")
     ahead = w.rowsBetween(0, size - 1)
     step = F.sqrt(distance2("x", "y", F.lag("x").over(w), F.lag("y").over(w)))
     rows = parts.withColumn("_s", step)
+    kept = ["category"] if "category" in df.columns else []
+    middle = {"category": F.lead("category", size // 2).over(w)} if kept else {}
     out = rows.withColumns({
+        **middle, "d": F.avg(F.col("_s") * F.col("_s")).over(w.rowsBetween(1, size - 1)) / 4,
         "_n": F.count("*").over(ahead), "mean_step": F.avg("_s").over(w.rowsBetween(1, size - 1)),
         "drift": F.sqrt(distance2("x", "y", F.last("x").over(ahead), F.last("y").over(ahead))), "middle": F.lead("row_id", size // 2).over(w),
     })
     ratio = F.when(F.col("mean_step") > 0, F.col("drift") / (F.col("mean_step") * (size - 1)))
-    return out.where(F.col("_n") == size).select("id", "part", F.col("middle").alias("row_id"), "mean_step", "drift", ratio.alias("straightness"))
+    return out.where(F.col("_n") == size).select("id", "part", F.col("middle").alias("row_id"), "mean_step", "drift", ratio.alias("straightness"), "d", *kept)
 
 
 def residence_times(df: DataFrame, min_size: int, max_jump: float | None = None) -> DataFrame:

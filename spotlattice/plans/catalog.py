@@ -243,7 +243,7 @@ def attribute_flags(df):
     return agg.flags(df)
 
 
-@query(LOC + ", s AS (SELECT *, CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END AS snr FROM loc) SELECT dataset, count(*) AS n, max(frame) AS max_frame, round(max(frame) * 50.0 / 1000, 9) AS seconds, round(avg(snr), 9) AS mean_snr, round(quantile_cont(snr, 0.5), 9) AS median_snr, round(min(snr), 9) AS min_snr, round(max(snr), 9) AS max_snr, bool_or(z <> 0) AS is_3d FROM s GROUP BY dataset")
+@query(LOC + ", s AS (SELECT *, CASE WHEN noise = 0 THEN 0 ELSE mean_intensity / noise END AS snr FROM loc) SELECT dataset, count(*) AS n, max(frame) AS max_frame, round(max(frame) * 50.0 / 1000, 9) AS seconds, round(avg(snr), 9) AS mean_snr, round(quantile_cont(snr, 0.5), 9) AS median_snr, round(min(snr), 9) AS min_snr, round(max(snr), 9) AS max_snr, round(avg(precision), 9) AS mean_precision, round(quantile_cont(precision, 0.5), 9) AS median_precision, round(min(precision), 9) AS min_precision, round(max(precision), 9) AS max_precision, round(min(x), 9) AS min_x, round(max(x), 9) AS max_x, round(min(y), 9) AS min_y, round(max(y), 9) AS max_y, bool_or(z <> 0) AS is_3d FROM s GROUP BY dataset")
 def dataset_summary(df):
     return rounded(agg.summary(df, 50.0))
 
@@ -388,7 +388,7 @@ def msd_lags(df):
     return rounded(tracks.msd_by_lag(df, 4))
 
 
-@query(LOC + ", s AS (SELECT id, row_id, x, y, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step, row_number() OVER w AS k FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)), f AS (SELECT id, lead(row_id, 1) OVER v AS row_id, lead(row_id, 2) OVER v AS last, (lead(step, 1) OVER v + lead(step, 2) OVER v) / 2 AS mean_step, sqrt((lead(x, 2) OVER v - x) * (lead(x, 2) OVER v - x) + (lead(y, 2) OVER v - y) * (lead(y, 2) OVER v - y)) AS drift FROM s WINDOW v AS (PARTITION BY id ORDER BY k)) SELECT id, 0 AS part, row_id, round(mean_step, 9) AS mean_step, round(drift, 9) AS drift, round(CASE WHEN mean_step > 0 THEN drift / (mean_step * 2) END, 9) AS straightness FROM f WHERE last IS NOT NULL")
+@query(LOC + ", s AS (SELECT id, row_id, category, x, y, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step, row_number() OVER w AS k FROM loc WINDOW w AS (PARTITION BY id ORDER BY frame, row_id)), f AS (SELECT id, lead(row_id, 1) OVER v AS row_id, lead(row_id, 2) OVER v AS last, (lead(step, 1) OVER v + lead(step, 2) OVER v) / 2 AS mean_step, (lead(step, 1) OVER v * lead(step, 1) OVER v + lead(step, 2) OVER v * lead(step, 2) OVER v) / 8 AS d, lead(category, 1) OVER v AS category, sqrt((lead(x, 2) OVER v - x) * (lead(x, 2) OVER v - x) + (lead(y, 2) OVER v - y) * (lead(y, 2) OVER v - y)) AS drift FROM s WINDOW v AS (PARTITION BY id ORDER BY k)) SELECT id, 0 AS part, row_id, round(mean_step, 9) AS mean_step, round(drift, 9) AS drift, round(CASE WHEN mean_step > 0 THEN drift / (mean_step * 2) END, 9) AS straightness, round(d, 9) AS d, category FROM f WHERE last IS NOT NULL")
 def sliding_features(df):
     return rounded(tracks.sliding_features(df.withColumn("frame", F.row_number().over(tracks.by_track())), 3))
 
@@ -483,7 +483,7 @@ def particle_linkage(df):
     return clustering.agglomerate(df.withColumn("frame", F.col("row_id") % 50).withColumn("end_frame", F.col("frame")), 0.5, "particle", 10, "time")
 
 
-@query(PT.replace("WITH", "WITH RECURSIVE") + ", p AS (SELECT row_id, CAST(floor(x) AS INT) AS px, CAST(floor(y) AS INT) AS py FROM pt), e AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON abs(a.px - b.px) <= 2 AND abs(a.py - b.py) <= 2), r AS (SELECT row_id AS a, row_id AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), q AS (SELECT cluster, row_id, px + i AS qx, py + j AS qy FROM c JOIN p USING (row_id), (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j)) SELECT cluster, count(DISTINCT row_id) AS n, count(DISTINCT (qx, qy)) AS area, round(count(DISTINCT row_id) / count(DISTINCT (qx, qy)), 9) AS density FROM q GROUP BY cluster", points)
+@query(PT.replace("WITH", "WITH RECURSIVE") + ", p AS (SELECT row_id, CAST(trunc(x) AS INT) AS px, CAST(trunc(y) AS INT) AS py FROM pt), e AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON abs(a.px - b.px) <= 2 AND abs(a.py - b.py) <= 2), r AS (SELECT row_id AS a, row_id AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), q AS (SELECT cluster, row_id, px + i AS qx, py + j AS qy FROM c JOIN p USING (row_id), (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j)) SELECT cluster, count(DISTINCT row_id) AS n, count(DISTINCT (qx, qy)) AS area, round(count(DISTINCT row_id) / count(DISTINCT (qx, qy)), 9) AS density FROM q GROUP BY cluster", points)
 def local_density(df):
     return rounded(spatial.local_density(df, 1))
 
@@ -494,6 +494,50 @@ def match_per_frame(df):
     return rounded(spatial.match_frames(df.where("category = 1"), df.where("category = 2"), 5.0))
 
 
+_REGIONS = LOC.replace("WITH", "WITH RECURSIVE", 1) + ", p AS (SELECT DISTINCT row_id, frame, CAST(trunc(x) AS INT) AS px, CAST(trunc(y) AS INT) AS py FROM loc WHERE frame % 5 = 0), e AS (SELECT a.row_id AS a, b.row_id AS b FROM p a JOIN p b ON a.frame = b.frame AND abs(a.px - b.px) <= 4 AND abs(a.py - b.py) <= 4), r AS (SELECT row_id AS a, row_id AS b FROM p UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a), q AS (SELECT frame, cluster, row_id, px + i AS qx, py + j AS qy FROM c JOIN p USING (row_id), (VALUES (-2), (-1), (0), (1), (2)) s(i), (VALUES (-2), (-1), (0), (1), (2)) t(j)), g AS (SELECT frame, cluster, count(DISTINCT row_id) AS n, count(DISTINCT (qx, qy)) AS area FROM q GROUP BY frame, cluster) "
+
+
+@query(_REGIONS + "SELECT frame, cluster, n, area, round(n / area, 9) AS density FROM g")
+def density_by_frame(df):
+    """Regions of overlapping squares in each frame."""
+    return rounded(spatial.density_regions(df.where("frame % 5 = 0"), 2, on=("frame",)))
+
+
+@query(_REGIONS + "SELECT count(*) AS regions, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS singles, round(sum(n) / sum(area), 9) AS density, round(avg(n / area), 9) AS mean, round(stddev_samp(n / area), 9) AS sd FROM g")
+def density_estimate(df):
+    return rounded(spatial.density_estimate(spatial.density_regions(df.where("frame % 5 = 0"), 2, on=("frame",))))
+
+
+@query(PT + ", c AS (SELECT a.row_id, count(*) AS n FROM pt a JOIN pt b ON a.row_id <> b.row_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY 1), k AS (SELECT row_id, coalesce(n, 0) AS n, coalesce(n, 0) / ((SELECT count(*) FROM pt) / 10000.0) AS k FROM pt LEFT JOIN c USING (row_id)) SELECT row_id, n, round(k, 9) AS k, round(k / 16, 9) AS k_area, round(sqrt(k / 4), 9) AS l, round(sqrt(k / 4) - 2, 9) AS l_minus_r, round(sqrt(k / 4) / 2, 9) AS l_ratio, round(sqrt(k / 4) / 2 - 1, 9) AS l_excess FROM k", points)
+def ripley_squares(df):
+    return rounded(spatial.ripley_forms(df, 2.0, 10000.0, square=True))
+
+
+_ERF = "(1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z))"
+
+
+@query(PT + ", p AS (SELECT a.row_id AS a, b.row_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.row_id <> b.row_id), n AS (SELECT * FROM p WHERE d2 <= 36 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 4), s AS (SELECT a, sqrt(avg(d2)) AS p FROM n GROUP BY a), o AS (SELECT n.a, avg(s.p) AS o FROM n JOIN s ON s.a = n.b GROUP BY n.a), l AS (SELECT s.a AS row_id, s.p / o.o - 1 AS plof FROM s JOIN o USING (a)), m AS (SELECT sqrt(avg(plof * plof)) AS norm FROM l), z AS (SELECT row_id, plof, plof / (3 * norm * sqrt(2)) AS z, 1 / (1 + 0.3275911 * (plof / (3 * norm * sqrt(2)))) AS t FROM l, m) SELECT pt.row_id, round(plof, 8) AS plof, round(CASE WHEN plof IS NULL THEN 1 WHEN plof <= 0 THEN 0 ELSE " + _ERF + " END, 8) AS score FROM pt LEFT JOIN z USING (row_id)", points)
+def outlier_scores(df):
+    return rounded(spatial.outlier_scores(df, 4, 6.0), 8)
+
+
+@query(LOC + _BLINK.format(t="loc") + ", o AS (SELECT gap - 1 AS t_off, count(*) AS n FROM j WHERE gap > 1 GROUP BY 1), c AS (SELECT t_off, 100 * sum(n) OVER (ORDER BY t_off) / sum(n) OVER () AS percent FROM o) SELECT t_off, round(percent, 9) AS percent FROM c WHERE percent >= 80 ORDER BY t_off LIMIT 1")
+def dark_time_percentile(df):
+    return rounded(tracks.dark_time_percentile(df, 80.0))
+
+
+@query(EV + ", f AS (SELECT id, frame, arg_min(x, row_id) AS x, arg_min(y, row_id) AS y FROM ev GROUP BY id, frame), j AS (SELECT l.lag, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS j FROM f a JOIN f b ON a.id = b.id JOIN (VALUES (1), (2), (5), (24)) l(lag) ON b.frame = a.frame + l.lag) SELECT lag, CAST(floor(j / 0.5) AS BIGINT) AS bin, count(*) AS n FROM j GROUP BY ALL", stream_rows)
+def jump_histogram(df):
+    first = df.groupBy("id", "frame").agg(*[F.min_by(c, "row_id").alias(c) for c in ("x", "y")])
+    return tracks.jump_histogram(first, [1, 2, 5, 24], 0.5)
+
+
+@query(LOC + ", b AS (SELECT floor(min(x)) AS x0, ceil(max(x)) AS x1, floor(min(y)) AS y0, ceil(max(y)) AS y1 FROM loc) SELECT row_id, round(x - greatest(x0 + 3, 10), 9) AS x, round(y - (y0 + 3), 9) AS y FROM loc, b WHERE x >= greatest(x0 + 3, 10) AND x < least(x1 - 3, 40) AND y >= y0 + 3 AND y < least(y1 - 3, 80) AND z BETWEEN 0.02 AND 0.08")
+def crop_border(df):
+    """The bounds less a border, within a box and a range of depths, moved to the origin."""
+    return rounded(flt.crop_to(df, 3.0, (10.0, 0.0, 30.0, 80.0), z=(0.02, 0.08), reset=True).select("row_id", "x", "y"))
+
+
 _KINDS = LOC + ", k AS (SELECT CAST(l.category AS INT) AS a, CAST(m.noise AS INT) AS b FROM loc l JOIN loc m USING (row_id))"
 
 

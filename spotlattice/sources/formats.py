@@ -236,8 +236,17 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def export_tracks(df: DataFrame, path: str, style: str = "spoton", min_length: int = 2, exposure_s: float = 0.01, um_per_unit: float = 0.1) -> None:
-    """Tracks of at least ``min_length`` rows as text in the layout of a tracking tool."""
+def export_tracks(df: DataFrame, path: str, style: str = "spoton", min_length: int = 2, exposure_s: float = 0.01, um_per_unit: float = 0.1, max_gap: int | None = None, max_jump: float | None = None) -> None:
+    """Tracks of at least ``min_length`` rows as text in the layout of a tracking tool.
+
+    With ``max_gap`` (frames) or ``max_jump``, a track ends before a longer gap or jump; its parts are numbered anew.
+    """
+    if max_gap is not None or max_jump is not None:
+        from ..operators.graph import numbered
+        from ..operators.tracks import islands
+
+        parts = islands(df, 2**30 if max_gap is None else max_gap, max_jump, "_part")
+        df = parts.join(numbered(parts.select("id", "_part").distinct(), "id", "_part", name="_id"), ["id", "_part"]).drop("id", "_part").withColumnRenamed("_id", "id")
     long = df.join(df.groupBy("id").count().where(F.col("count") >= min_length).select("id"), "id", "left_semi")
     x, y, t = F.col("x") * um_per_unit, F.col("y") * um_per_unit, F.col("frame") * exposure_s
     layouts = {
