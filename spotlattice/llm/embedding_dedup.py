@@ -285,7 +285,7 @@ def near_dups(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     of = shared_table(of.select("_v", "_least", "_c", (F.coalesce("_n", F.lit(0)) + F.col("_mass") - 1).alias("_n")))
     names = shared_table(of.groupBy("_c").agg(F.min("_least").alias("_name")))
     named = shared_table(of.join(names, "_c").select("_v", "_n", "_name"))  # stored, so that a hot vector's rows are split
-    joined = rows.where("_v is not null and _id is not null").join(named.hint("merge"), "_v").select("_id", "_n", "_name")
+    joined = rows.where("_v is not null and _id is not null").join(named.hint("shuffle_hash"), "_v").select("_id", "_n", "_name")
     alone = rows.where("_v is null or _id is null").select("_id", F.lit(0).cast("long").alias("_n"), F.col("_id").alias("_name"))
     out = joined.union(alone)
     return out.select(F.col("_id").alias("vec_id"), F.col("_n").alias("n_links"), F.col("_name").alias("component_id"), F.coalesce(F.col("_id") == F.col("_name"), F.lit(True)).alias("kept"))

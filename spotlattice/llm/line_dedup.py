@@ -70,7 +70,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (id, key), both after a map-side step: the count is a partial aggregate, so that a line of every document leaves one
     row a task.  The keys found, and each document's keys to drop, are stored before they are joined: both sides of a join
     then come from tables, and AQE splits the partition of a hot key or id (a grouped side would keep it from that).  The
-    texts move once, to meet their own keys.  Both joins sort and merge at every size: they spill, and nothing is broadcast.
+    texts move once, to meet their own keys.  Both joins are alike at every size: the side that is
+    built holds keys alone, of one partition, and the texts stream past it.
     """
     packed = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("binary").alias("_text"), F.struct(F.lit(0).alias("_none"), *[docs[c] for c in rest or []]).alias("_rest"))
     seen = map_texts(packed.where("_id is not null").select("_id", "_text"), _occurrences(min_chars), "_id long, _key binary")
@@ -78,9 +79,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = seen.groupBy("_key").agg(F.min("_id").alias("_keeper"), F.max("_id").alias("_last")).where("_keeper < _last")
     else:
         keys = seen.groupBy("_key").agg(F.min("_id").alias("_keeper"), F.countDistinct("_id").alias("_docs")).where(F.col("_docs") >= min_docs)
-    lost = seen.join(shared_table(keys.select("_key", "_keeper")).hint("merge"), "_key").where("_id <> _keeper")
+    lost = seen.join(shared_table(keys.select("_key", "_keeper")).hint("shuffle_hash"), "_key").where("_id <> _keeper")
     drops = shared_table(lost.groupBy("_id").agg(F.collect_set("_key").alias("_keys")))
-    met = packed.join(drops.hint("merge"), "_id", "left").select("_id", "_text", "_keys", "_rest")
+    met = packed.join(drops.hint("shuffle_hash"), "_id", "left").select("_id", "_text", "_keys", "_rest")
     schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_dropped", T.LongType()), T.StructField("_kept", T.BinaryType()), met.schema["_rest"]])
     return map_texts(met, _reassemble(min_chars, digest), schema).withColumn("_kept", F.col("_kept").cast("string"))
 

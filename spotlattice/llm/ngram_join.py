@@ -239,11 +239,11 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     ties = ties.join(of, "_id").select("_least", F.col("_rep").alias("b")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("a"), "b")
     ties = shared_table(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = shared_table(connected_components(ties))
-    tied = shared_table(texts.join(near.select(F.col("node").alias("_id")).hint("merge"), "_id"))  # all texts move once, here
+    tied = shared_table(texts.join(near.select(F.col("node").alias("_id")).hint("shuffle_hash"), "_id"))  # all texts move once, here
 
     def links(cells: DataFrame) -> DataFrame:
         """Of (_id, _cell, _side): the texts dealt to their cells, and the forests of links found there."""
-        met = tied.join(cells.hint("merge"), "_id").select("_cell", "_side", "_id", "_text")
+        met = tied.join(cells.hint("shuffle_hash"), "_id").select("_cell", "_side", "_id", "_text")
         dealt = met.repartition(partitions(docs), "_cell").sortWithinPartitions("_cell")
         return shared_table(dealt.mapInArrow(_check_cells(words, hundredths), "a long, b long"))
 
@@ -304,7 +304,7 @@ def one_of_each(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: s
     found = components(docs, words, hundredths, id_col)
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).join(stays, F.col("_lost") == F.col("_stays"), "left_anti").distinct()
-    return docs.join(shared_table(lost).hint("merge"), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
+    return docs.join(shared_table(lost).hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
 
 
 #: All pairs of documents with a common shingle, those that reach the threshold, and what they reach.
