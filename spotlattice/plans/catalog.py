@@ -753,9 +753,26 @@ def drift_images(df):
     return rounded(drift.from_images(df, 500, 1.0, 64), 6)
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> int:
+    """How many frames to simulate: one for every 400 events, 25 at least."""
+    return max(25, read(spark, sf_dir, "events").count() // 400)
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many simulated frames as there are nations: pixels are not among the driver's tables."""
-    return imaging.simulate(spark, read(spark, sf_dir, "nation").count())[0]
+    """Simulated frames, in step with the events: pixels are not among the driver's tables."""
+    return imaging.simulate(spark, _frames(spark, sf_dir))[0]
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The localisations of every 250 ids drawn on 32 x 32 pixels over a base of 100."""
+    pixel = F.floor(F.col("y") * 32 / 106) * 32 + F.floor(F.col("x") * 32 / 51)
+    drawn = localisations(spark, sf_dir).groupBy(F.floor(F.col("id") / 250).cast("int").alias("frame"), pixel.cast("int").alias("k")).agg(F.sum(F.col("intensity") / 1000).alias("v"))
+    maps = drawn.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: (100 + F.coalesce(F.col("m")[k], F.lit(0.0))).cast("float"))
+    return maps.select("frame", F.lit(32).alias("width"), F.lit(32).alias("height"), pixels.alias("pixels"))
+
+
+_RASTERS = LOC + ", d AS (SELECT CAST(floor(id / 250) AS INT) AS frame, CAST(floor(y * 32 / 106) * 32 + floor(x * 32 / 51) AS INT) AS k, sum(intensity / 1000) AS v FROM loc GROUP BY ALL), f AS (SELECT DISTINCT frame FROM d), px AS (SELECT f.frame, g.k, CAST(CAST(100 + coalesce(d.v, 0) AS FLOAT) AS DOUBLE) AS v FROM f CROSS JOIN (SELECT unnest(generate_series(0, 1023)) AS k) g LEFT JOIN d ON d.frame = f.frame AND d.k = g.k)"
 
 
 @query(table=_images)
@@ -773,14 +790,15 @@ def smooth_frames(df):
     return imaging.smooth(df, "gaussian", 1.0).select("frame", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
-@query(table=_images)
+@query(_RASTERS + " SELECT CAST(floor((frame - 1) / 5.0) + 1 AS INT) AS frame, 1024 AS n, round(sum(v), 1) AS total FROM px GROUP BY 1", _rasters)
 def sum_frames(df):
-    return imaging.aggregate_frames(df, 5).select("frame", F.size("pixels").alias("n"))
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x)
+    return imaging.aggregate_frames(df, 5).select("frame", F.size("pixels").alias("n"), F.round(total, 1).alias("total"))
 
 
-@query(table=_images)
+@query(_RASTERS + " SELECT CAST(k AS INT) AS pixel, round(avg(v), 4) AS mean, round(var_samp(v), 2) AS variance FROM px GROUP BY k", _rasters)
 def pixel_mean_variance(df):
-    return imaging.mean_variance(df)
+    return imaging.mean_variance(df).select("pixel", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
 @query(table=_images)
@@ -801,7 +819,7 @@ def multiplied_gain(df):
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of simulated frames matched to where the spots were put, with the scores of the match."""
-    frames, truth = imaging.simulate(spark, read(spark, sf_dir, "nation").count())
+    frames, truth = imaging.simulate(spark, _frames(spark, sf_dir))
     numbered = lambda df, seed: df.withColumn("row_id", F.xxhash64("frame", "x", "y", F.lit(seed)))
     real, found = shared_table(numbered(truth, 0)), shared_table(numbered(imaging.fit_frames(frames, 1.3).select("frame", "x", "y"), 1))
     pairs = spatial.match_frames(real, found, 2.0).count()
