@@ -473,6 +473,11 @@ def unmix_channels(df):
     return rounded(spatial.unmix_channels(df.withColumn("channel", F.col("id") % 2 + 1), 3.0, 0.1, 0.2), 6).withColumn("channel", F.col("channel").cast("int"))
 
 
+@query(table=points)
+def particle_single_linkage(df):
+    return clustering.particle_single_linkage(df, 1.0)
+
+
 @query(table=points)
 def centroid_linkage(df):
     return clustering.agglomerate(df, 0.5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spotlattice.functions import fits
 from spotlattice.functions import localisation as fn
-from spotlattice.operators import filters, imaging, sorting, spatial, tracks
+from spotlattice.operators import clustering, filters, imaging, sorting, spatial, tracks
 from spotlattice.sources import formats
 
 
@@ -99,3 +99,21 @@ def test_weighted_jumps_as_repeated_ones():
     values, counts = np.unique(jumps[jumps > 0], return_counts=True)
     a, b = fits.jump_distances(jumps, 3), fits.jump_distances(values, 3, counts=counts)
     assert np.allclose(np.array(a), np.array(b), rtol=0.02)
+
+
+def test_particle_single_linkage_like_a_plain_one(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(round(x, 1)), float(round(y, 1))) for k, (x, y) in enumerate(rng.uniform(0, 25, (150, 2)))]
+    pairs = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, a[0], b[0]) for a in rows for b in rows if a[0] < b[0])
+    cluster = {}
+    for d2, a, b in pairs:
+        if d2 <= 4.0 and not (a in cluster and b in cluster):
+            home = cluster.get(a) or cluster.get(b) or set()
+            home |= {a, b}
+            cluster[a] = cluster[b] = home
+    want = {k: min(cluster.get(k, {k})) for k, _, _ in rows}
+    df = spark.createDataFrame(rows, "row_id long, x double, y double")
+    assert {r.row_id: r.cluster for r in clustering.particle_single_linkage(df, 2.0).collect()} == want
+    timed = df.withColumns({"frame": F.lit(1), "end_frame": F.lit(1)})
+    same = [sorted(map(tuple, clustering.agglomerate(timed, 1.0, m).collect())) for m in ("centroid", "pairwise_without_neighbours")]
+    assert same[0] == same[1]
