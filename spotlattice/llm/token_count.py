@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scanner
-from .common import by_chunks
+from .common import Recent, by_chunks
 
-#: Characters of a chunk; bounds of the tables of transitions and of kept paths, and the longest kept path.
-CHUNK, TRANSITIONS, PATHS, PATH_BYTES = 1 << 14, 400_000, 300_000, 64
+#: Characters of a chunk; bounds of the tables of transitions and of a generation of kept paths, and the longest kept path.
+CHUNK, TRANSITIONS, PATHS, PATH_BYTES = 1 << 14, 400_000, 250_000, 64
 #: Fixed value: the mark of a unit that ends a pre-token.
 END = "</w>"
 BLANKS = re.compile("[\t-\r ]")
+#: The pre-tokens of lower-case ASCII without blanks and quotes.
+RUNS = re.compile(b"[a-z]+|[0-9]|[^a-z0-9]+")
 OPEN = "'"  # a contraction may have begun: the state holds what was read of it
 
 
@@ -142,6 +144,15 @@ class Merges:
         return (*((n, t, c - delta) for n, t, c in alive), (0, last, 0)), delta
 
 
+    def last(self, state: tuple, unit: int) -> int:
+        """The tokens that a unit adds which nothing follows."""
+        for node, before, count in state:
+            node = self.child.get(node * 512 + unit, 0)
+            if node and (t := self.token[node]) >= 0 and self.valid(before, t):
+                return count + 1
+        raise AssertionError("no token ends here")
+
+
 FRESH = ((0, -1, 0),)
 #: Between pre-tokens: (kind of the open pre-token, its state without its last byte, that byte).
 START = ("", FRESH, 0)
@@ -157,32 +168,65 @@ class CountTransducer:
         inside = {c for s in special for c in s[1:]}
         plain = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
         self.sure = re.compile(f"[{plain}ぁ-ゖァ-ヺ一-鿿가-힣]")
-        self.states: list[tuple] = [START]
-        self.index: dict[tuple, int] = {START: 0}
+        self._anew()
+        self.paths = Recent(self._path, PATHS, PATH_BYTES)
+
+    def _anew(self) -> None:
+        """Empty tables.  States are values, so nothing else changes."""
+        self.within: list[tuple] = [FRESH]  # states within a pre-token
+        self.within_index: dict[tuple, int] = {FRESH: 0}
+        self.bytes: dict[int, tuple[int, int]] = {}  # state << 8 | byte -> (state, tokens emitted)
+        self.states: list[tuple] = [("", 0, 0)]  # of the whole machine; within a pre-token by number
+        self.index: dict[tuple, int] = {("", 0, 0): 0}
         self.table: dict[int, tuple[int, int]] = {}  # state << 21 | character -> (state, tokens emitted)
-        self.paths: dict[bytes, int] = {}
+
+    def _entered(self, state: tuple) -> int:
+        """The number of a state that is given as a value."""
+        kind, inner, waiting = state
+        at = self.within_index.get(inner)
+        if at is None:
+            at = self.within_index[inner] = len(self.within)
+            self.within.append(inner)
+        return self._number((kind, at, waiting))
+
+    def _number(self, state: tuple) -> int:
+        at = self.index.get(state)
+        if at is None:
+            at = self.index[state] = len(self.states)
+            self.states.append(state)
+        return at
 
     # --- transitions ---------------------------------------------------------------------------------------------------
 
+    def _byte(self, at: int, byte: int) -> tuple[int, int]:
+        """The transition on a byte that does not end its pre-token, entered into the table."""
+        after, n = self.merges.step(self.within[at], byte)
+        to = self.within_index.get(after)
+        if to is None:
+            to = self.within_index[after] = len(self.within)
+            self.within.append(after)
+        self.bytes[at << 8 | byte] = to, n
+        return to, n
+
     def _within(self, state: tuple, kind: str, data: bytes) -> tuple[tuple, int]:
         """Bytes of a pre-token that goes on or begins; the last byte waits, since it may end the pre-token."""
-        _, inner, waiting = state
+        _, at, waiting = state
         n = 0
         units = (bytes([waiting]) if state[0] else b"") + data
         for u in units[:-1]:
-            inner, e = self.merges.step(inner, u)
+            at, e = self.bytes.get(at << 8 | u) or self._byte(at, u)
             n += e
-        return (kind, inner, units[-1]), n
+        return (kind, at, units[-1]), n
 
     def _close(self, state: tuple) -> int:
         """Tokens emitted when the text ends here, or a boundary follows."""
         if state[0].startswith(OPEN):  # what looked like a contraction is none: its quote stands alone
             state, n = self._broken(state)
             return n + self._close(state)
-        return self.merges.step(state[1], 256 + state[2])[1] if state[0] else 0
+        return self.merges.last(self.within[state[1]], 256 + state[2]) if state[0] else 0
 
     def _broken(self, state: tuple) -> tuple[tuple, int]:
-        after, n = self._within(START, "O", b"'")
+        after, n = self._within(self.states[0], "O", b"'")
         for c in state[0][1:]:
             after, e = self._read(after, c)
             n += e
@@ -192,9 +236,9 @@ class CountTransducer:
         if state[0].startswith(OPEN):
             seen = state[0] + c
             if seen in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"):
-                return START, self._alone(seen)
+                return self.states[0], self._alone(seen)
             if seen in ("'r", "'v", "'l"):
-                return (seen, FRESH, 0), 0
+                return (seen, 0, 0), 0
             after, n = self._broken(state)
             after, e = self._read(after, c)
             return after, n + e
@@ -203,59 +247,57 @@ class CountTransducer:
             return self._within(state, kind, c.encode())
         closed = self._close(state)
         if kind == "S":
-            return START, closed
+            return self.states[0], closed
         if kind == "N":
-            return START, closed + self._alone(c)
+            return self.states[0], closed + self._alone(c)
         if c == "'":
-            return (OPEN, FRESH, 0), closed
-        after, n = self._within(START, kind, c.encode())
+            return (OPEN, 0, 0), closed
+        after, n = self._within(self.states[0], kind, c.encode())
         return after, closed + n
 
     def _alone(self, word: str) -> int:
-        state, n = self._within(START, "L", word.encode())
+        state, n = self._within(self.states[0], "L", word.encode())
         return n + self._close(state)
 
     def compile(self, at: int, c: str) -> tuple[int, int]:
         """The transition of a state on a character, entered into the table."""
         after, n = self._read(self.states[at], c)
-        found = self.index.get(after)
-        if found is None:
-            found = self.index[after] = len(self.states)
-            self.states.append(after)
-        self.table[at << 21 | ord(c)] = found, n
-        return found, n
+        found = self.table[at << 21 | ord(c)] = self._number(after), n
+        return found
 
-    def walk(self, state: tuple, text: str) -> tuple[tuple, int]:
-        """The state after a text, and the tokens emitted on the way."""
-        if len(self.table) > TRANSITIONS:  # start the table anew; states are values, so nothing else changes
-            self.states, self.index, self.table = [START], {START: 0}, {}
-        at = self.index.get(state)
-        if at is None:
-            at = self.index[state] = len(self.states)
-            self.states.append(state)
-        table, total = self.table, 0
+    def _walk(self, state: tuple, text: str) -> tuple[int, int]:
+        if len(self.table) + len(self.bytes) > TRANSITIONS:
+            self._anew()
+        at, table, total = self._entered(state), self.table, 0
         for c in text:
             at, n = table.get(at << 21 | ord(c)) or self.compile(at, c)
             total += n
-        return self.states[at], total
+        return at, total
+
+    def walk(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The state after a text, as a value, and the tokens emitted on the way."""
+        at, total = self._walk(state, text)
+        kind, inner, waiting = self.states[at]
+        return (kind, self.within[inner], waiting), total
+
+    def closed(self, state: tuple) -> int:
+        """Tokens still open in a state given as a value."""
+        return self._close(self.states[self._entered(state)])
 
     def _path(self, word: bytes) -> int:
         """Tokens of a path from blank to blank."""
-        state, n = self.walk(START, word.decode())
-        n += self._close(state)
-        if len(word) <= PATH_BYTES:
-            if len(self.paths) >= PATHS:
-                self.paths.clear()
-            self.paths[word] = n
-        return n
-
-    def between(self, words: list[bytes]) -> int:
-        """Tokens of paths that all begin and end between pre-tokens."""
-        paths = self.paths
-        try:
-            return sum(map(paths.__getitem__, words))
-        except KeyError:
-            return sum(n if (n := paths.get(w)) is not None else self._path(w) for w in words)
+        if not word.isalpha():
+            if word.isascii() and b"'" not in word and len(runs := RUNS.findall(word)) > 1:  # every run ends between pre-tokens
+                return sum(map(self.paths.__getitem__, runs))
+            at, n = self._walk(START, word.decode())
+            return n + self._close(self.states[at])
+        if len(self.table) + len(self.bytes) > TRANSITIONS:
+            self._anew()
+        at, table, total = 0, self.bytes, 0
+        for u in word[:-1]:
+            at, n = table.get(at << 8 | u) or self._byte(at, u)
+            total += n
+        return total + self.merges.last(self.within[at], 256 + word[-1])
 
     # --- chunks --------------------------------------------------------------------------------------------------------
 
@@ -287,7 +329,7 @@ class CountTransducer:
             words = run.encode().split()
             if k == len(between) - 1:
                 last = words.pop().decode() if words and not BLANKS.match(run[-1]) else ""
-            n += self.between(words)
+            n += sum(map(self.paths.__getitem__, words))
         exit_, e = self.walk(START, last)
         return size, head, True, n + e, exit_
 
@@ -297,14 +339,14 @@ class CountTransducer:
         state, n = self.walk(a[4], b[1])
         if not b[2]:
             return a[0] + b[0], a[1], True, a[3] + n, state
-        return a[0] + b[0], a[1], True, a[3] + n + self._close(state) + b[3], b[4]
+        return a[0] + b[0], a[1], True, a[3] + n + self.closed(state) + b[3], b[4]
 
     def join(self, maps: list[tuple]) -> tuple[int, int]:
         """(bytes, tokens) of the text whose chunks have these maps."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         size, head, more, n, exit_ = maps[0]
-        return size, (self.between([head.encode()]) if head else 0) + (n + self._close(exit_) if more else 0)
+        return size, (self.paths[head.encode()] if head else 0) + (n + self.closed(exit_) if more else 0)
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         return self.join([self.part(x) for x in self.cut(text, chunk)])[1]
