@@ -110,6 +110,11 @@ def crop(df: DataFrame, x0: float, y0: float, w: float, h: float, reset: bool =
     return out.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0}) if reset else out
 
 
+def any_row(df: DataFrame, condition: Column) -> bool:
+    """Whether a row meets the condition: a scan that stops at the first one."""
+    return not df.where(condition).limit(1).isEmpty()
+
+
 def whole_bounds(df: DataFrame) -> tuple[int, int, int, int]:
     """(x, y, width, height) in whole pixels that hold all rows; 1 wide at least."""
     r = df.agg(F.floor(F.min("x")).alias("a"), F.ceil(F.max("x")).alias("b"), F.floor(F.min("y")).alias("c"), F.ceil(F.max("y")).alias("d")).first()

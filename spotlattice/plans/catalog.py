@@ -15,7 +15,7 @@ from ..operators import aggregates as agg
 from ..operators import filters as flt
 from ..operators import clustering, drift, imaging, matching, sorting, spatial, tracing, tracks
 from ..operators.graph import numbered, shared_table
-from ..sources import formats, records, tsf
+from ..sources import formats, records, tiff, tsf
 from ..streaming import frames as streams
 from .tables import EV, LOC, PT, localisations, points, read, stream_rows
 
@@ -806,6 +806,17 @@ def pixel_mean_variance(df):
     return imaging.mean_variance(df).select("pixel", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"))
 
 
+@query(_RASTERS + " SELECT frame, 32 AS width, 32 AS height, round(sum(v), 1) AS total, round(max(v), 2) AS highest FROM px GROUP BY frame", _rasters)
+def source_tiff(df):
+    """Image files of 10 pages, written and read back."""
+    path = _scratch(df).removeprefix("file:")
+    numbered_frames = numbered(df.select("frame"), "frame", name="k")
+    tiff.write(df.join(numbered_frames, "frame").withColumns({"was": F.col("frame"), "frame": F.col("k").cast("int")}), path, each=10)
+    back = tiff.read(df.sparkSession, path).join(numbered_frames.withColumnRenamed("frame", "was"), F.col("frame") == F.col("k"))
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x)
+    return back.select(F.col("was").alias("frame"), "width", "height", F.round(total, 1).alias("total"), F.round(F.array_max("pixels").cast("double"), 2).alias("highest"))
+
+
 @query(table=_images)
 def pixel_gain(df):
     return rounded(imaging.gain_of(imaging.mean_variance(df)), 6)
