@@ -91,6 +91,38 @@ def residence(histogram: dict[int, int], populations: int, resolution: float = 1
     return {"rates": rate[order].tolist(), "fractions": share[order].tolist()}
 
 
+def residence_likelihood(histogram: dict[int, int], fit: dict[str, list[float]], resolution: float = 1.0) -> float:
+    """The log likelihood of binned times under rates and fractions of ``residence``."""
+    t = np.array(sorted(histogram), float)
+    n = np.array([histogram[int(k)] for k in t], float)
+    q = np.exp(-np.array(fit["rates"]) * resolution)
+    return float((n * np.log((np.array(fit["fractions"]) * (1 - q) * q ** t[:, None]).sum(1))).sum())
+
+
+def residence_choice(histogram: dict[int, int], most: int = 3, resolution: float = 1.0) -> dict:
+    """The fit of 1 to ``most`` populations with the least Bayesian information criterion: rates, fractions, bic."""
+    size, best = sum(histogram.values()), None
+    for n in range(1, most + 1):
+        fit = residence(histogram, n, resolution)
+        bic = (2 * n - 1) * math.log(size) - 2 * residence_likelihood(histogram, fit, resolution)
+        if best is None or bic < best["bic"]:
+            best = fit | {"bic": bic}
+    return best
+
+
+def residence_bootstrap(histogram: dict[int, int], populations: int, repeats: int = 100, level: float = 0.95, resolution: float = 1.0, seed: int = 0) -> dict[str, list[tuple[float, float]]]:
+    """Intervals of rates and fractions over fits to resampled histograms."""
+    rng = np.random.default_rng(seed)
+    t = sorted(histogram)
+    n = np.array([histogram[k] for k in t])
+    fits = []
+    for _ in range(repeats):
+        drawn = rng.multinomial(n.sum(), n / n.sum())
+        fits.append(residence({k: int(c) for k, c in zip(t, drawn, strict=True) if c}, populations, resolution))
+    ends = lambda name: [tuple(np.quantile([f[name][k] for f in fits], [(1 - level) / 2, (1 + level) / 2]).tolist()) for k in range(populations)]
+    return {"rates": ends("rates"), "fractions": ends("fractions")}
+
+
 def msd_line(lags: np.ndarray, msd: np.ndarray, through_zero: bool = False) -> tuple[float, float]:
     """D and the intercept of msd = 4 D t + c."""
     a = lags[:, None] if through_zero else np.column_stack([lags, np.ones(len(lags))])

@@ -117,3 +117,23 @@ def test_particle_single_linkage_like_a_plain_one(spark):
     timed = df.withColumns({"frame": F.lit(1), "end_frame": F.lit(1)})
     same = [sorted(map(tuple, clustering.agglomerate(timed, 1.0, m).collect())) for m in ("centroid", "pairwise_without_neighbours")]
     assert same[0] == same[1]
+
+
+def test_residence_models():
+    rng = np.random.default_rng(3)
+    histogram = lambda t: dict(zip(*(v.tolist() for v in np.unique(t, return_counts=True)), strict=True))
+    one = histogram(rng.geometric(1 - np.exp(-0.2), 4000) - 1)
+    two = histogram(np.concatenate([rng.geometric(1 - np.exp(-0.05), 4000), rng.geometric(1 - np.exp(-1.0), 4000)]) - 1)
+    assert len(fits.residence_choice(one)["rates"]) == 1 and len(fits.residence_choice(two)["rates"]) == 2
+    ends = fits.residence_bootstrap(one, 1, repeats=30)
+    assert ends["rates"][0][0] < 0.2 < ends["rates"][0][1] and ends["fractions"][0] == (1.0, 1.0)
+    assert fits.residence_likelihood(two, fits.residence(two, 2)) > fits.residence_likelihood(two, fits.residence(two, 1))
+
+
+def test_lines_and_sizes():
+    t = np.arange(1.0, 6.0)
+    assert fits.msd_line(t, 4 * 0.3 * t + 0.1) == (pytest.approx(0.3), pytest.approx(0.1)) and fits.msd_line(t, 4 * 0.3 * t, True) == (pytest.approx(0.3), 0.0)
+    rng = np.random.default_rng(5)
+    sizes = rng.binomial(6, 0.4, 20000)
+    n, p = fits.binomial_sizes({k: int((sizes == k).sum()) for k in range(1, 7)}, 8)
+    assert n == 6 and p == pytest.approx(0.4, abs=0.02)
