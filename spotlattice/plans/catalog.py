@@ -366,15 +366,16 @@ def burst_clusters(df):
     return rounded(tracks.burst_clusters(df, 10, 2), 6)
 
 
-@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc WHERE frame BETWEEN 1000 AND 1099 GROUP BY ALL")
+@query(LOC + "SELECT CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc WHERE frame > (SELECT max(frame) FROM loc) - 100 GROUP BY ALL")
 def render_rolling(df):
-    """The image of the last 100 frames up to one."""
-    return rounded(agg.render(df.where("frame BETWEEN 1000 AND 1099"), 2.0), 3)
+    """The image of the last 100 frames."""
+    last = df.agg(F.max("frame").alias("f")).first()["f"] or 0
+    return rounded(agg.render(df.where(F.col("frame") > last - 100), 2.0), 3)
 
 
 @query(LOC + "SELECT CAST(floor(frame / 100.0) AS INT) AS block, CAST(floor(x * 2) AS INT) AS px, CAST(floor(y * 2) AS INT) AS py, round(sum(intensity), 3) AS value FROM loc GROUP BY ALL")
 def render_blocks(df):
-    """An image of every 100 frames; ``render_rolling`` is the one of frames 1000 to 1099."""
+    """An image of every 100 frames."""
     return rounded(agg.render(df.withColumn("block", F.floor(F.col("frame") / 100).cast("int")), 2.0, on=("block",)), 3)
 
 
@@ -436,14 +437,9 @@ def ripley_density(df):
     return rounded(out.withColumns({c: F.when(F.col("n") > 0, F.col(c)) for c in ("k", "l", "l_minus_r")}))
 
 
-@query(PT + ", c AS (SELECT * FROM pt WHERE x BETWEEN -10 AND 10 AND y BETWEEN -10 AND 10), p AS (SELECT CAST(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS ring FROM c a JOIN pt b ON a.row_id <> b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25) SELECT ring, count(*) AS pairs, round(count(*) / ((SELECT count(*) FROM c) * pi() * 0.25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) AS g FROM p GROUP BY ring", points)
-def pair_correlation(df):
-    return rounded(spatial.pair_correlation(df, 5.0, 0.5, (-10, 10, -10, 10)), 6)
-
-
 @query(PT + ", e AS (SELECT min(x) + 5 AS x0, max(x) - 5 AS x1, min(y) + 5 AS y0, max(y) - 5 AS y1 FROM pt), c AS (SELECT pt.* FROM pt, e WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), p AS (SELECT CAST(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS ring FROM c a JOIN pt b ON a.row_id <> b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25) SELECT ring, count(*) AS pairs, round(count(*) / ((SELECT count(*) FROM c) * pi() * 0.25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) AS g FROM p GROUP BY ring", points)
-def pair_correlation_inset(df):
-    """Around every row that lies the radius inside the bounds of all rows; ``pair_correlation`` keeps to its fixed box."""
+def pair_correlation(df):
+    """Around every row that lies the radius inside the bounds of all rows."""
     return rounded(spatial.pair_correlation(df, 5.0, 0.5), 6)
 
 
