@@ -469,7 +469,7 @@ def unmix_channels(df):
     return rounded(spatial.unmix_channels(df.withColumn("channel", F.col("id") % 2 + 1), 3.0, 0.1, 0.2), 6).withColumn("channel", F.col("channel").cast("int"))
 
 
-@query(table=points)
+@query(PT.replace("WITH", "WITH RECURSIVE") + ", o AS (SELECT a.row_id AS a, b.row_id AS b, row_number() OVER (ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), a.row_id, b.row_id) AS k FROM pt a JOIN pt b ON a.row_id < b.row_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1), m AS (SELECT k, a, b, true AS ok, [a, b] AS held FROM o WHERE k = 1 UNION ALL SELECT o.k, o.a, o.b, NOT (list_contains(held, o.a) AND list_contains(held, o.b)), list_distinct(held || [o.a, o.b]) FROM m JOIN o ON o.k = m.k + 1), e AS (SELECT a, b FROM m WHERE ok UNION ALL SELECT b, a FROM m WHERE ok), r AS (SELECT row_id AS a, row_id AS b FROM pt UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS row_id, min(b) AS cluster FROM r GROUP BY a", points)
 def particle_single_linkage(df):
     return clustering.particle_single_linkage(df, 1.0)
 
@@ -574,32 +574,49 @@ def _tracks_of(df: DataFrame) -> DataFrame:
     return df.select("row_id", "frame", "end_frame", "x", "y", "intensity")
 
 
-@query(table=stream_rows)
+def _traced(memory: int, batch: str = "", rows: str = "ev", also: str = "", name: str = "t") -> str:
+    """Common tables up to ``name``(row_id, trace): links of rows of one y, taken in order where both ends are still free."""
+    taken = "(list_contains(ua, o.a) OR list_contains(ub, o.b))"
+    return (
+        f", {name}_o AS (SELECT a.row_id AS a, b.row_id AS b, a.y, b.frame - a.frame AS gap, row_number() OVER (PARTITION BY a.y ORDER BY b.frame, {batch} abs(a.x - b.x), a.row_id, b.row_id) AS k FROM {rows} a JOIN {rows} b ON a.y = b.y AND b.frame > a.frame AND b.frame <= a.frame + {memory} AND abs(a.x - b.x) <= 0.05 {also})"
+        f", {name}_m AS (SELECT y, k, a, b, gap, true AS ok, [a] AS ua, [b] AS ub FROM {name}_o WHERE k = 1 UNION ALL SELECT o.y, o.k, o.a, o.b, o.gap, NOT {taken}, CASE WHEN {taken} THEN ua ELSE list_append(ua, o.a) END, CASE WHEN {taken} THEN ub ELSE list_append(ub, o.b) END FROM {name}_m m JOIN {name}_o o ON o.y = m.y AND o.k = m.k + 1)"
+        f", {name} AS (SELECT row_id, row_id AS trace, 0 AS gap FROM {rows} WHERE row_id NOT IN (SELECT b FROM {name}_m WHERE ok) UNION ALL SELECT l.b, t.trace, l.gap FROM {name} t JOIN {name}_m l ON l.a = t.row_id AND l.ok)"
+    )
+
+
+_EV = EV.replace("WITH", "WITH RECURSIVE", 1)
+_SURE = ", sure AS (SELECT * FROM ev WHERE intensity > 40)"
+
+
+@query(_EV + _traced(24, "-a.frame,") + " SELECT row_id, trace FROM t", stream_rows)
 def trace_latest(df):
     return tracing.trace(_tracks_of(df), 0.05, 24)
 
 
-@query(table=stream_rows)
+@query(_EV + _traced(24, "a.frame,", also="AND floor((a.frame - 1) / 168.0) = floor((b.frame - 1) / 168.0)") + " SELECT row_id, trace FROM t", stream_rows)
 def trace_pulses(df):
     return tracing.trace(_tracks_of(df), 0.05, 24, mode="earliest", pulse=24 * 7)
 
 
-@query(table=stream_rows)
+@query(_EV + _traced(24) + ", f AS (SELECT trace, row_number() OVER (ORDER BY min(frame), trace) AS id FROM t JOIN ev USING (row_id) GROUP BY trace) SELECT row_id, id FROM t JOIN f USING (trace)", stream_rows)
 def trace_numbers(df):
     return tracing.number_traces(tracing.trace(_tracks_of(df), 0.05, 24, mode="single"), df)
 
 
-@query(table=stream_rows)
+@query(_EV + _traced(24, "-a.frame,") + " SELECT row_id FROM t WHERE trace IN (SELECT trace FROM t GROUP BY trace HAVING count(*) > 1)", stream_rows)
 def trace_filter(df):
     return tracing.trace_filter(_tracks_of(df), 0.05, 24).select("row_id")
 
 
-@query(table=stream_rows)
+@query(_EV + _SURE + _traced(24, "-a.frame,", "sure") + " SELECT row_id FROM t WHERE trace IN (SELECT trace FROM t JOIN ev USING (row_id) WHERE intensity > 80)", stream_rows)
 def hysteresis_filter(df):
     return tracing.hysteresis(_tracks_of(df), F.col("intensity") > 80, F.col("intensity") > 40, 0.05, 24).select("row_id")
 
 
-@query(table=stream_rows)
+_BLINKS_OF = "SELECT CAST(0.05 AS DOUBLE) AS distance, {m} AS memory, count(*) AS traces, round(avg(n), 6) AS mean_blinks FROM (SELECT trace, 1 + sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) AS n FROM {t} GROUP BY trace)"
+
+
+@query(_EV + _traced(1, name="t1") + _traced(24, "-a.frame,", name="t24") + " " + _BLINKS_OF.format(m=1, t="t1") + " UNION ALL " + _BLINKS_OF.format(m=24, t="t24"), stream_rows)
 def trace_thresholds(df):
     return rounded(tracing.threshold_grid(_tracks_of(df), [0.05], [1, 24]), 6)
 
