@@ -36,7 +36,7 @@ from .common import connected_components, map_texts, partitions, shared_table
 #: Documents and shingles of one cell of a small component, documents and shingles of a block of a large one.
 CELL_DOCS, CELL_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000, 1024, 2_000_000
 #: Hashes of words that a task keeps; signatures that it holds before it sorts them; sets whose copies it knows.
-MEMO, HELD, KNOWN = 300_000, 1 << 20, 1_000_000
+MEMO, HELD, KNOWN = 300_000, 1 << 19, 250_000
 
 
 class _WordHash(dict):
