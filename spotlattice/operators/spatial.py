@@ -77,11 +77,17 @@ def pair_correlation(df: DataFrame, radius: float, step: float, inner: tuple[flo
 
 
 def single_linkage(df: DataFrame, d: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """(row_id, cluster): components of rows at most d apart; a cluster is named by its smallest row."""
-    rows = df.select("row_id", "x", "y", *on)
-    edges = within(rows, rows, d, on).where("a_row_id < b_row_id").select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"))
-    groups = connected_components(edges).withColumnRenamed("node", "row_id")
-    return rows.select("row_id").join(groups, "row_id", "left").select("row_id", F.coalesce("component", "row_id").alias("cluster"))
+    """(row_id, cluster): components of rows at most d apart; a cluster is named by its smallest row.
+
+    Rows of a cell whose diagonal is d hang together, so its smallest row stands for it: edges run between cells, however
+    many rows and pairs they hold.
+    """
+    rows = df.select("row_id", "x", "y", *on).withColumns({c: F.floor(F.col(p) * math.sqrt(2) * (1 + 1e-12) / d) for c, p in (("_gx", "x"), ("_gy", "y"))})
+    heads = rows.groupBy("_gx", "_gy", *on).agg(F.min("row_id").alias("_head"))
+    rows = shared_table(rows.join(heads, ["_gx", "_gy", *on], "left").withColumn("_head", F.coalesce("_head", "row_id")).select("row_id", "_head", "x", "y", *on))
+    pairs = within(rows, rows, d, on).where("a__head < b__head")
+    groups = connected_components(pairs.select(F.col("a__head").alias("a"), F.col("b__head").alias("b")).distinct()).withColumnRenamed("node", "_head")
+    return rows.select("row_id", "_head").join(groups, "_head", "left").select("row_id", F.coalesce("component", "_head").alias("cluster"))
 
 
 def dbscan(df: DataFrame, d: float, min_points: int) -> DataFrame:

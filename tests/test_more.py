@@ -137,3 +137,23 @@ def test_lines_and_sizes():
     sizes = rng.binomial(6, 0.4, 20000)
     n, p = fits.binomial_sizes({k: int((sizes == k).sum()) for k in range(1, 7)}, 8)
     assert n == 6 and p == pytest.approx(0.4, abs=0.02)
+
+
+def test_single_linkage_of_crowded_cells(spark):
+    rng = np.random.default_rng(4)
+    xy = np.round(np.vstack([rng.uniform(0, 30, (150, 2)), rng.normal(10, 0.3, (150, 2))]), 1)
+    rows = [(int(k) * 7 % 1000, float(x), float(y)) for k, (x, y) in enumerate(xy)]
+    up = {r[0]: r[0] for r in rows}
+
+    def top(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in rows:
+        for b in rows:
+            if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 1.0:
+                p, q = sorted((top(a[0]), top(b[0])))
+                up[q] = p
+    df = spark.createDataFrame([*rows, (5000, None, 1.0)], "row_id long, x double, y double")
+    assert {r.row_id: r.cluster for r in spatial.single_linkage(df, 1.0).collect()} == {r[0]: top(r[0]) for r in rows} | {5000: 5000}
