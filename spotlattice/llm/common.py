@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlattice.operators.graph import connected_components, partitions, shared_table
+from spotlattice.operators.graph import connected_components, forget, partitions, shared_table
 
-__all__ = ["Recent", "by_chunks", "connected_components", "map_texts", "partitions", "shared_table"]
+__all__ = ["Recent", "by_chunks", "connected_components", "forget", "map_texts", "partitions", "shared_table"]
 #: Rows of an Arrow batch of whole texts; Spark also bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 TEXT_ROWS = 512
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, partitions, shared_table
+from .common import connected_components, forget, map_texts, partitions, shared_table
 
 #: Documents and shingles of one cell of a small component, documents and shingles of a block of a large one.
 CELL_DOCS, CELL_SHINGLES, BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000, 1024, 2_000_000
@@ -259,6 +259,8 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     twice = of.groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_most")).where("a < _most")
     again = shared_table(twice.join(of, "_id").where("a <> _rep").select("a", F.col("_rep").alias("b")))
     group = shared_table(connected_components(found.union(again)))
+    for t in (tied, ties, near, sizes, placed, of, again):  # nothing below reads them; tied has texts
+        forget(t)
     class_of = classes.select("_set", "_rep").join(group, F.col("_rep") == F.col("node"), "left").select("_set", F.coalesce("component", "_rep").alias("_component"))
     linked = named.select("_id", "_n", "_set").join(shared_table(class_of), "_set").select("_id", "_n", "_component")
     alone = info.where("_set is null or _id is null").select("_id", "_n", F.col("_id").alias("_component"))

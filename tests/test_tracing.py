@@ -242,3 +242,17 @@ def test_components_by_both_ways(spark):
     assert both[0] == both[1] and {c for n, c in both[0] if 1000 <= n < 1200} == {1000} and {c for n, c in both[0] if n >= 2000} == {2000}
     numbers = graph.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), "k").collect()
     assert sorted((r.k, r.number) for r in numbers) == [(k, k + 1) for k in range(1000)]
+
+
+def test_shared_tables_leave_no_shuffles(spark):
+    import glob
+    import time
+
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+    before = files()
+    df = graph.shared_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # files go by messages to the executors
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 7
