@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotlattice.operators import filters, graph, spatial, tracing
+from spotlattice.operators import closest, filters, graph, spatial, tracing
 
 
 def plain_trace(rows, d, memory, mode="latest", exclusion=0.0, pulse=0, window=0, interval=0):
@@ -256,3 +256,37 @@ def test_shared_tables_leave_no_shuffles(spark):
             break
         time.sleep(0.1)
     assert files() <= before and df.count() == 7
+
+
+def test_matches_of_copies_make_few_pairs(spark, monkeypatch):
+    """500 copies of a place on both sides are one pair of nodes, not 250,000 pairs; time decides who may match."""
+    met, pairs = [], closest._pairs
+    monkeypatch.setattr(closest, "_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    place = np.repeat([[0.0], [0.0], [1.0], [1.0]], 500, 1)
+    found = closest.matches(np.arange(500)[::-1], place, np.arange(500), place + [[1.0], [0.0], [0.0], [0.0]], 5.0)
+    assert sorted((499 - i, j) for i, j, _ in found) == [(k, k) for k in range(500)] and sum(len(m[0]) for m in met) == 1
+    assert closest.matches(np.arange(500), place, np.arange(500), place + [[0.0], [0.0], [1.0], [1.0]], 5.0) == []
+
+
+@pytest.mark.parametrize("grid", [1.0, 0.001])
+@pytest.mark.parametrize("few", [1, 8])
+def test_closest_like_a_plain_one(monkeypatch, grid, few):
+    monkeypatch.setattr(closest, "FEW", few)
+    rng = np.random.default_rng(3)
+    make = lambda n: (rng.permutation(2 * n)[:n], np.concatenate([np.round(rng.uniform(-6, 6, (2, n)) / grid) * grid, (f := rng.integers(0, 4, n).astype(float))[None], f[None] + rng.integers(0, 2, n)]))
+    (ra, a), (rb, b) = make(140), make(110)
+    want, used = [], set()
+    d2 = (a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2
+    common = np.minimum(a[3][:, None], b[3]) - np.maximum(a[2][:, None], b[2]) + 1
+    for x, _, _, i, j in sorted((d2[i, j], ra[i], rb[j], i, j) for i in range(140) for j in range(110) if d2[i, j] <= 9 and common[i, j] >= 1):
+        if not used & {(0, i), (1, j)}:
+            used |= {(0, i), (1, j)}
+            want.append((i, j, x))
+    assert sorted(closest.matches(ra, a, rb, b, 3.0)) == sorted(want)
+
+
+def test_match_stores_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "within", None)  # the join whose pairs were stored
+    rows = spark.range(300).selectExpr("id AS row_id", "1 AS frame", "0.0D AS x", "0.0D AS y")
+    got = spatial.match_frames(rows, rows, 1.0).collect()
+    assert sorted((r.a_row_id, r.b_row_id) for r in got) == [(k, k) for k in range(300)]
