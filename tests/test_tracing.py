@@ -290,3 +290,21 @@ def test_match_stores_no_pairs(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id AS row_id", "1 AS frame", "0.0D AS x", "0.0D AS y")
     got = spatial.match_frames(rows, rows, 1.0).collect()
     assert sorted((r.a_row_id, r.b_row_id) for r in got) == [(k, k) for k in range(300)]
+
+
+def test_match_traces_takes_every_trace(spark):
+    from spotlattice.plans import catalog
+
+    got = catalog.QUERIES["match_traces"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.a_row_id % 50 for r in got}) == len({r.b_row_id % 50 for r in got}) == 50  # not only each 50th
+
+
+def test_traces_of_a_place_are_one_row(spark, monkeypatch):
+    """300 traces of a place on both sides, and one without an id, reach the task that matches them as two rows."""
+    from spotlattice.operators import matching
+
+    seen, groups = [], matching.match_groups
+    monkeypatch.setattr(matching, "match_groups", lambda rows, *a: seen.append(rows.count()) or groups(rows, *a))
+    rows = lambda at: spark.range(300).selectExpr(f"id + {at} AS id", f"{at} / 1000D AS x", "0.0D AS y", "id % 1 AS frame", "5L AS end_frame").union(spark.sql("SELECT CAST(NULL AS LONG), 0.0D, 0.0D, 0L, 5L"))
+    got = sorted(tuple(r) for r in matching.match_traces(rows(0), rows(1000), 2.0).collect())
+    assert got == [(k, 1000 + k, 1.0, 6) for k in range(300)] and seen == [2]
