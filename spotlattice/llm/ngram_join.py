@@ -11,8 +11,12 @@ A bucket only ever ties its members to its smallest one, so the rows made are th
 one row of a bucket for the shuffle and ties its other members itself, so that a bucket is no larger than the tasks that met
 it.  Components of these ties hold every link.  A small component is one cell of the exact check, which counts common
 shingles through an inverted index.  In a large one the ties themselves are checked first (a member against the smallest it
-is tied to, in cells of a bounded size), and what hangs together by links is one piece.  Then only the members outside the
-component's largest piece are compared with all others, by pairs of blocks, each a task.
+is tied to, in cells of a bounded size), and what hangs together by links is one piece.  Unlike texts tie as well, ever more of
+them as texts grow in number, until most hang together in one component; so what is left is compared bucket by bucket, never
+across a component.  A star is a smallest member and all that met it in any bucket, also through the smallest that a task
+kept; two sets with a link are in a star together.  In each star only the members outside its largest piece are compared with
+all its others, by pairs of blocks, each a task: first by counts of their shingles in 256 parts, the smaller of which add up to
+no less than what two sets have in common, then, where that is enough for a link, by their texts.
 
 Defined results: null and empty texts, and texts of blanks, have the empty set and link with nothing; with fewer words than
 a shingle the sequence is the one shingle; equal sets are one class, represented by its smallest id; rows that repeat an id
@@ -215,6 +219,53 @@ def _check_cells(n: int, hundredths: int):
     return run
 
 
+def _sketch(n: int):
+    """(id, counts of the set's shingles in 256 parts); null where a part has too many for two bytes."""
+
+    def run(batches):
+        words = _WordHash()
+        for batch in batches:
+            counts = [np.bincount((shingle_set(t, n, words) & np.uint64(255)).astype(np.int64), minlength=256) for t in batch.column(1).to_pylist()]
+            out = [c.astype(np.uint16).tobytes() if c.max() < 1 << 16 else None for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_id", "_counts"])
+
+    return run
+
+
+def _may_link(hundredths: int):
+    """Rows (cell, side, hub, id, n, piece, counts) sorted by cell: (hub, id) of those whose counts leave room for a link to
+    one of another piece."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        side, n, piece = (np.array([r[k] for r in rows], np.int64) for k in (0, 3, 4))
+        free = np.array([r[5] is None for r in rows])
+        counts = np.stack([np.frombuffer(r[5] or bytes(512), np.uint16) for r in rows])
+        left = np.flatnonzero(side <= 0)
+        right = np.flatnonzero(side == 1) if (side >= 0).any() else left
+        near = np.zeros(len(rows), bool)
+        for j in right:
+            common = np.minimum(counts[left], counts[j]).sum(1, dtype=np.int64)
+            ok = (piece[left] != piece[j]) & (free[left] | free[j] | (100 * common >= hundredths * (n[left] + n[j] - common)))
+            near[left[ok]] = True
+            near[j] |= ok.any()
+        return [rows[k][1:3] for k in np.flatnonzero(near)]
+
+    def run(batches):
+        cell, rows = None, []
+        pairs = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["_hub", "node"])
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for c, *row in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if c != cell:
+                    out += solve(rows) if len(rows) > 1 else []
+                    cell, rows = c, []
+                rows.append(tuple(row))
+            yield pairs(out)
+        yield pairs(solve(rows) if len(rows) > 1 else [])
+
+    return run
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
@@ -234,17 +285,17 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
 
     signed = map_texts(texts.where("_id is not null"), _sign(words, hundredths / 100), "_sig long, _id long, _other long").repartition(partitions(docs), "_sig")
     least = F.min(F.when(F.col("_other").isNull(), F.col("_id"))).over(Window.partitionBy("_sig"))  # one shuffle; a full bucket spills
-    ties = signed.select("_id", F.coalesce("_other", least).alias("_least"))
-    ties = shared_table(ties.where("_id <> _least").select("_least", "_id").distinct())
-    ties = ties.join(of, "_id").select("_least", F.col("_rep").alias("b")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("a"), "b")
+    ties = signed.select("_id", F.coalesce("_other", least).alias("_least"), F.col("_other").isNotNull().alias("_within"))
+    met = shared_table(ties.where("_id <> _least").select("_least", "_id", "_within").distinct())
+    ties = met.select("_least", "_id").join(of, "_id").select("_least", F.col("_rep").alias("b")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("a"), "b")
     ties = shared_table(ties.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = shared_table(connected_components(ties))
     tied = shared_table(texts.join(near.select(F.col("node").alias("_id")).hint("shuffle_hash"), "_id"))  # all texts move once, here
 
     def links(cells: DataFrame) -> DataFrame:
         """Of (_id, _cell, _side): the texts dealt to their cells, and the forests of links found there."""
-        met = tied.join(cells.hint("shuffle_hash"), "_id").select("_cell", "_side", "_id", "_text")
-        dealt = met.repartition(partitions(docs), "_cell").sortWithinPartitions("_cell")
+        moved = tied.join(cells.hint("shuffle_hash"), "_id").select("_cell", "_side", "_id", "_text")
+        dealt = moved.repartition(partitions(docs), "_cell").sortWithinPartitions("_cell")
         return shared_table(dealt.mapInArrow(_check_cells(words, hundredths), "a long, b long"))
 
     sized = near.join(classes.select(F.col("_rep").alias("node"), "_n"), "node")
@@ -254,12 +305,13 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     found = links(placed.where("_cells = 1").select(F.col("node").alias("_id"), F.xxhash64("component").alias("_cell"), F.lit(-1).alias("_side")))
     large = placed.where("_cells > 1")
     if large.limit(1).count():
-        found = found.union(_large_components(ties, shared_table(large.select("node", "component", "_n")), links))
+        sketches = shared_table(map_texts(tied, _sketch(words), "_id long, _counts binary"))
+        found = found.union(_large_components(ties, _stars(met, of), sketches, shared_table(large.select("node", "_n")), links, hundredths))
 
     twice = of.groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_most")).where("a < _most")
     again = shared_table(twice.join(of, "_id").where("a <> _rep").select("a", F.col("_rep").alias("b")))
     group = shared_table(connected_components(found.union(again)))
-    for t in (tied, ties, near, sizes, placed, of, again):  # nothing below reads them; tied has texts
+    for t in (tied, met, ties, near, sizes, placed, of, again):  # nothing below reads them; tied has texts
         forget(t)
     class_of = classes.select("_set", "_rep").join(group, F.col("_rep") == F.col("node"), "left").select("_set", F.coalesce("component", "_rep").alias("_component"))
     linked = named.select("_id", "_n", "_set").join(shared_table(class_of), "_set").select("_id", "_n", "_component")
@@ -267,7 +319,19 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     return linked.union(alone).select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
 
 
-def _large_components(ties: DataFrame, large: DataFrame, links) -> DataFrame:
+def _stars(met: DataFrame, of: DataFrame) -> DataFrame:
+    """(_hub, node): of each bucket, all members under the smallest one, which is a member too.
+
+    A task ties members of a bucket to the smallest that it met itself, which is tied to the smallest of all: two steps.
+    """
+    within = met.where("_within").select(F.col("_least").alias("_by"), "_id")
+    beyond = met.where("NOT _within").select(F.col("_id").alias("_by"), "_least")
+    pairs = met.select("_least", "_id").union(within.join(beyond, "_by").select("_least", "_id")).distinct()
+    pairs = pairs.join(of, "_id").select("_least", F.col("_rep").alias("node")).join(of.withColumnRenamed("_id", "_least"), "_least").select(F.col("_rep").alias("_hub"), "node")
+    return pairs.union(pairs.select("_hub", F.col("_hub").alias("node"))).distinct()
+
+
+def _large_components(ties: DataFrame, stars: DataFrame, sketches: DataFrame, large: DataFrame, links, hundredths: int) -> DataFrame:
     """The forests of links inside components that are too large for one cell."""
     # members against the smallest that they are tied to: a cell holds that one and a bounded number of its members
     star = ties.join(large.select(F.col("node").alias("b"), "_n"), "b").groupBy("b").agg(F.min("a").alias("a"), F.first("_n").alias("_n"))
@@ -276,25 +340,42 @@ def _large_components(ties: DataFrame, large: DataFrame, links) -> DataFrame:
     members = star.join(hubs, "a").select(F.col("b").alias("_id"), F.xxhash64("a", F.pmod(F.xxhash64("b", F.lit(5)), F.col("_cells")).cast("int")).alias("_cell"), F.lit(1).alias("_side"))
     centres = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_k")).select(F.col("a").alias("_id"), F.xxhash64("a", "_k").alias("_cell"), F.lit(0).alias("_side"))
     found = links(members.union(centres))
-    # what hangs together by now; the largest piece of a component is its body
+    # what hangs together by now; the largest piece of a star is its body
     pieces = connected_components(found).select("node", F.col("component").alias("_piece"))
     pieced = shared_table(large.join(pieces, "node", "left").withColumn("_piece", F.coalesce("_piece", "node")))
-    counts = pieced.groupBy("component", "_piece").agg(F.count("*").alias("_docs"))
-    body = shared_table(counts.groupBy("component").agg(F.max_by("_piece", F.struct("_docs", -F.col("_piece"))).alias("_body")))
-    sided = shared_table(pieced.join(body, "component").withColumn("_rest", F.col("_piece") != F.col("_body")))
-    deals = sided.groupBy("component", "_rest").agg(_deal(F.count("*"), F.sum("_n"), BLOCK_DOCS, BLOCK_SHINGLES).alias("_blocks"))
-    deals = shared_table(deals.groupBy("component").agg(*[F.coalesce(F.max(F.when(F.col("_rest") == x, F.col("_blocks"))), F.lit(0)).alias(c) for c, x in (("_body_blocks", False), ("_rest_blocks", True))]))
-    dealt = sided.join(deals, "component").where("_rest_blocks > 0")
+    inside = stars.join(pieced, "node").join(star.select(F.col("b").alias("node"), F.col("a").alias("_checked")), "node", "left")
+    inside = shared_table(inside.select("_hub", "node", "_n", "_piece", (F.col("_checked") == F.col("_hub")).alias("_checked")))
+    whole = inside.groupBy("_hub").agg(F.count("*").alias("_docs"), F.max("_checked").alias("_checked"), F.min("_piece").alias("_low"), F.max("_piece").alias("_high"))
+    unlike = whole.where("_low < _high AND (_docs > 2 OR NOT coalesce(_checked, false))").select("_hub")  # the others are settled
+    inside = shared_table(inside.join(unlike, "_hub").drop("_checked").join(sketches.select(F.col("_id").alias("node"), "_counts"), "node"))
+    cells = _dealt(inside.drop("_counts")).join(inside.select("_hub", F.col("node").alias("_id"), "_n", "_piece", "_counts"), ["_hub", "_id"])
+    cells = cells.select("_cell", "_side", "_hub", "_id", "_n", "_piece", "_counts").repartition(partitions(ties), "_cell").sortWithinPartitions("_cell")
+    near = shared_table(cells.mapInArrow(_may_link(hundredths), "_hub long, node long").distinct())
+    found = found.union(links(_dealt(inside.drop("_counts").join(near, ["_hub", "node"]))))
+    for t in (inside, near, sketches):
+        forget(t)
+    return found
+
+
+def _dealt(inside: DataFrame) -> DataFrame:
+    """(_hub, _id, _cell, _side): cells that compare the members of each star outside its largest piece with all others."""
+    inside = shared_table(inside)
+    counts = inside.groupBy("_hub", "_piece").agg(F.count("*").alias("_docs"))
+    body = shared_table(counts.groupBy("_hub").agg(F.max_by("_piece", F.struct("_docs", -F.col("_piece"))).alias("_body")))
+    sided = shared_table(inside.join(body, "_hub").withColumn("_rest", F.col("_piece") != F.col("_body")))
+    deals = sided.groupBy("_hub", "_rest").agg(_deal(F.count("*"), F.sum("_n"), BLOCK_DOCS, BLOCK_SHINGLES).alias("_blocks"))
+    deals = shared_table(deals.groupBy("_hub").agg(*[F.coalesce(F.max(F.when(F.col("_rest") == x, F.col("_blocks"))), F.lit(0)).alias(c) for c, x in (("_body_blocks", False), ("_rest_blocks", True))]))
+    dealt = sided.join(deals, "_hub").where("_rest_blocks > 0")
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
-    cell = lambda kind, i, j: F.xxhash64("component", F.lit(kind), i, j).alias("_cell")
+    cell = lambda kind, i, j: F.xxhash64("_hub", F.lit(kind), i, j).alias("_cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_k")
     rest, main = dealt.where("_rest").withColumn("_b", own("_rest_blocks")), dealt.where("NOT _rest").withColumn("_b", own("_body_blocks"))
-    across = rest.where("_body_blocks > 0").select("node", "component", "_b", every("_body_blocks")).select(F.col("node").alias("_id"), cell("across", F.col("_b"), F.col("_k")), F.lit(0).alias("_side"))
-    met = main.select("node", "component", "_b", every("_rest_blocks")).select(F.col("node").alias("_id"), cell("across", F.col("_k"), F.col("_b")), F.lit(1).alias("_side"))
-    inside = rest.select("node", "component", "_b", every("_rest_blocks")).select(
-        F.col("node").alias("_id"), cell("inside", F.least("_b", "_k"), F.greatest("_b", "_k")), F.when(F.col("_b") == F.col("_k"), -1).when(F.col("_b") < F.col("_k"), 0).otherwise(1).alias("_side")
+    across = rest.where("_body_blocks > 0").select("node", "_hub", "_b", every("_body_blocks")).select("_hub", F.col("node").alias("_id"), cell("across", F.col("_b"), F.col("_k")), F.lit(0).alias("_side"))
+    met = main.select("node", "_hub", "_b", every("_rest_blocks")).select("_hub", F.col("node").alias("_id"), cell("across", F.col("_k"), F.col("_b")), F.lit(1).alias("_side"))
+    inside = rest.select("node", "_hub", "_b", every("_rest_blocks")).select(
+        "_hub", F.col("node").alias("_id"), cell("inside", F.least("_b", "_k"), F.greatest("_b", "_k")), F.when(F.col("_b") == F.col("_k"), -1).when(F.col("_b") < F.col("_k"), 0).otherwise(1).alias("_side")
     )
-    return found.union(links(across.union(met).union(inside)))
+    return across.union(met).union(inside)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import base64
 import os
+import random
 import time
 import zlib
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,35 @@ def test_signatures_lose_no_pair():
             assert np.intersect1d(np.concatenate(ngram_join.signatures(x, threshold)), np.concatenate(ngram_join.signatures(y, threshold))).size
 
 
+def test_unlike_texts_of_a_component_stay(spark, monkeypatch):
+    """200 texts in one component by buckets of four, all but two pairs unlike: only pairs that may link move."""
+    monkeypatch.setattr(ngram_join, "CELL_DOCS", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    texts[32], texts[63] = texts[31] + " more", texts[62] + " more"  # neither is the smallest of its bucket
+    moved, large = [], ngram_join._large_components
+
+    def sign(*_):
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for i in batch.column(0).to_pylist():
+                    rows += [(-1000, 62, 61)] if i == 62 else [(i // 3, i, None)]  # as if a task had met 61 and 62 only
+                    rows += [(i // 3 - 1, i, None)] if i % 3 == 0 else []
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["_sig", "_id", "_other"])
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_sign", sign)
+    monkeypatch.setattr(ngram_join, "_large_components", lambda *a: large(*[(lambda cells, f=x: moved.append(cells.count()) or f(cells)) if callable(x) else x for x in a]))
+    rows = list(enumerate(texts))
+    got = out(ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80), "doc_id", "n_shingles", "component_id")
+    same(got, brute.ngram_join(rows, 5, 80))
+    assert {r[0]: r[2] for r in got}[32] == 31 and {r[0]: r[2] for r in got}[63] == 62
+    assert sum(moved) < 600  # 200 members and their hubs, and the pairs; by blocks of the component they were 10,000 more
+
+
 def test_large_components(spark, monkeypatch):
     """Stars, chains whose ends are far apart, and pieces that only their blocks bring together."""
     monkeypatch.setattr(ngram_join, "CELL_DOCS", 4)
