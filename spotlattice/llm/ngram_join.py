@@ -306,7 +306,7 @@ def components(docs: DataFrame, words: int = 5, hundredths: int = 80, id_col: st
     large = placed.where("_cells > 1")
     if large.limit(1).count():
         sketches = shared_table(map_texts(tied, _sketch(words), "_id long, _counts binary"))
-        found = found.union(_large_components(ties, _stars(met, of), sketches, shared_table(large.select("node", "_n")), links, hundredths))
+        found = found.union(_large_components(ties, _stars(met, of), sketches, shared_table(large.select("node", "component", "_n")), links, hundredths))
 
     twice = of.groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("_most")).where("a < _most")
     again = shared_table(twice.join(of, "_id").where("a <> _rep").select("a", F.col("_rep").alias("b")))
@@ -343,7 +343,11 @@ def _large_components(ties: DataFrame, stars: DataFrame, sketches: DataFrame, la
     # what hangs together by now; the largest piece of a star is its body
     pieces = connected_components(found).select("node", F.col("component").alias("_piece"))
     pieced = shared_table(large.join(pieces, "node", "left").withColumn("_piece", F.coalesce("_piece", "node")))
-    inside = stars.join(pieced, "node").join(star.select(F.col("b").alias("node"), F.col("a").alias("_checked")), "node", "left")
+    parts = pieced.groupBy("component", "_piece").agg(F.count("*").alias("_docs")).groupBy("component")
+    few = parts.agg((F.sum("_docs") - F.max("_docs") <= BLOCK_DOCS).alias("_few"))  # outside the largest piece: one block, so the component is one star
+    pieced = shared_table(pieced.join(few, "component"))
+    inside = stars.join(pieced.where("NOT _few"), "node").select("_hub", "node", "_n", "_piece")
+    inside = inside.union(pieced.where("_few").select(F.col("component").alias("_hub"), "node", "_n", "_piece")).join(star.select(F.col("b").alias("node"), F.col("a").alias("_checked")), "node", "left")
     inside = shared_table(inside.select("_hub", "node", "_n", "_piece", (F.col("_checked") == F.col("_hub")).alias("_checked")))
     whole = inside.groupBy("_hub").agg(F.count("*").alias("_docs"), F.max("_checked").alias("_checked"), F.min("_piece").alias("_low"), F.max("_piece").alias("_high"))
     unlike = whole.where("_low < _high AND (_docs > 2 OR NOT coalesce(_checked, false))").select("_hub")  # the others are settled
